@@ -318,6 +318,104 @@ def _q_row_counts(spark, sf):
     )
 
 
+# --- models -----------------------------------------------------------------------
+# Fitted on the whole cohort; the tree queries use the original's 10 % sample and
+# 70/30 split (hash-based, seeded).
+
+TREE_DEPTH = 5
+
+
+@register("duration_ridge")
+def _q_duration_ridge(spark, sf):
+    from ..operators import models
+
+    m = models.fit_duration_ridge(cohort(spark, sf), models.RIDGE_REG_PARAM)
+    return models.ridge_coefficients(spark, m, models.RIDGE_REG_PARAM)
+
+
+@register("duration_ridge_metrics")
+def _q_duration_ridge_metrics(spark, sf):
+    from ..operators import models
+
+    m = models.fit_duration_ridge(cohort(spark, sf), models.RIDGE_REG_PARAM)
+    return models.ridge_metrics(spark, m)
+
+
+@register("duration_predictions", digits=5)
+def _q_duration_predictions(spark, sf):
+    from ..operators import models
+
+    c = cohort(spark, sf)
+    m = models.fit_duration_ridge(c, models.RIDGE_REG_PARAM)
+    return models.ridge_predictions(c, m)
+
+
+@register("station_index")
+def _q_station_index(spark, sf):
+    """Frequency-ordered index of start and end station names (0 = most trips)."""
+    from ..operators import models
+
+    rows = models.tree_inputs(cohort(spark, sf))
+    indexed = models.station_indexer().fit(rows).transform(rows)
+    start = indexed.select(
+        F.lit("start").alias("role"), F.col("start").alias("station"), F.col("startIndex").alias("idx")
+    )
+    end = indexed.select(
+        F.lit("end").alias("role"), F.col("end").alias("station"), F.col("endIndex").alias("idx")
+    )
+    return start.unionByName(end).distinct()
+
+
+@register("sample_trips")
+def _q_sample_trips(spark, sf):
+    from ..operators import models
+
+    return models.sample_trips(cohort(spark, sf), models.TREE_SAMPLE_FRACTION, seed=42)
+
+
+@register("train_test_split")
+def _q_train_test_split(spark, sf):
+    from ..operators import models
+
+    train, test = models.train_test_split(cohort(spark, sf))
+    return train.select(F.lit("train").alias("split")).unionByName(
+        test.select(F.lit("test").alias("split"))
+    ).groupBy("split").agg(F.count(F.lit(1)).alias("Num"))
+
+
+@register("duration_tree")
+def _q_duration_tree(spark, sf):
+    from ..operators import models
+
+    train, test = models.tree_split(cohort(spark, sf))
+    m = models.fit_duration_tree(train, TREE_DEPTH)
+    rmse = models.evaluate_rmse(m, test)
+    return spark.createDataFrame(
+        [(TREE_DEPTH, float(rmse), int(m.stages[-1].numNodes))],
+        "maxDepth int, rmse double, numNodes int",
+    )
+
+
+@register("duration_tree_rmse")
+def _q_duration_tree_rmse(spark, sf):
+    """Held-out RMSE by the evaluator and recomputed as a SQL aggregate."""
+    from ..operators import models
+
+    train, test = models.tree_split(cohort(spark, sf))
+    m = models.fit_duration_tree(train, TREE_DEPTH)
+    ev = models.evaluate_rmse(m, test)
+    return m.transform(test).agg(
+        F.lit(float(ev)).alias("rmseEvaluator"), models.rmse_sql().alias("rmseSql")
+    )
+
+
+@register("tree_depth_sweep")
+def _q_tree_depth_sweep(spark, sf):
+    from ..operators import models
+
+    return models.tree_depth_sweep(spark, cohort(spark, sf))
+
+
 def all_queries() -> dict[str, QueryFn]:
     """Every registered query (importing the modules that register more)."""
     return dict(QUERIES)

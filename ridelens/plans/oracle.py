@@ -72,6 +72,17 @@ def _dist(legacy: bool = False) -> str:
     )
 
 
+# Ridge fit with one feature and standardisation: w = cov/var(x) / (1 + lambda/sd(y)),
+# population moments (closed form of Spark's normal-equation solver).
+_RIDGE = """
+xy AS (SELECT bikeID, startTime, DistanceKM AS x, TimeHR AS y FROM dist),
+ridge AS (
+  SELECT covar_pop(x, y) / var_pop(x) / (1 + 0.3 / stddev_pop(y)) AS w,
+         avg(y) - covar_pop(x, y) / var_pop(x) / (1 + 0.3 / stddev_pop(y)) * avg(x) AS b,
+         avg(y) AS my
+  FROM xy
+)"""
+
 _SPEED = "CASE WHEN TimeHR = 0 THEN NULL ELSE DistanceKM / TimeHR END"
 
 _PREFIX = f"""
@@ -280,6 +291,23 @@ SELECT Age, {_r('m')} AS MaleSpeed, {_r('f')} AS FemaleSpeed, {_r('m - f')} AS G
          avg(CASE WHEN gender = 'Male' THEN {_SPEED} END) AS m,
          avg(CASE WHEN gender = 'Female' THEN {_SPEED} END) AS f
   FROM dist GROUP BY age
+)""",
+    "duration_ridge": f""", {_RIDGE}
+SELECT {_r('b')} AS intercept, {_r('w')} AS coefficient, {_r('0.3')} AS regParam FROM ridge""",
+    "duration_ridge_metrics": f""", {_RIDGE}
+SELECT {_r('1 - sum(pow(y - (b + w * x), 2)) / sum(pow(y - my, 2))')} AS r2,
+       {_r('sqrt(avg(pow(y - (b + w * x), 2)))')} AS rmse, count(*) AS numInstances
+FROM xy, ridge""",
+    "duration_predictions": f""", {_RIDGE}
+SELECT bikeID, {_ts('startTime')} AS startTime, round(x, 5) AS DistanceKM, round(y, 5) AS label,
+       round(b + w * x, 5) AS prediction
+FROM xy, ridge""",
+    "station_index": """
+SELECT role, station, CAST(row_number() OVER (PARTITION BY role ORDER BY n DESC, station) - 1 AS DOUBLE) AS idx
+FROM (
+  SELECT 'start' AS role, startStationName AS station, count(*) AS n FROM cohort GROUP BY ALL
+  UNION ALL
+  SELECT 'end', endStationName, count(*) FROM cohort GROUP BY ALL
 )""",
     "clean_cohort": f"SELECT {_COHORT_COLS} FROM cohort",
     "clean_cohort_union": f"SELECT {_COHORT_COLS} FROM cohort",
