@@ -416,6 +416,159 @@ def _q_tree_depth_sweep(spark, sf):
     return models.tree_depth_sweep(spark, cohort(spark, sf))
 
 
+# --- files, SQL surface, streaming --------------------------------------------------
+# Trip files are first produced by Spark from the tables (monthly CSV directories
+# in the shared checkpoint folder), then read back through the file source.
+
+ONE_MONTH = "199710"
+
+
+def staged_trip_files(spark: SparkSession, sf_dir: str) -> str:
+    from ..session import shared_path
+    from ..sources import files
+
+    return files.write_trip_files(trips(spark, sf_dir), shared_path(spark, "trip-files"))
+
+
+def _month_dirs(spark: SparkSession, root: str) -> list[str]:
+    """Month directories under ``root`` from the file listing (no data scan)."""
+    import re
+
+    seen = set()
+    for f in spark.read.text(root).inputFiles():
+        m = re.search(r"/month=(\d{6})/", f)
+        if m:
+            seen.add(m.group(1))
+    return sorted(seen)
+
+
+@register("scan_trips")
+def _q_scan_trips(spark, sf):
+    """Typed CSV scan of the monthly trip files (header, quoted fields)."""
+    from ..schema import TRIP_COLUMNS
+    from ..sources import files
+
+    return files.read_trip_csv(spark, staged_trip_files(spark, sf)).select(*TRIP_COLUMNS)
+
+
+@register("scan_rejects")
+def _q_scan_rejects(spark, sf):
+    from ..sources import files
+
+    return files.reject_summary(files.read_trip_csv(spark, staged_trip_files(spark, sf), rejects=True))
+
+
+@register("union_months")
+def _q_union_months(spark, sf):
+    """One read over the list of monthly paths; trips per start month."""
+    from ..sources import files
+
+    root = staged_trip_files(spark, sf)
+    paths = files.month_paths(root, _month_dirs(spark, root))
+    return (
+        files.read_trip_csv(spark, paths)
+        .groupBy(F.date_format("startTime", files.MONTH_FORMAT).alias("month"))
+        .agg(F.count(F.lit(1)).alias("Num"))
+    )
+
+
+@register("trips_one_month")
+def _q_trips_one_month(spark, sf):
+    """The question-1 answer for a single month (directory pruning on ``month``)."""
+    from ..sources import files
+
+    raw = files.read_trip_csv(spark, staged_trip_files(spark, sf))
+    one = raw.filter(F.col(files.MONTH_COLUMN) == F.lit(int(ONE_MONTH)))
+    return demand.top_destinations_by_band(CO.clean_cohort(one), TOP_K)
+
+
+@register("parse_timestamps")
+def _q_parse_timestamps(spark, sf):
+    """Raw time text (``yyyy-MM-dd HH:mm:ss.SSSS``) parsed to TIMESTAMP_NTZ."""
+    from ..sources import files
+
+    text = files.read_trip_text(spark, staged_trip_files(spark, sf))
+    return text.select(
+        F.col("startTime").alias("startTimeText"),
+        C.parse_raw_time("startTime").alias("startTime"),
+        F.col("endTime").alias("endTimeText"),
+        C.parse_raw_time("endTime").alias("endTime"),
+    )
+
+
+@register("export_csv")
+def _q_export_csv(spark, sf):
+    """Most-used bikes written as a one-file unquoted CSV extract and read back."""
+    from ..session import shared_path
+    from ..sources import files
+
+    path = files.export_csv(
+        fleet.most_used_bikes(cohort(spark, sf), TOP_K),
+        shared_path(spark, "extracts", "mostUsedBikes"),
+        single_file=True,
+        quote="\u0000",
+    )
+    return spark.read.schema("bikeID bigint, Num bigint").option("header", True).csv(path)
+
+
+@register("extract_roundtrip")
+def _q_extract_roundtrip(spark, sf):
+    """Extract re-read with inferred types; bike IDs cast to text for charting."""
+    from ..session import shared_path
+    from ..sources import files
+
+    path = files.export_csv(
+        fleet.most_hours_bikes(cohort(spark, sf), TOP_K),
+        shared_path(spark, "extracts", "mostHoursUsedBikes"),
+        single_file=True,
+    )
+    back = files.read_extract(spark, path)
+    return back.select(F.col("bikeID").cast("string").alias("bikeID"), "Num", "HoursUsed")
+
+
+@register("sql_functions")
+def _q_sql_functions(spark, sf):
+    """The SQL surface: trip functions applied in ``spark.sql`` over the raw view."""
+    from ..functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    trips(spark, sf).createOrReplaceTempView("trips_raw")
+    return spark.sql(
+        f"""
+        SELECT to_gender(gender) AS gender,
+               time_band(hour(endTime)) AS Time,
+               age_band(rider_age(birthYear, {C.DEFAULT_AS_OF_YEAR})) AS ageGroup,
+               day_type(day_name(dayofweek(startTime))) AS DayType,
+               count(*) AS Num,
+               avg(haversine_km(startStationLat, startStationLong, endStationLat, endStationLong))
+                 AS avgDist,
+               avg(haversine_km_legacy(startStationLat, startStationLong, endStationLat,
+                                       endStationLong)) AS avgDistLegacy
+        FROM trips_raw
+        GROUP BY ALL
+        """
+    )
+
+
+@register("stream_ingest")
+def _q_stream_ingest(spark, sf):
+    """Monthly files streamed into a month-partitioned cohort table; rows per month."""
+    from ..session import shared_path
+    from ..streaming.ingest import start_cohort_ingest
+
+    landing = staged_trip_files(spark, sf)
+    table = shared_path(spark, "cohort-table")
+    q = start_cohort_ingest(spark, landing, table, shared_path(spark, "cohort-table-ckpt"))
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return (
+        spark.read.parquet(table)
+        .groupBy(F.col("month").cast("string").alias("month"))
+        .agg(F.count(F.lit(1)).alias("Num"))
+    )
+
+
 def all_queries() -> dict[str, QueryFn]:
     """Every registered query (importing the modules that register more)."""
     return dict(QUERIES)

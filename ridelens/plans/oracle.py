@@ -309,6 +309,36 @@ FROM (
   UNION ALL
   SELECT 'end', endStationName, count(*) FROM cohort GROUP BY ALL
 )""",
+    "scan_trips": f"SELECT {_RAW_COLS} FROM trips",
+    "scan_rejects": """
+SELECT count(*) AS parsedRows, CAST(0 AS BIGINT) AS rejectedRows,
+       count(*) FILTER (WHERE startTime IS NULL) AS nullStartTimes
+FROM trips""",
+    "union_months": "SELECT strftime(startTime, '%Y%m') AS month, count(*) AS Num FROM trips GROUP BY ALL",
+    "trips_one_month": f"""
+SELECT "Time", CAST("rank" AS INTEGER) AS "rank", endStationName, "Number" FROM (
+  SELECT "Time", endStationName, "Number",
+         row_number() OVER (PARTITION BY "Time" ORDER BY "Number" DESC, endStationName) AS "rank"
+  FROM (
+    SELECT {_band(_hour('endTime'))} AS "Time", endStationName, count(endStationName) AS "Number"
+    FROM cohort WHERE strftime(startTime, '%Y%m') = '199710' GROUP BY ALL
+  ) WHERE "Time" IS NOT NULL
+) WHERE "rank" <= 10""",
+    "parse_timestamps": f"""
+SELECT strftime(startTime, '%Y-%m-%d %H:%M:%S') || '.0000' AS startTimeText, {_ts('startTime')} AS startTime,
+       strftime(endTime, '%Y-%m-%d %H:%M:%S') || '.0000' AS endTimeText, {_ts('endTime')} AS endTime
+FROM trips""",
+    "export_csv": "SELECT bikeID, Num FROM bikes ORDER BY Num DESC, bikeID LIMIT 10",
+    "extract_roundtrip": f"""
+SELECT CAST(bikeID AS VARCHAR) AS bikeID, CAST(Num AS INTEGER) AS Num, {_r('HoursUsed')} AS HoursUsed
+FROM bikes ORDER BY HoursUsed DESC, bikeID LIMIT 10""",
+    "sql_functions": f"""
+SELECT {_gender('gender')} AS gender, {_band(_hour('endTime'))} AS "Time",
+       {_ageband(f'CAST({AS_OF_YEAR} - birthYear AS INTEGER)')} AS ageGroup,
+       {_daytype('startTime')} AS DayType, count(*) AS Num,
+       {_r('avg(' + _dist() + ')')} AS avgDist, {_r('avg(' + _dist(True) + ')')} AS avgDistLegacy
+FROM trips GROUP BY ALL""",
+    "stream_ingest": "SELECT strftime(startTime, '%Y%m') AS month, count(*) AS Num FROM cohort GROUP BY ALL",
     "clean_cohort": f"SELECT {_COHORT_COLS} FROM cohort",
     "clean_cohort_union": f"SELECT {_COHORT_COLS} FROM cohort",
     "clean_projection": f"SELECT {_COHORT_COLS} FROM derived",
