@@ -49,9 +49,24 @@ def ridge_inputs(cohort: DataFrame, legacy: bool = False) -> DataFrame:
 
 
 def fit_duration_ridge(cohort: DataFrame, reg_param: float = RIDGE_REG_PARAM, legacy: bool = False):
-    """Fit hours ~ km; returns the ``LinearRegressionModel`` (summary has r2/RMSE)."""
+    """Fit hours ~ km; returns ``(model, (r2, rmse, numInstances))``.
+
+    The fit reads its input several times (feature-size probe, the normal
+    equation aggregate, the training-summary statistics), so the two-column input
+    is persisted (memory, spilling to disk) for the fit and released after the
+    summary metrics are read.
+    """
     lr = LinearRegression(regParam=reg_param, elasticNetParam=0.0, solver="normal")
-    return lr.fit(ridge_inputs(cohort, legacy).select("label", "features"))
+    data = ridge_inputs(cohort, legacy).select("label", "features").persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    try:
+        model = lr.fit(data)
+        s = model.summary
+        metrics = (float(s.r2), float(s.rootMeanSquaredError), int(s.numInstances))
+    finally:
+        data.unpersist()
+    return model, metrics
 
 
 def ridge_coefficients(spark, model, reg_param: float) -> DataFrame:
@@ -61,12 +76,8 @@ def ridge_coefficients(spark, model, reg_param: float) -> DataFrame:
     )
 
 
-def ridge_metrics(spark, model) -> DataFrame:
-    s = model.summary
-    return spark.createDataFrame(
-        [(float(s.r2), float(s.rootMeanSquaredError), int(s.numInstances))],
-        "r2 double, rmse double, numInstances bigint",
-    )
+def ridge_metrics(spark, metrics) -> DataFrame:
+    return spark.createDataFrame([metrics], "r2 double, rmse double, numInstances bigint")
 
 
 def ridge_predictions(cohort: DataFrame, model, legacy: bool = False) -> DataFrame:

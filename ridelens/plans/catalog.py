@@ -329,7 +329,7 @@ TREE_DEPTH = 5
 def _q_duration_ridge(spark, sf):
     from ..operators import models
 
-    m = models.fit_duration_ridge(cohort(spark, sf), models.RIDGE_REG_PARAM)
+    m, _ = models.fit_duration_ridge(cohort(spark, sf), models.RIDGE_REG_PARAM)
     return models.ridge_coefficients(spark, m, models.RIDGE_REG_PARAM)
 
 
@@ -337,8 +337,8 @@ def _q_duration_ridge(spark, sf):
 def _q_duration_ridge_metrics(spark, sf):
     from ..operators import models
 
-    m = models.fit_duration_ridge(cohort(spark, sf), models.RIDGE_REG_PARAM)
-    return models.ridge_metrics(spark, m)
+    _, metrics = models.fit_duration_ridge(cohort(spark, sf), models.RIDGE_REG_PARAM)
+    return models.ridge_metrics(spark, metrics)
 
 
 @register("duration_predictions", digits=5)
@@ -346,7 +346,7 @@ def _q_duration_predictions(spark, sf):
     from ..operators import models
 
     c = cohort(spark, sf)
-    m = models.fit_duration_ridge(c, models.RIDGE_REG_PARAM)
+    m, _ = models.fit_duration_ridge(c, models.RIDGE_REG_PARAM)
     return models.ridge_predictions(c, m)
 
 

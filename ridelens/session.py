@@ -21,6 +21,10 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # Parquet is compressed: scale file sizes up when estimating in-memory size so a
+    # static broadcast decision errs towards "too big" (AQE still broadcasts on
+    # measured shuffle sizes).
+    "spark.sql.sources.fileCompressionFactor": "4",
     # Wall-clock timestamps are kept as TIMESTAMP_NTZ; pin the zone anyway so that
     # any TIMESTAMP_LTZ conversion is reproducible.
     "spark.sql.session.timeZone": "UTC",

@@ -23,7 +23,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import TRIP_COLUMNS
 
 # ---------------------------------------------------------------------------
 # Fixed values of the table-to-trip mapping (FIXTURES.md section 3).
@@ -44,16 +43,34 @@ GENDER_MODULUS = 3
 # ---------------------------------------------------------------------------
 
 
+# Declared read schemas (only the columns the mapping uses).  Declaring them skips
+# footer-based schema inference at planning time and doubles as column pruning.
+TABLE_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+    "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+}
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    schema = TABLE_SCHEMAS.get(name)
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(table_path(sf_dir, name))
+
+
+# Station names by rule: "Station 00" ... "Station 49".
+STATION_NAMES = [f"Station {i:02d}" for i in range(STATIONS)]
 
 
 def _station_name(station_id):
-    return F.concat(F.lit("Station "), F.lpad(station_id.cast("string"), 2, "0"))
+    # Lookup in a constant array: no per-row string building, so the round-trip
+    # predicate (name <> name) that Catalyst pushes into the lineitem scan is cheap.
+    return F.element_at(F.array(*[F.lit(n) for n in STATION_NAMES]), (station_id + 1).cast("int"))
 
 
 def _lat(station_id):
@@ -66,13 +83,9 @@ def _long(station_id):
 
 def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw trips (the 15-field trip record) derived from lineitem/orders/customer."""
-    lineitem = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate"
-    )
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customer = read_table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_mktsegment", "c_nationkey"
-    )
+    lineitem = read_table(spark, sf_dir, "lineitem")
+    orders = read_table(spark, sf_dir, "orders")
+    customer = read_table(spark, sf_dir, "customer")
 
     # Rider attributes per order: userType and gender from the customer,
     # birth year from the customer key carried by the order.
@@ -105,7 +118,7 @@ def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         eid.alias("eid"),
         pk.alias("bikeID"),
     )
-    trips = legs.join(riders, legs.l_orderkey == riders.o_orderkey, "inner").select(
+    return legs.join(riders, legs.l_orderkey == riders.o_orderkey, "inner").select(
         "duration",
         "startTime",
         F.timestamp_add("SECOND", F.col("duration"), F.col("startTime")).alias("endTime"),
@@ -122,7 +135,6 @@ def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         "birthYear",
         "gender",
     )
-    return trips.select(*TRIP_COLUMNS)
 
 
 # SQL text of the same mapping for an independent engine (DuckDB dialect); the
