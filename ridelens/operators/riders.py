@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-_IS_SUB = F.col("userType") == C.SUBSCRIBER
-_IS_CUST = F.col("userType") != C.SUBSCRIBER
+
+def _is_sub():
+    return F.col("userType") == C.SUBSCRIBER
+
+
+def _is_cust():
+    return F.col("userType") != C.SUBSCRIBER
 
 
 def subs_by_age(cohort: DataFrame) -> DataFrame:
     return (
-        cohort.filter(_IS_SUB)
+        cohort.filter(_is_sub())
         .groupBy(F.col("age").alias("ageS"))
         .agg(F.count("userType").alias("NumSubs"))
     )
@@ -21,7 +26,7 @@ def subs_by_age(cohort: DataFrame) -> DataFrame:
 
 def custs_by_age(cohort: DataFrame) -> DataFrame:
     return (
-        cohort.filter(_IS_CUST)
+        cohort.filter(_is_cust())
         .groupBy(F.col("age").alias("ageC"))
         .agg(F.count("userType").alias("NumCusts"))
     )
@@ -42,7 +47,7 @@ def usertype_share_by_age(cohort: DataFrame, keep_all: bool = False) -> DataFram
     ``keep_all=True`` every age is returned.
     """
     agg = cohort.groupBy(F.col("age").alias("ageS")).agg(
-        F.count_if(_IS_SUB).alias("NumSubs"), F.count_if(_IS_CUST).alias("NumCusts")
+        F.count_if(_is_sub()).alias("NumSubs"), F.count_if(_is_cust()).alias("NumCusts")
     )
     if not keep_all:
         agg = agg.filter((F.col("NumSubs") > 0) & (F.col("NumCusts") > 0))
@@ -71,7 +76,7 @@ def age_band_share(cohort: DataFrame) -> DataFrame:
     partitioning it by user type moves a handful of rows.
     """
     counts = cohort.groupBy(
-        F.when(_IS_SUB, F.lit(C.SUBSCRIBER)).otherwise(F.lit(C.CUSTOMER)).alias("userType"),
+        F.when(_is_sub(), F.lit(C.SUBSCRIBER)).otherwise(F.lit(C.CUSTOMER)).alias("userType"),
         C.age_band("age").alias("ageGroup"),
     ).agg(F.count(F.lit(1)).alias("Num"))
     w = Window.partitionBy("userType")
@@ -82,7 +87,7 @@ def age_band_totals(cohort: DataFrame) -> DataFrame:
     """Subscribers + customers per band (the stacked-bar total)."""
     return (
         cohort.groupBy(C.age_band("age").alias("ageGroup"))
-        .agg(F.count_if(_IS_SUB).alias("NumSubs"), F.count_if(_IS_CUST).alias("NumCusts"))
+        .agg(F.count_if(_is_sub()).alias("NumSubs"), F.count_if(_is_cust()).alias("NumCusts"))
         .withColumn("Total", F.col("NumSubs") + F.col("NumCusts"))
     )
 
