@@ -78,16 +78,14 @@ def bike_daily_rate(cohort: DataFrame, k: int = 10) -> DataFrame:
     cross join; its aggregate is keyed by date (a few hundred groups).
     """
     days = cohort.select(F.count_distinct(F.to_date("startTime")).alias("d")).scalar()
-    top = (
-        bike_usage(cohort)
-        .orderBy(F.desc("Num"), F.asc("bikeID"))
-        .limit(k)
-    )
-    return top.select(
+    # Bind the subquery once (three references would plan three subqueries) and
+    # before the top-k, so the top-k still plans as TakeOrderedAndProject.
+    rates = bike_usage(cohort).withColumn("Days", days).select(
         "bikeID",
         "Num",
         "HoursUsed",
-        days.alias("Days"),
-        (F.col("Num") / days).alias("TripsPerDay"),
-        (F.col("HoursUsed") / days).alias("HoursPerDay"),
+        "Days",
+        (F.col("Num") / F.col("Days")).alias("TripsPerDay"),
+        (F.col("HoursUsed") / F.col("Days")).alias("HoursPerDay"),
     )
+    return rates.orderBy(F.desc("Num"), F.asc("bikeID")).limit(k)
