@@ -61,6 +61,7 @@ def top_destinations_by_band(
         .withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= k)
         .select("Time", "rank", "endStationName", "Number")
+        .orderBy("Time", "rank")
     )
 
 
@@ -97,8 +98,10 @@ def hourly_usage(cohort: DataFrame) -> DataFrame:
             C.day_type_of("endTime"),
         ).alias("Type", "Hour", "DayType"),
     )
-    return ends.groupBy("gender", "DayType", "Hour", "Type").agg(
-        F.count("Hour").alias("Num")
+    return (
+        ends.groupBy("gender", "DayType", "Hour", "Type")
+        .agg(F.count("Hour").alias("Num"))
+        .orderBy("gender", "DayType", "Type", "Hour")
     )
 
 

@@ -59,6 +59,7 @@ def distance_stats(cohort: DataFrame, legacy: bool = False) -> DataFrame:
             F.min("DistanceKM").alias("minDist"),
         )
         .select("Age", "avgDist", "maxDist", "minDist", "gender")
+        .orderBy("Age", "gender")
     )
 
 
@@ -70,6 +71,7 @@ def avg_speed(cohort: DataFrame, legacy: bool = False) -> DataFrame:
         .groupBy(F.col("age").alias("Age"), "gender")
         .agg(F.avg(C.safe_ratio("DistanceKM", "TimeHR")).alias("avgSpeed"))
         .select("Age", "avgSpeed", "gender")
+        .orderBy("Age", "gender")
     )
 
 

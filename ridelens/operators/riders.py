@@ -21,6 +21,7 @@ def subs_by_age(cohort: DataFrame) -> DataFrame:
         cohort.filter(_is_sub())
         .groupBy(F.col("age").alias("ageS"))
         .agg(F.count("userType").alias("NumSubs"))
+        .orderBy("ageS")
     )
 
 
@@ -29,6 +30,7 @@ def custs_by_age(cohort: DataFrame) -> DataFrame:
         cohort.filter(_is_cust())
         .groupBy(F.col("age").alias("ageC"))
         .agg(F.count("userType").alias("NumCusts"))
+        .orderBy("ageC")
     )
 
 
@@ -36,7 +38,11 @@ def usertype_by_age_join(cohort: DataFrame) -> DataFrame:
     """The original aggregate-then-join form (ages present in only one type vanish)."""
     s = subs_by_age(cohort)
     c = custs_by_age(cohort)
-    return s.join(c, s.ageS == c.ageC, "inner").select("ageS", "NumSubs", "ageC", "NumCusts")
+    return (
+        s.join(c, s.ageS == c.ageC, "inner")
+        .select("ageS", "NumSubs", "ageC", "NumCusts")
+        .orderBy("ageS")
+    )
 
 
 def usertype_share_by_age(cohort: DataFrame, keep_all: bool = False) -> DataFrame:
@@ -59,7 +65,7 @@ def usertype_share_by_age(cohort: DataFrame, keep_all: bool = False) -> DataFram
         total.alias("Total"),
         (F.lit(100) * F.try_divide(F.col("NumSubs"), total)).alias("PercSubs"),
         (F.lit(100) * F.try_divide(F.col("NumCusts"), total)).alias("PercCusts"),
-    )
+    ).orderBy("ageS")
 
 
 def age_band_counts(cohort: DataFrame) -> DataFrame:
