@@ -256,6 +256,12 @@ def _q_avg_speed(spark, sf):
     return distance.avg_speed(cohort(spark, sf))
 
 
+@register("avg_speed_legacy")
+def _q_avg_speed_legacy(spark, sf):
+    """Mean speed with the original's degree-valued cos distance."""
+    return distance.avg_speed(cohort(spark, sf), legacy=True)
+
+
 @register("speed_gender_gap")
 def _q_speed_gender_gap(spark, sf):
     return distance.speed_gender_gap(cohort(spark, sf))
@@ -333,6 +339,17 @@ def _q_duration_ridge(spark, sf):
     return models.ridge_coefficients(spark, m, models.RIDGE_REG_PARAM)
 
 
+@register("duration_ridge_legacy")
+def _q_duration_ridge_legacy(spark, sf):
+    """The fit as originally reported: hours ~ legacy distance."""
+    from ..operators import models
+
+    m, metrics = models.fit_duration_ridge(cohort(spark, sf), models.RIDGE_REG_PARAM, legacy=True)
+    return models.ridge_coefficients(spark, m, models.RIDGE_REG_PARAM).select(
+        "*", F.lit(metrics[0]).alias("r2"), F.lit(metrics[1]).alias("rmse")
+    )
+
+
 @register("duration_ridge_metrics")
 def _q_duration_ridge_metrics(spark, sf):
     from ..operators import models

@@ -83,6 +83,8 @@ ridge AS (
   FROM xy
 )"""
 
+_RIDGE_LEGACY = _RIDGE.replace("FROM dist)", "FROM dist_legacy)")
+
 _SPEED = "CASE WHEN TimeHR = 0 THEN NULL ELSE DistanceKM / TimeHR END"
 
 _PREFIX = f"""
@@ -285,6 +287,9 @@ FROM dist_legacy GROUP BY age, gender""",
     "avg_speed": f"""
 SELECT age AS Age, {_r('avg(' + _SPEED + ')')} AS avgSpeed, gender
 FROM dist WHERE startStationName <> endStationName GROUP BY age, gender""",
+    "avg_speed_legacy": f"""
+SELECT age AS Age, {_r('avg(' + _SPEED + ')')} AS avgSpeed, gender
+FROM dist_legacy WHERE startStationName <> endStationName GROUP BY age, gender""",
     "speed_gender_gap": f"""
 SELECT Age, {_r('m')} AS MaleSpeed, {_r('f')} AS FemaleSpeed, {_r('m - f')} AS Gap FROM (
   SELECT age AS Age,
@@ -294,6 +299,11 @@ SELECT Age, {_r('m')} AS MaleSpeed, {_r('f')} AS FemaleSpeed, {_r('m - f')} AS G
 )""",
     "duration_ridge": f""", {_RIDGE}
 SELECT {_r('b')} AS intercept, {_r('w')} AS coefficient, {_r('0.3')} AS regParam FROM ridge""",
+    "duration_ridge_legacy": f""", {_RIDGE_LEGACY}
+SELECT {_r('b')} AS intercept, {_r('w')} AS coefficient, {_r('0.3')} AS regParam,
+       {_r('(SELECT 1 - sum(pow(y - (b + w * x), 2)) / sum(pow(y - my, 2)) FROM xy)')} AS r2,
+       {_r('(SELECT sqrt(avg(pow(y - (b + w * x), 2))) FROM xy)')} AS rmse
+FROM ridge""",
     "duration_ridge_metrics": f""", {_RIDGE}
 SELECT {_r('1 - sum(pow(y - (b + w * x), 2)) / sum(pow(y - my, 2))')} AS r2,
        {_r('sqrt(avg(pow(y - (b + w * x), 2)))')} AS rmse, count(*) AS numInstances
