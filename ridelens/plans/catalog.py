@@ -453,11 +453,18 @@ def _q_tree_depth_sweep(spark, sf):
 ONE_MONTH = "199710"
 
 
+_STAGED: dict[tuple, str] = {}
+
+
 def staged_trip_files(spark: SparkSession, sf_dir: str) -> str:
+    """Monthly trip CSV files derived from the tables, written once per session."""
     from ..session import shared_path
     from ..sources import files
 
-    return files.write_trip_files(trips(spark, sf_dir), shared_path(spark, "trip-files"))
+    k = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if k not in _STAGED:
+        _STAGED[k] = files.write_trip_files(trips(spark, sf_dir), shared_path(spark, "trip-files"))
+    return _STAGED[k]
 
 
 def _month_dirs(spark: SparkSession, root: str) -> list[str]:
