@@ -49,3 +49,26 @@ def test_hourly_usage_single_aggregate(spark):
     df = QUERIES["hourly_usage"](spark, SF0001)
     assert I.count_operator(df, "HashAggregate") == 2  # partial + final
     assert I.count_operator(df, "Union") == 0
+
+
+def test_at_scale_join_shape(spark):
+    """With no side broadcastable (large tables), lineitem is exchanged once, on orderkey."""
+    import re
+
+    from ridelens.operators.cohort import clean_cohort
+    from ridelens.operators.demand import top_destinations_by_band
+    from ridelens.sources.tables import trips_from_tables
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = top_destinations_by_band(clean_cohort(trips_from_tables(spark, SF0001)))
+        text = I.plan_text(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert I.count_operator(df, "SortMergeJoin") == 2
+    keys = re.findall(r"hashpartitioning\(([a-z_]+)#", text)
+    assert keys.count("l_orderkey") == 1  # the big table moves once
+    assert keys.count("o_custkey") == 1 and keys.count("c_custkey") == 1
+    assert keys.count("o_orderkey") == 1  # riders re-keyed by order, not lineitem by customer
+    assert "BroadcastExchange" not in text
