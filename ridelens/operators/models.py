@@ -185,11 +185,18 @@ def tree_depth_sweep(
 ) -> DataFrame:
     """Test RMSE for each max depth (0..30 by default); fits run concurrently.
 
-    The sampled train/test rows are persisted once (spillable to disk) and reused
-    by every fit; each fit is its own set of distributed jobs.
+    The sampled rows are checkpointed once (reliable files in the shared
+    ``spark.checkpoint.dir``, never ``localCheckpoint``), so the many passes of
+    the many fits neither recompute the three-table join nor lose their input with
+    an executor; train/test are then persisted for reuse.  Each fit is its own set
+    of distributed jobs.
     """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(cohort.sparkSession)
     depths = TREE_MAX_DEPTHS if depths is None else list(depths)
-    train, test = tree_split(cohort, fraction)
+    sampled = sample_trips(tree_inputs(cohort), fraction).checkpoint(eager=True)
+    train, test = train_test_split(sampled)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
     try:
