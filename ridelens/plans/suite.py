@@ -61,6 +61,7 @@ def materialize_cohort(
         path = shared_path(spark, "cohort")
     (
         cohort.withColumn(MONTH_COLUMN, F.date_format("startTime", MONTH_FORMAT))
+        .hint("rebalance", MONTH_COLUMN)  # right-sized files per month, hot months split
         .write.mode("overwrite")
         .partitionBy(MONTH_COLUMN)
         .parquet(path)

@@ -24,12 +24,15 @@ MONTH_FORMAT = "yyyyMM"
 def write_trip_files(trips: DataFrame, out_dir: str, mode: str = "overwrite") -> str:
     """Write raw trips as monthly CSV directories ``<out_dir>/month=yyyyMM/``.
 
-    Each task writes its own part files per month (no shuffle, no single writer);
-    Spark sorts a task's rows by month so only one file is open at a time.
+    The ``rebalance`` hint shuffles rows by month once and lets AQE size the
+    partitions: small months are coalesced and a hot month (say a third of all
+    trips) is split across tasks, so the output is a few right-sized files per
+    month instead of one small file per (scan task, month).
     """
     (
         trips.select(*TRIP_COLUMNS)
         .withColumn(MONTH_COLUMN, F.date_format("startTime", MONTH_FORMAT))
+        .hint("rebalance", MONTH_COLUMN)
         .write.mode(mode)
         .partitionBy(MONTH_COLUMN)
         .option("header", True)
