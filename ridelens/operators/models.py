@@ -143,10 +143,7 @@ def tree_stages(max_depth: int, user_type_from_gender: bool = False, max_categor
         stringOrderType="frequencyDesc",
         handleInvalid="keep",
     )
-    assembler = VectorAssembler(
-        inputCols=["startIndex", "endIndex", "age", "genderIndex", "userTypeIndex"],
-        outputCol="features",
-    )
+    assembler = VectorAssembler(inputCols=TREE_FEATURES, outputCol="features")
     vindex = VectorIndexer(
         inputCol="features", outputCol="indexedFeatures", maxCategories=max_categories,
         handleInvalid="keep",
@@ -176,6 +173,16 @@ def evaluate_rmse(model, test: DataFrame) -> float:
     return RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="rmse").evaluate(pred)
 
 
+TREE_FEATURES = ["startIndex", "endIndex", "age", "genderIndex", "userTypeIndex"]
+
+
+def describe_tree(model) -> tuple[str, list[tuple[str, float]]]:
+    """The fitted tree's text form and its per-feature importances."""
+    tree = model.stages[-1]
+    imp = tree.featureImportances.toArray()
+    return tree.toDebugString, [(f, float(v)) for f, v in zip(TREE_FEATURES, imp)]
+
+
 def tree_depth_sweep(
     spark,
     cohort: DataFrame,

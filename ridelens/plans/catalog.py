@@ -439,6 +439,16 @@ def _q_duration_tree_rmse(spark, sf):
     )
 
 
+@register("tree_feature_importances")
+def _q_tree_feature_importances(spark, sf):
+    """Which inputs the depth-5 tree splits on (the fitted model, inspected)."""
+    from ..operators import models
+
+    train, _ = models.tree_split(cohort(spark, sf))
+    _, imp = models.describe_tree(models.fit_duration_tree(train, TREE_DEPTH))
+    return spark.createDataFrame(imp, "feature string, importance double")
+
+
 @register("tree_depth_sweep")
 def _q_tree_depth_sweep(spark, sf):
     from ..operators import models

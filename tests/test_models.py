@@ -56,6 +56,10 @@ def test_tree_sweep_and_rmse(spark, cohort_small):
     ev = models.evaluate_rmse(m, test)
     sql = m.transform(test).agg(models.rmse_sql()).first()[0]
     assert ev == pytest.approx(sql, rel=1e-9)
+    text, imp = models.describe_tree(m)
+    assert "DecisionTreeRegressionModel" in text and "depth=2" in text
+    assert [f for f, _ in imp] == models.TREE_FEATURES
+    assert sum(v for _, v in imp) == pytest.approx(1.0) or sum(v for _, v in imp) == 0
 
 
 def test_station_index_frequency_order(cohort_small):
