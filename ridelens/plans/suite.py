@@ -75,16 +75,26 @@ def run_all(
     sink: Callable[[DataFrame], None],
     mode: str = "table",
     with_model: bool = True,
+    parallelism: int = 4,
 ) -> DataFrame:
-    """Materialise the cohort once, then send every question's result to ``sink``."""
+    """Materialise the cohort once, then send every question's result to ``sink``.
+
+    The questions are independent jobs over the same materialised cohort; they are
+    submitted from ``parallelism`` driver threads so their (small) stages overlap
+    on the executors instead of queueing one after another.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     from ..operators import models
 
     cohort = materialize_cohort(spark, trips_from_tables(spark, sf_dir), mode)
     try:
-        for df in questions(cohort).values():
-            sink(df)
+        work = [lambda df=df: sink(df) for df in questions(cohort).values()]
         if with_model:
-            models.fit_duration_ridge(cohort)
+            work.append(lambda: models.fit_duration_ridge(cohort))
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            for f in [pool.submit(w) for w in work]:
+                f.result()
     finally:
         if mode == "persist":
             cohort.unpersist()
