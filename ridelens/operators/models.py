@@ -7,9 +7,10 @@
   index) with categorical detection by ``VectorIndexer`` and ``maxBins`` 828.
 
 Sampling and the train/test split are *hash-based* on the trip's own fields
-rather than ``sample``/``randomSplit``: a row's membership depends only on its
-content and the seed, so a stage recomputed after an executor loss selects
-exactly the same rows and train/test never overlap.
+(bike, start and end time) rather than ``sample``/``randomSplit``: a row's
+membership depends only on its content and the seed, so a stage recomputed after
+an executor loss selects exactly the same rows, train/test never overlap, and an
+independent SQL engine can select the very same rows.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ TRAIN_FRACTION = 0.7
 TREE_MAX_DEPTHS = list(range(0, 31))
 VECTOR_MAX_CATEGORIES = 20  # VectorIndexer default
 
-_BUCKETS = 1 << 20
-TRIP_KEY = ["bikeID", "startTime", "endTime", "startStationName", "endStationName"]
+# Seeded sampling hash: a 2-universal family h(x) = (a*x + b) mod p over the trip's
+# integer fields, folded field by field so every product stays below 2**62.
+HASH_PRIME = 2147483647  # 2**31 - 1
+TRIP_KEY = ["bikeID", "startTime", "endTime"]
 
 
 # --- ridge regression -------------------------------------------------------------
@@ -89,9 +92,38 @@ def ridge_predictions(cohort: DataFrame, model, legacy: bool = False) -> DataFra
 # --- deterministic sampling ---------------------------------------------------------
 
 
+def epoch_seconds(ts) -> Column:
+    """Seconds since 1970-01-01 00:00 of a TIMESTAMP_NTZ, without any time zone."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def hash_multipliers(seed: int, n: int) -> tuple[list[int], int]:
+    """Per-field multipliers in [1, p-1] and the offset b for ``seed``."""
+    a = [(int(seed) * 1000003 + (i + 1) * 7919 + 12345) % (HASH_PRIME - 1) + 1 for i in range(n)]
+    return a, int(seed) % HASH_PRIME
+
+
+def _int_fields(cols: list[str]) -> list[Column]:
+    out = []
+    for c in cols:
+        if c in ("startTime", "endTime"):
+            out.append(epoch_seconds(c))
+        else:
+            out.append(F.col(c).cast("long"))
+    return out
+
+
 def _unit_hash(seed: int, cols: list[str]) -> Column:
-    """Uniform value in [0, 1) from the row's content and a seed."""
-    return F.pmod(F.xxhash64(F.lit(int(seed)), *cols), F.lit(_BUCKETS)) / F.lit(float(_BUCKETS))
+    """Uniform value in [0, 1) from the row's integer key fields and a seed."""
+    xs = _int_fields(cols)
+    a, b = hash_multipliers(seed, len(xs))
+    p = F.lit(HASH_PRIME)
+    h = F.lit(b).cast("long")
+    for ai, x in zip(a, xs):
+        h = F.pmod(h + F.lit(ai) * F.pmod(x, p), p)
+    return h / F.lit(float(HASH_PRIME))
 
 
 def sample_trips(df: DataFrame, fraction: float, seed: int = 42, key: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ widths matching Spark's (``INTEGER`` for int, ``BIGINT`` for counts/sums).
 
 from __future__ import annotations
 
+from ..operators.models import HASH_PRIME, hash_multipliers
 from ..sources.tables import TRIPS_SQL
 
 AS_OF_YEAR = 2018
@@ -85,6 +86,23 @@ ridge AS (
 
 _RIDGE_LEGACY = _RIDGE.replace("FROM dist)", "FROM dist_legacy)")
 
+def _epoch(ts: str) -> str:
+    return (
+        f"(date_diff('day', DATE '1970-01-01', CAST({ts} AS DATE)) * 86400"
+        f" + hour({ts}) * 3600 + minute({ts}) * 60 + second({ts}))"
+    )
+
+
+def _unit_hash(seed: int) -> str:
+    """(a*x + b) mod p folded over bikeID, start and end epoch seconds, scaled to [0, 1)."""
+    fields = ["CAST(bikeID AS BIGINT)", _epoch("startTime"), _epoch("endTime")]
+    a, b = hash_multipliers(seed, len(fields))
+    h = f"CAST({b} AS BIGINT)"
+    for ai, x in zip(a, fields):
+        h = f"(({h} + {ai} * ((({x}) % {HASH_PRIME} + {HASH_PRIME}) % {HASH_PRIME})) % {HASH_PRIME})"
+    return f"({h} / {float(HASH_PRIME)})"
+
+
 _SPEED = "CASE WHEN TimeHR = 0 THEN NULL ELSE DistanceKM / TimeHR END"
 
 _PREFIX = f"""
@@ -349,6 +367,10 @@ SELECT {_gender('gender')} AS gender, {_band(_hour('endTime'))} AS "Time",
        {_r('avg(' + _dist() + ')')} AS avgDist, {_r('avg(' + _dist(True) + ')')} AS avgDistLegacy
 FROM trips GROUP BY ALL""",
     "stream_ingest": "SELECT strftime(startTime, '%Y%m') AS month, count(*) AS Num FROM cohort GROUP BY ALL",
+    "sample_trips": f"SELECT {_COHORT_COLS} FROM cohort WHERE {_unit_hash(42)} < 0.1",
+    "train_test_split": f"""
+SELECT CASE WHEN {_unit_hash(7)} < 0.7 THEN 'train' ELSE 'test' END AS split, count(*) AS Num
+FROM cohort GROUP BY ALL""",
     "clean_cohort": f"SELECT {_COHORT_COLS} FROM cohort",
     "clean_cohort_union": f"SELECT {_COHORT_COLS} FROM cohort",
     "clean_projection": f"SELECT {_COHORT_COLS} FROM derived",
