@@ -89,3 +89,20 @@ def test_rules_reach_scans(spark):
     # gender -> customer scan, age -> orders scan (evaluated right after the scan)
     assert "(c_nationkey" in plan and "% 3) IN (1,2)" in plan
     assert "o_custkey" in plan and ">= 1953" in plan
+
+
+def test_rules_become_parquet_pushed_filters(spark, trips_small):
+    """On trip files the rules written on raw columns reach the parquet reader."""
+    import tempfile
+
+    from ridelens.plans.inspect import plan_text
+
+    path = tempfile.mkdtemp(prefix="ridelens-parquet-") + "/trips"
+    trips_small.write.parquet(path)
+    cohort = CO.clean_cohort(spark.read.parquet(path))
+    pushed = [line for line in plan_text(cohort).splitlines() if line.startswith("PushedFilters")]
+    assert len(pushed) == 1
+    assert "In(gender, [1,2])" in pushed[0]
+    assert "GreaterThanOrEqual(birthYear,1953)" in pushed[0]
+    assert "Or(" in pushed[0]  # the user-type/duration disjunction is pushed too
+    assert cohort.count() == 2130
