@@ -1,8 +1,9 @@
 """Distributed models of trip duration (Spark MLlib).
 
 * Ridge regression: hours ~ km, ``regParam`` 0.3 as in the original; the normal
-  equation solver reduces one small moments matrix per task, so the fit is one
-  pass over the cohort regardless of its size.
+  equation solver reduces one small moments matrix per task (one aggregate pass
+  for the coefficients, whatever the cohort size), and the training summary adds
+  one more pass, over the persisted two-column input.
 * Decision tree: duration ~ (start index, end index, age, gender index, user type
   index) with categorical detection by ``VectorIndexer`` and ``maxBins`` 828.
 
@@ -47,7 +48,7 @@ TRIP_KEY = ["bikeID", "startTime", "endTime"]
 def ridge_inputs(cohort: DataFrame, legacy: bool = False) -> DataFrame:
     d = with_distance(cohort, legacy)
     return VectorAssembler(inputCols=["DistanceKM"], outputCol="features").transform(
-        d.select(F.col("TimeHR").alias("label"), "DistanceKM", *[c for c in TRIP_KEY])
+        d.select(F.col("TimeHR").alias("label"), "DistanceKM", *TRIP_KEY)
     )
 
 
