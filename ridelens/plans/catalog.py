@@ -63,7 +63,9 @@ _PLANS: dict[tuple, DataFrame] = {}
 
 
 def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
-    k = (id(spark), spark.sparkContext.applicationId, *key)
+    from ..session import session_key
+
+    k = (*session_key(spark), *key)
     df = _PLANS.get(k)
     if df is None:
         df = _PLANS[k] = build()
@@ -471,7 +473,9 @@ def staged_trip_files(spark: SparkSession, sf_dir: str) -> str:
     from ..session import shared_path
     from ..sources import files
 
-    k = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    from ..session import session_key
+
+    k = (*session_key(spark), sf_dir)
     if k not in _STAGED:
         _STAGED[k] = files.write_trip_files(trips(spark, sf_dir), shared_path(spark, "trip-files"))
     return _STAGED[k]
