@@ -221,7 +221,7 @@ def tree_depth_sweep(
     cohort: DataFrame,
     depths: list[int] | None = None,
     fraction: float = TREE_SAMPLE_FRACTION,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Test RMSE for each max depth (0..30 by default); fits run concurrently.
 
