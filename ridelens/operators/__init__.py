@@ -1 +1 @@
-"""ridelens package."""
+"""Cohort cleaning and the demand, rider, fleet, distance and model questions."""

@@ -1 +1 @@
-"""ridelens package."""
+"""Query catalogue, SQL oracle, question suite and plan inspection."""

@@ -1 +1 @@
-"""ridelens package."""
+"""Incremental (Structured Streaming) ingest of newly arriving trip files."""
