@@ -86,7 +86,9 @@ def age_band_share(cohort: DataFrame) -> DataFrame:
         C.age_band("age").alias("ageGroup"),
     ).agg(F.count(F.lit(1)).alias("Num"))
     w = Window.partitionBy("userType")
-    return counts.withColumn("Percent", F.col("Num") / F.sum("Num").over(w))
+    return counts.withColumn("Percent", F.col("Num") / F.sum("Num").over(w)).orderBy(
+        "userType", "ageGroup"
+    )
 
 
 def age_band_totals(cohort: DataFrame) -> DataFrame:
