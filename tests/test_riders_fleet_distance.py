@@ -122,3 +122,20 @@ def test_speed_gap(cohort_small):
         if r.MaleSpeed is not None and r.FemaleSpeed is not None:
             assert r.MaleSpeed == pytest.approx(sp[(r.Age, "Male")])
             assert r.Gap == pytest.approx(r.MaleSpeed - r.FemaleSpeed)
+
+
+def test_gender_totals_equal_user_type_totals(cohort_small):
+    # I2: male + female = subscribers + customers = cohort size.
+    from ridelens.operators import demand
+
+    n = cohort_small.count()
+    leaving = (
+        demand.hourly_usage(cohort_small)
+        .filter(F.col("Type") == "Leaving")
+        .groupBy("gender")
+        .agg(F.sum("Num").alias("n"))
+        .collect()
+    )
+    assert sum(r.n for r in leaving) == n and {r.gender for r in leaving} <= {"Male", "Female"}
+    share = riders.usertype_share_by_age(cohort_small, keep_all=True).agg(F.sum("Total")).first()[0]
+    assert share == n
