@@ -73,6 +73,45 @@ def fit_duration_ridge(cohort: DataFrame, reg_param: float = RIDGE_REG_PARAM, le
     return model, metrics
 
 
+def ridge_by_moments(
+    cohort: DataFrame, reg_param: float = RIDGE_REG_PARAM, legacy: bool = False
+) -> DataFrame:
+    """The same fit and metrics as ``fit_duration_ridge`` in one aggregate pass.
+
+    For one feature, Spark's standardised L2 solution is
+    ``w = cov(x, y) / var(x) / (1 + lambda / sd(y))``, ``b = mean(y) - w mean(x)``
+    (population moments), and the training error follows from the same moments:
+    ``SSE / n = var(y) - 2 w cov(x, y) + w^2 var(x)``.  Every task reduces its
+    rows to a handful of partial moments (numerically stable merges), nothing is
+    cached and nothing but the one-row result reaches the driver.  Constant
+    inputs (zero variance) give nulls.
+    """
+    d = with_distance(cohort, legacy).select(
+        F.col("DistanceKM").alias("x"), F.col("TimeHR").alias("y")
+    )
+    m = d.agg(
+        F.covar_pop("x", "y").alias("cov"),
+        F.var_pop("x").alias("vx"),
+        F.var_pop("y").alias("vy"),
+        F.stddev_pop("y").alias("sy"),
+        F.avg("x").alias("mx"),
+        F.avg("y").alias("my"),
+        F.count(F.lit(1)).alias("numInstances"),
+    )
+    lam = F.lit(float(reg_param))
+    w = F.try_divide(F.try_divide(F.col("cov"), F.col("vx")), F.lit(1.0) + F.try_divide(lam, F.col("sy")))
+    fitted = m.withColumn("w", w)
+    sse_n = F.col("vy") - F.lit(2.0) * F.col("w") * F.col("cov") + F.col("w") * F.col("w") * F.col("vx")
+    return fitted.select(
+        (F.col("my") - F.col("w") * F.col("mx")).alias("intercept"),
+        F.col("w").alias("coefficient"),
+        lam.alias("regParam"),
+        (F.lit(1.0) - F.try_divide(sse_n, F.col("vy"))).alias("r2"),
+        F.sqrt(sse_n).alias("rmse"),
+        "numInstances",
+    )
+
+
 def ridge_coefficients(spark, model, reg_param: float) -> DataFrame:
     return spark.createDataFrame(
         [(float(model.intercept), float(model.coefficients[0]), float(reg_param))],

@@ -354,6 +354,14 @@ def _q_duration_ridge(spark, sf):
     return models.ridge_coefficients(spark, m, models.RIDGE_REG_PARAM)
 
 
+@register("duration_ridge_onepass")
+def _q_duration_ridge_onepass(spark, sf):
+    """Ridge coefficients and fit metrics from one aggregate pass (no cache, no driver data)."""
+    from ..operators import models
+
+    return models.ridge_by_moments(cohort(spark, sf), models.RIDGE_REG_PARAM)
+
+
 @register("duration_ridge_legacy")
 def _q_duration_ridge_legacy(spark, sf):
     """The fit as originally reported: hours ~ legacy distance."""

@@ -317,6 +317,12 @@ SELECT Age, {_r('m')} AS MaleSpeed, {_r('f')} AS FemaleSpeed, {_r('m - f')} AS G
 )""",
     "duration_ridge": f""", {_RIDGE}
 SELECT {_r('b')} AS intercept, {_r('w')} AS coefficient, {_r('0.3')} AS regParam FROM ridge""",
+    "duration_ridge_onepass": f""", {_RIDGE}
+SELECT {_r('b')} AS intercept, {_r('w')} AS coefficient, {_r('0.3')} AS regParam,
+       {_r('(SELECT 1 - sum(pow(y - (b + w * x), 2)) / sum(pow(y - my, 2)) FROM xy)')} AS r2,
+       {_r('(SELECT sqrt(avg(pow(y - (b + w * x), 2))) FROM xy)')} AS rmse,
+       (SELECT count(*) FROM xy) AS numInstances
+FROM ridge""",
     "duration_ridge_legacy": f""", {_RIDGE_LEGACY}
 SELECT {_r('b')} AS intercept, {_r('w')} AS coefficient, {_r('0.3')} AS regParam,
        {_r('(SELECT 1 - sum(pow(y - (b + w * x), 2)) / sum(pow(y - my, 2)) FROM xy)')} AS r2,

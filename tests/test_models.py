@@ -28,6 +28,17 @@ def test_ridge_matches_closed_form(cohort_small, lam):
     assert rmse == pytest.approx((sse / n) ** 0.5, rel=1e-8)
 
 
+@pytest.mark.parametrize("lam", [0.0, 0.3])
+def test_one_pass_ridge_matches_mllib(cohort_small, lam):
+    model, (r2, rmse, n) = models.fit_duration_ridge(cohort_small, lam)
+    r = models.ridge_by_moments(cohort_small, lam).first()
+    assert r.coefficient == pytest.approx(model.coefficients[0], rel=1e-8)
+    assert r.intercept == pytest.approx(model.intercept, rel=1e-8)
+    assert r.r2 == pytest.approx(r2, rel=1e-6, abs=1e-12)
+    assert r.rmse == pytest.approx(rmse, rel=1e-8)
+    assert r.numInstances == n
+
+
 def test_sample_is_deterministic_and_sized(cohort_small):
     n = cohort_small.count()
     a = models.sample_trips(cohort_small.repartition(3), 0.1, seed=42)
