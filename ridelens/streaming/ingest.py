@@ -48,14 +48,16 @@ def start_cohort_ingest(
     as_of_year: int = C.DEFAULT_AS_OF_YEAR,
     available_now: bool = True,
     processing_time: str | None = None,
+    max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Append cleaned rows to ``table_dir`` (parquet, partitioned by start month).
 
     ``available_now=True`` processes everything present and stops (batch-style
-    catch-up, still incremental across runs); otherwise the query keeps running
-    with the given ``processing_time`` trigger.
+    catch-up, still incremental across runs; with ``max_files_per_trigger`` the
+    catch-up runs as several bounded micro-batches); otherwise the query keeps
+    running with the given ``processing_time`` trigger.
     """
-    rows = cohort_stream(spark, landing_dir, as_of_year).withColumn(
+    rows = cohort_stream(spark, landing_dir, as_of_year, max_files_per_trigger).withColumn(
         MONTH_COLUMN, F.date_format("startTime", MONTH_FORMAT)
     )
     w = (

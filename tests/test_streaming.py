@@ -11,8 +11,8 @@ from ridelens.sources.files import write_trip_files
 from ridelens.streaming.ingest import start_cohort_ingest
 
 
-def _run(spark, landing, table, ckpt):
-    q = start_cohort_ingest(spark, landing, table, ckpt)
+def _run(spark, landing, table, ckpt, max_files=None):
+    q = start_cohort_ingest(spark, landing, table, ckpt, max_files_per_trigger=max_files)
     q.awaitTermination()
     assert q.exception() is None
     return spark.read.parquet(table).count()
@@ -30,7 +30,7 @@ def test_ingest_is_incremental_and_exactly_once(spark, trips_small):
     assert n1 == clean_cohort(first).count()
 
     write_trip_files(second, f"{landing}/drop2")
-    n2 = _run(spark, landing, table, ckpt)
+    n2 = _run(spark, landing, table, ckpt, max_files=2)  # bounded micro-batches
     assert n2 == n1 + clean_cohort(second).count()
 
     assert _run(spark, landing, table, ckpt) == n2  # nothing new -> nothing appended
