@@ -82,3 +82,13 @@ def test_station_index_frequency_order(cohort_small):
     order = sorted(counts, key=lambda s: (-counts[s], s))
     got = {r.start: int(r.startIndex) for r in idx.select("start", "startIndex").distinct().collect()}
     assert [s for s, _ in sorted(got.items(), key=lambda kv: kv[1])] == order
+
+
+def test_depth_zero_tree_equals_mean_predictor(spark, cohort_small):
+    """A depth-0 tree predicts the training mean: its test RMSE has an exact SQL form."""
+    sweep = {r.maxDepth: r for r in models.tree_depth_sweep(spark, cohort_small, depths=[0]).collect()}
+    train, test = models.tree_split(cohort_small)
+    mean = train.agg(F.avg("label")).first()[0]
+    want = test.agg(F.sqrt(F.avg(F.pow(F.col("label") - F.lit(mean), 2)))).first()[0]
+    assert sweep[0].numNodes == 1
+    assert sweep[0].rmse == pytest.approx(want, rel=1e-9)
