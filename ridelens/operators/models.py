@@ -237,7 +237,15 @@ def rmse_sql() -> Column:
 
 
 def fit_duration_tree(train: DataFrame, max_depth: int, **kw):
-    return Pipeline(stages=tree_stages(max_depth, **kw)).fit(train)
+    """Fit the pipeline; the indexers and the tree each read the training rows, so
+    they are persisted for the fit unless the caller already did so."""
+    mine = not train.is_cached
+    data = train.persist(StorageLevel.MEMORY_AND_DISK) if mine else train
+    try:
+        return Pipeline(stages=tree_stages(max_depth, **kw)).fit(data)
+    finally:
+        if mine:
+            data.unpersist()
 
 
 def evaluate_rmse(model, test: DataFrame) -> float:
