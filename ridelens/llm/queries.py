@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, urls
+from . import chat, decontaminate, language, licenses, neardup, pii, tokens, urls, vectors
 from .common import table
 
 # The URL rules of the registered query.
@@ -17,6 +17,32 @@ URL_RULES = [
 ]
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = tokens.encode(table(spark, sf_dir, "documents"))
+    return encoded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", "round_trip", "scan_ok")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = language.train(docs.filter(~language.held_out()))
+    found = language.identify(docs, prototypes)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.nearest_neighbours(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k+1 (rejected) of the whole table are pair k."""
     turns = table(spark, sf_dir, "conversations").select(
@@ -30,10 +56,27 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.default_templates(spark))
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("licenses").cast("long").alias("n_licenses"))
 
 
-QUERIES = {f.__name__: f for f in (op7_preference_format, op8_url_filter, op10_license_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_sentencepiece,
+        op3_language_id,
+        op4_personal_data,
+        op6_nearest_neighbours,
+        op7_preference_format,
+        op8_url_filter,
+        op9_decontamination,
+        op10_license_scan,
+    )
+}
 ORACLE_SQL_BY_QUERY: dict[str, str] = {}
