@@ -83,8 +83,8 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 ["doc_id", "text_hash", "digest", "keys"],
             )
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(sign, "doc_id long, text_hash long, digest binary, keys array<long>")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return texts.mapInArrow(sign, "doc_id long, text_hash long, digest binary, keys array<long>")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
