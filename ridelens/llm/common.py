@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library made, on any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, filled on first use and emptied when it holds ``bound`` words."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, licenses, neardup, pii, tokens, urls, vectors
+from . import chat, decontaminate, language, licenses, neardup, pii, substrings, tokens, urls, vectors
 from .common import table
 
 # The URL rules of the registered query.
@@ -38,6 +38,11 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return vectors.nearest_neighbours(rows, rows.filter("vec_id % 100 = 0"))
@@ -72,6 +77,7 @@ QUERIES = {
         op2_sentencepiece,
         op3_language_id,
         op4_personal_data,
+        op5_substring_dedup,
         op6_nearest_neighbours,
         op7_preference_format,
         op8_url_filter,
