@@ -72,11 +72,10 @@ def _shingles_of(words: Column) -> Column:
 
 
 def _min_hash(sh: Column, at: Column, window: int, band: Column) -> Column:
-    """Key of one band of the window of ``sh`` from ``at``; entries beyond the end don't count."""
-    hashes = []
-    for o in range(window):
-        x = F.get(sh, at + o)
-        hashes.append(F.when(x.isNotNull(), F.xxhash64(x, band)) if o else F.xxhash64(x, band))
+    """Key of one band of the window of ``sh`` from ``at``; beyond the end its first shingle stands in,
+    which leaves the set as it is."""
+    first = F.get(sh, at)
+    hashes = [F.xxhash64(F.coalesce(F.get(sh, at + o), first) if o else first, band) for o in range(window)]
     return F.least(*hashes) if window > 1 else hashes[0]
 
 
@@ -100,11 +99,14 @@ def _band_keys(rows: DataFrame, probes: list, at: Column, only_size: Column | No
         part = F.when(here, F.array(*[F.lit(x) for x in own])).otherwise(F.array().cast("array<int>"))
         numbers = part if numbers is None else F.concat(numbers, part)
     out = rows.select("*", F.explode_outer(numbers).alias("probe")).filter(F.col("probe").isNotNull())
-    key = None
-    for (size, window, _), own in groups.items():
-        value = _min_hash(F.col("sh"), at, size if only_size is not None else window, F.col("probe"))
-        here = F.col("probe") <= max(own)
-        key = F.when(here, value) if key is None else key.when(here, value)
+    # One branch for each group, and none that can be null, which would make the join test the keys first.
+    values = [
+        (max(own), _min_hash(F.col("sh"), at, size if only_size is not None else window, F.col("probe")))
+        for (size, window, _), own in groups.items()
+    ]
+    key = values[-1][1]
+    for most, value in values[-2::-1]:
+        key = F.when(F.col("probe") <= most, value).otherwise(key)
     return out.withColumn("key", key)
 
 
@@ -166,8 +168,10 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
         wanted = F.broadcast(wanted)
     hits = _band_keys(_positions(docs, max(layout(x)[0] for x in sizes)), probes, F.col("at")).join(wanted, ["probe", "key"])
     around = F.slice("sh", F.greatest(F.col("at") - SECTION, F.lit(0)) + 1, F.col("window") + 2 * SECTION)
+    # A lambda function, so that the few hits are verified outside the generated code of the probes.
+    held = F.filter("section", lambda x: F.array_contains(around, x))
     found = (
-        hits.select("doc_id", "license", "offset", "total", F.size(F.array_intersect("section", around)).alias("held"))
+        hits.select("doc_id", "license", "offset", "total", F.size(held).alias("held"))
         .groupBy("doc_id", "license", "total", "offset")
         .agg(F.max("held").alias("held"))
         .groupBy("doc_id", "license", "total")
