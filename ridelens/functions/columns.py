@@ -99,14 +99,15 @@ def day_name(day_number) -> Column:
 
 
 def day_type(name) -> Column:
-    """Day name -> 'Weekend' for Saturday/Sunday, else 'Weekday'."""
+    """Day name -> 'Weekend' for Saturday/Sunday, else 'Weekday'; null -> null."""
     n = _c(name)
-    return F.when(n.isin(DAY_NAMES[0], DAY_NAMES[6]), F.lit(WEEKEND)).otherwise(F.lit(WEEKDAY))
+    return F.when(n.isin(DAY_NAMES[0], DAY_NAMES[6]), F.lit(WEEKEND)).when(n.isNotNull(), F.lit(WEEKDAY))
 
 
 def day_type_of(ts) -> Column:
     """Weekday/Weekend directly from a timestamp (same result as day_type(day_name(dayofweek)))."""
-    return F.when(F.dayofweek(_c(ts)).isin(1, 7), F.lit(WEEKEND)).otherwise(F.lit(WEEKDAY))
+    t = _c(ts)
+    return F.when(F.dayofweek(t).isin(1, 7), F.lit(WEEKEND)).when(t.isNotNull(), F.lit(WEEKDAY))
 
 
 def rider_age(birth_year, as_of_year: int = DEFAULT_AS_OF_YEAR) -> Column:

@@ -52,7 +52,7 @@ SQL_FUNCTIONS: dict[str, str] = {
     ),
     "day_type": (
         "(name STRING) RETURNS STRING RETURN "
-        f"CASE WHEN name IN ('{C.DAY_NAMES[0]}', '{C.DAY_NAMES[6]}') THEN '{C.WEEKEND}' "
+        f"CASE WHEN name IS NULL THEN NULL WHEN name IN ('{C.DAY_NAMES[0]}', '{C.DAY_NAMES[6]}') THEN '{C.WEEKEND}' "
         f"ELSE '{C.WEEKDAY}' END"
     ),
     "haversine_km": (

@@ -29,7 +29,8 @@ def day_type_counts(cohort: DataFrame, time_col: str = "startTime") -> DataFrame
     """Trips per day name and Weekday/Weekend of ``time_col``."""
     name = C.day_name(F.dayofweek(time_col))
     return (
-        cohort.select(name.alias("Day"), C.day_type(name).alias("DayType"))
+        cohort.filter(F.col(time_col).isNotNull())
+        .select(name.alias("Day"), C.day_type(name).alias("DayType"))
         .groupBy("Day", "DayType")
         .agg(F.count(F.lit(1)).alias("Num"))
     )
@@ -99,7 +100,8 @@ def hourly_usage(cohort: DataFrame) -> DataFrame:
         ).alias("Type", "Hour", "DayType"),
     )
     return (
-        ends.groupBy("gender", "DayType", "Hour", "Type")
+        ends.filter(F.col("Hour").isNotNull())  # a null time has no hour
+        .groupBy("gender", "DayType", "Hour", "Type")
         .agg(F.count("Hour").alias("Num"))
         .orderBy("gender", "DayType", "Type", "Hour")
     )
@@ -121,12 +123,12 @@ def hourly_usage_union(cohort: DataFrame) -> DataFrame:
     ``startHour``/``startDay`` and the direction column ``Leaving`` even for
     arriving rows.  Kept as the equivalence baseline for ``hourly_usage``.
     """
-    leaving = cohort.groupBy(
+    leaving = cohort.filter(F.col("startTime").isNotNull()).groupBy(
         "gender",
         F.hour("startTime").alias("startHour"),
         C.day_type(C.day_name(F.dayofweek("startTime"))).alias("startDay"),
     ).agg(F.count(F.lit(1)).alias("Num"), F.lit("Leaving").alias("Leaving"))
-    arriving = cohort.groupBy(
+    arriving = cohort.filter(F.col("endTime").isNotNull()).groupBy(
         "gender",
         F.hour("endTime").alias("endHour"),
         C.day_type(C.day_name(F.dayofweek("endTime"))).alias("endDay"),

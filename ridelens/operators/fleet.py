@@ -74,13 +74,20 @@ def bikes_in_both_top(cohort: DataFrame, k: int = 10) -> DataFrame:
 def bike_daily_rate(cohort: DataFrame, k: int = 10) -> DataFrame:
     """Trips and hours per day of the period for the top-k bikes by trips.
 
-    The period length (distinct days with any trip) is a scalar subquery, not a
-    cross join; its aggregate is keyed by date (a few hundred groups).
+    Trips are first added up by bike and day; both the bikes' sums and the period length (distinct
+    days with any trip, a scalar subquery) are taken from that one aggregate, whose
+    exchange Spark reuses.
     """
-    days = cohort.select(F.count_distinct(F.to_date("startTime")).alias("d")).scalar()
+    per_day = cohort.groupBy("bikeID", F.to_date("startTime").alias("day")).agg(
+        F.count("bikeID").alias("trips"), F.sum("duration").alias("seconds")
+    )
+    days = per_day.select(F.count_distinct("day")).scalar()
+    usage = per_day.groupBy("bikeID").agg(
+        F.sum("trips").alias("Num"), C.hours(F.sum("seconds")).alias("HoursUsed")
+    )
     # Bind the subquery once (three references would plan three subqueries) and
     # before the top-k, so the top-k still plans as TakeOrderedAndProject.
-    rates = bike_usage(cohort).withColumn("Days", days).select(
+    rates = usage.withColumn("Days", days).select(
         "bikeID",
         "Num",
         "HoursUsed",

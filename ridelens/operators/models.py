@@ -1,9 +1,7 @@
 """Distributed models of trip duration (Spark MLlib).
 
-* Ridge regression: hours ~ km, ``regParam`` 0.3 as in the original; the normal
-  equation solver reduces one small moments matrix per task (one aggregate pass
-  for the coefficients, whatever the cohort size), and the training summary adds
-  one more pass, over the persisted two-column input.
+* Ridge regression: hours ~ km, ``regParam`` 0.3 as in the original, from one
+  aggregate pass of moments (``ridge_by_moments``), or as an MLlib model.
 * Decision tree: duration ~ (start index, end index, age, gender index, user type
   index) with categorical detection by ``VectorIndexer`` and ``maxBins`` 828.
 
@@ -19,11 +17,11 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler, VectorIndexer
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .distance import with_distance
@@ -36,29 +34,38 @@ TRAIN_FRACTION = 0.7
 TREE_MAX_DEPTHS = list(range(0, 31))
 VECTOR_MAX_CATEGORIES = 20  # VectorIndexer default
 
-# Seeded sampling hash: a 2-universal family h(x) = (a*x + b) mod p over the trip's
-# integer fields, folded field by field so every product stays below 2**62.
-HASH_PRIME = 2147483647  # 2**31 - 1
+# Rows that fit the trees at most (in expectation, by hash of the trip); the driver holds the
+# fitted trees, and a tree has at most one leaf for each row that fitted it.
+MAX_TRAIN_ROWS = 1_000_000
 TRIP_KEY = ["bikeID", "startTime", "endTime"]
 
 
 # --- ridge regression -------------------------------------------------------------
 
 
+def _ridge_rows(cohort: DataFrame, legacy: bool) -> DataFrame:
+    """Hours and km of each trip; the fits leave out rows in which either is null."""
+    return with_distance(cohort, legacy).select(F.col("TimeHR").alias("label"), "DistanceKM", *TRIP_KEY)
+
+
+def _known() -> Column:
+    return F.col("label").isNotNull() & F.col("DistanceKM").isNotNull()
+
+
 def ridge_inputs(cohort: DataFrame, legacy: bool = False) -> DataFrame:
-    d = with_distance(cohort, legacy)
+    """Rows with both hours and km, km as the feature vector."""
     return VectorAssembler(inputCols=["DistanceKM"], outputCol="features").transform(
-        d.select(F.col("TimeHR").alias("label"), "DistanceKM", *TRIP_KEY)
+        _ridge_rows(cohort, legacy).filter(_known())
     )
 
 
 def fit_duration_ridge(cohort: DataFrame, reg_param: float = RIDGE_REG_PARAM, legacy: bool = False):
-    """Fit hours ~ km; returns ``(model, (r2, rmse, numInstances))``.
+    """Fit hours ~ km with MLlib; returns ``(model, (r2, rmse, numInstances))``.
 
-    The fit reads its input several times (feature-size probe, the normal
-    equation aggregate, the training-summary statistics), so the two-column input
-    is persisted (memory, spilling to disk) for the fit and released after the
-    summary metrics are read.
+    The fit reads its input several times, so the two-column input is persisted (memory, spilling
+    to disk) and released after the summary metrics are read.  The registered queries use
+    ``ridge_by_moments``, which needs no second pass; this is the form that gives a
+    model object.  Rows without hours or km are left out, as there.
     """
     lr = LinearRegression(regParam=reg_param, elasticNetParam=0.0, solver="normal")
     data = ridge_inputs(cohort, legacy).select("label", "features").persist(
@@ -84,10 +91,12 @@ def ridge_by_moments(
     ``SSE / n = var(y) - 2 w cov(x, y) + w^2 var(x)``.  Every task reduces its
     rows to a handful of partial moments (numerically stable merges), nothing is
     cached and nothing but the one-row result reaches the driver.  Constant
-    inputs (zero variance) give nulls.
+    inputs (zero variance) give nulls.  All moments are over the rows that have both hours and
+    km; ``droppedRows`` counts the others.
     """
-    d = with_distance(cohort, legacy).select(
-        F.col("DistanceKM").alias("x"), F.col("TimeHR").alias("y")
+    known = _known()
+    d = _ridge_rows(cohort, legacy).select(
+        F.when(known, F.col("DistanceKM")).alias("x"), F.when(known, F.col("label")).alias("y")
     )
     m = d.agg(
         F.covar_pop("x", "y").alias("cov"),
@@ -96,7 +105,8 @@ def ridge_by_moments(
         F.stddev_pop("y").alias("sy"),
         F.avg("x").alias("mx"),
         F.avg("y").alias("my"),
-        F.count(F.lit(1)).alias("numInstances"),
+        F.count("x").alias("numInstances"),
+        F.count_if(F.col("x").isNull()).alias("droppedRows"),
     )
     lam = F.lit(float(reg_param))
     w = F.try_divide(F.try_divide(F.col("cov"), F.col("vx")), F.lit(1.0) + F.try_divide(lam, F.col("sy")))
@@ -109,23 +119,28 @@ def ridge_by_moments(
         (F.lit(1.0) - F.try_divide(sse_n, F.col("vy"))).alias("r2"),
         F.sqrt(sse_n).alias("rmse"),
         "numInstances",
+        "droppedRows",
     )
 
 
-def ridge_coefficients(spark, model, reg_param: float) -> DataFrame:
-    return spark.createDataFrame(
-        [(float(model.intercept), float(model.coefficients[0]), float(reg_param))],
-        "intercept double, coefficient double, regParam double",
-    )
-
-
-def ridge_metrics(spark, metrics) -> DataFrame:
-    return spark.createDataFrame([metrics], "r2 double, rmse double, numInstances bigint")
-
+def ridge_predictions(
+    cohort: DataFrame, reg_param: float = RIDGE_REG_PARAM, legacy: bool = False
+) -> DataFrame:
+    """Hours predicted for each trip; null where km is null.
 
-def ridge_predictions(cohort: DataFrame, model, legacy: bool = False) -> DataFrame:
-    return model.transform(ridge_inputs(cohort, legacy)).select(
-        "bikeID", "startTime", "DistanceKM", "label", "prediction"
+    The fit is a one-row scalar subquery, so fitting and predicting are one Spark query.
+    """
+    fit = ridge_by_moments(cohort, reg_param, legacy).select(F.struct("intercept", "coefficient")).scalar()
+    return (
+        _ridge_rows(cohort, legacy)
+        .withColumn("fit", fit)
+        .select(
+            "bikeID",
+            "startTime",
+            "DistanceKM",
+            "label",
+            (F.col("fit.intercept") + F.col("fit.coefficient") * F.col("DistanceKM")).alias("prediction"),
+        )
     )
 
 
@@ -139,12 +154,6 @@ def epoch_seconds(ts) -> Column:
     return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
-def hash_multipliers(seed: int, n: int) -> tuple[list[int], int]:
-    """Per-field multipliers in [1, p-1] and the offset b for ``seed``."""
-    a = [(int(seed) * 1000003 + (i + 1) * 7919 + 12345) % (HASH_PRIME - 1) + 1 for i in range(n)]
-    return a, int(seed) % HASH_PRIME
-
-
 def _int_fields(cols: list[str]) -> list[Column]:
     out = []
     for c in cols:
@@ -156,14 +165,14 @@ def _int_fields(cols: list[str]) -> list[Column]:
 
 
 def _unit_hash(seed: int, cols: list[str]) -> Column:
-    """Uniform value in [0, 1) from the row's integer key fields and a seed."""
-    xs = _int_fields(cols)
-    a, b = hash_multipliers(seed, len(xs))
-    p = F.lit(HASH_PRIME)
-    h = F.lit(b).cast("long")
-    for ai, x in zip(a, xs):
-        h = F.pmod(h + F.lit(ai) * F.pmod(x, p), p)
-    return h / F.lit(float(HASH_PRIME))
+    """Value in [0, 1) from the row's key fields and a seed: the first 32 bits of an MD5 digest.
+
+    The digest mixes all bits, so neighbouring keys fall independently, and null fields
+    are written as ``-``, so every row has a value.
+    """
+    fields = [F.coalesce(x.cast("string"), F.lit("-")) for x in _int_fields(cols)]
+    digest = F.md5(F.concat_ws("|", F.lit(str(int(seed))), *fields))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
 def sample_trips(df: DataFrame, fraction: float, seed: int = 42, key: list[str] | None = None) -> DataFrame:
@@ -174,8 +183,19 @@ def sample_trips(df: DataFrame, fraction: float, seed: int = 42, key: list[str]
 def train_test_split(
     df: DataFrame, train_fraction: float = TRAIN_FRACTION, seed: int = 7, key: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    u = _unit_hash(seed, key or TRIP_KEY)
-    return df.filter(u < F.lit(train_fraction)), df.filter(u >= F.lit(train_fraction))
+    """``(train, test)``; every row is in exactly one of them."""
+    side = in_train(train_fraction, seed, key)
+    return df.filter(side), df.filter(~side)
+
+
+def in_train(train_fraction: float = TRAIN_FRACTION, seed: int = 7, key: list[str] | None = None) -> Column:
+    return _unit_hash(seed, key or TRIP_KEY) < F.lit(float(train_fraction))
+
+
+def split_sizes(df: DataFrame) -> DataFrame:
+    """Rows on either side of the split, in one pass."""
+    side = F.when(in_train(), F.lit("train")).otherwise(F.lit("test")).alias("split")
+    return df.groupBy(side).agg(F.count(F.lit(1)).alias("Num"))
 
 
 # --- decision tree -------------------------------------------------------------------
@@ -202,6 +222,17 @@ def station_indexer(cols: tuple[str, ...] = ("start", "end")) -> StringIndexer:
     )
 
 
+def station_index(cohort: DataFrame) -> DataFrame:
+    """Index of start and end station names by number of trips (0 = most, ties by name), as
+    ``station_indexer`` gives it: both ends of a trip are unpivoted, so it is one pass."""
+    ends = tree_inputs(cohort).select(
+        F.stack(F.lit(2), F.lit("start"), F.col("start"), F.lit("end"), F.col("end")).alias("role", "station")
+    )
+    counts = ends.filter(F.col("station").isNotNull()).groupBy("role", "station").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("n"), "station"))
+    return counts.select("role", "station", (place - 1).cast("double").alias("idx"))
+
+
 def tree_stages(max_depth: int, user_type_from_gender: bool = False, max_categories: int = VECTOR_MAX_CATEGORIES):
     """Pipeline stages; all indexers are fitted on the training rows only.
 
@@ -227,6 +258,11 @@ def tree_stages(max_depth: int, user_type_from_gender: bool = False, max_categor
     return [indexer, assembler, vindex, tree]
 
 
+def feature_stages(**kw):
+    """The stages before the tree, which do not depend on its depth."""
+    return tree_stages(0, **kw)[:-1]
+
+
 def tree_split(cohort: DataFrame, fraction: float = TREE_SAMPLE_FRACTION, seed: int = 42):
     rows = sample_trips(tree_inputs(cohort), fraction, seed)
     return train_test_split(rows)
@@ -263,20 +299,26 @@ def describe_tree(model) -> tuple[str, list[tuple[str, float]]]:
     return tree.toDebugString, [(f, float(v)) for f, v in zip(TREE_FEATURES, imp)]
 
 
+def bounded_train_rows(train: DataFrame, most: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """``train``, thinned by hash to about ``most`` rows if it has more."""
+    n = train.count()
+    return train if n <= most else train.filter(_unit_hash(97, TRIP_KEY) < F.lit(most / n))
+
+
 def tree_depth_sweep(
     spark,
     cohort: DataFrame,
     depths: list[int] | None = None,
     fraction: float = TREE_SAMPLE_FRACTION,
-    parallelism: int = 8,
+    parallelism: int = 2,
+    max_train_rows: int = MAX_TRAIN_ROWS,
 ) -> DataFrame:
-    """Test RMSE for each max depth (0..30 by default); fits run concurrently.
+    """Test RMSE for each max depth (0..30 by default).
 
-    The sampled rows are checkpointed once (reliable files in the shared
-    ``spark.checkpoint.dir``, never ``localCheckpoint``), so the many passes of
-    the many fits neither recompute the three-table join nor lose their input with
-    an executor; train/test are then persisted for reuse.  Each fit is its own set
-    of distributed jobs.
+    The sampled rows are checkpointed once (reliable files in the shared ``spark.checkpoint.dir``).
+    The indexers are fitted once on the training rows and the transformed rows are persisted; each depth
+    fits only the tree.  The driver holds ``parallelism`` trees at a time, each with at most
+    ``max_train_rows`` leaves.  The test side is never thinned.
     """
     from ..session import ensure_checkpoint_dir
 
@@ -284,12 +326,14 @@ def tree_depth_sweep(
     depths = TREE_MAX_DEPTHS if depths is None else list(depths)
     sampled = sample_trips(tree_inputs(cohort), fraction).checkpoint(eager=True)
     train, test = train_test_split(sampled)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    train = bounded_train_rows(train, max_train_rows)
+    features: PipelineModel = Pipeline(stages=feature_stages()).fit(train)
+    train = features.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
+    test = features.transform(test).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         def one(d: int):
-            m = fit_duration_tree(train, d)
-            return d, float(evaluate_rmse(m, test)), int(m.stages[-1].numNodes)
+            m = tree_stages(d)[-1].fit(train)
+            return d, float(evaluate_rmse(m, test)), int(m.numNodes)
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             rows = list(pool.map(one, depths))

@@ -130,6 +130,5 @@ def age_profile(trips: DataFrame, as_of_year: int = C.DEFAULT_AS_OF_YEAR) -> Dat
     counts = trips.groupBy(C.rider_age("birthYear", as_of_year).alias("age")).agg(
         F.count(F.lit(1)).alias("Num")
     )
-    return counts.withColumn(
-        "isMaxAge", F.col("age") == F.max("age").over(Window.partitionBy())
-    )
+    oldest = counts.select(F.max("age")).scalar()
+    return counts.withColumn("isMaxAge", F.col("age") == oldest)

@@ -7,11 +7,13 @@ top-k is a plain window, the hourly usage is a UNION ALL of two aggregates, and
 so on.  Outputs follow the same normalisation as ``catalog.stable``: doubles
 rounded to 6 places, timestamps as ``YYYY-MM-DD HH:MM:SS`` text, and integer
 widths matching Spark's (``INTEGER`` for int, ``BIGINT`` for counts/sums).
+
+Fixed values (band labels, age limits, day names, radii, seeds and shares) are written out here
+once more; only the mapping of the test tables to trips is shared with the engine.
 """
 
 from __future__ import annotations
 
-from ..operators.models import HASH_PRIME, hash_multipliers
 from ..sources.tables import TRIPS_SQL
 
 AS_OF_YEAR = 2018
@@ -94,13 +96,10 @@ def _epoch(ts: str) -> str:
 
 
 def _unit_hash(seed: int) -> str:
-    """(a*x + b) mod p folded over bikeID, start and end epoch seconds, scaled to [0, 1)."""
+    """The first 32 bits of md5('seed|bike|start|end'), null fields as '-', scaled to [0, 1)."""
     fields = ["CAST(bikeID AS BIGINT)", _epoch("startTime"), _epoch("endTime")]
-    a, b = hash_multipliers(seed, len(fields))
-    h = f"CAST({b} AS BIGINT)"
-    for ai, x in zip(a, fields):
-        h = f"(({h} + {ai} * ((({x}) % {HASH_PRIME} + {HASH_PRIME}) % {HASH_PRIME})) % {HASH_PRIME})"
-    return f"({h} / {float(HASH_PRIME)})"
+    text = f"'{seed}'" + "".join(f" || '|' || coalesce(CAST({x} AS VARCHAR), '-')" for x in fields)
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296.0)"
 
 
 _SPEED = "CASE WHEN TimeHR = 0 THEN NULL ELSE DistanceKM / TimeHR END"
@@ -321,7 +320,7 @@ SELECT {_r('b')} AS intercept, {_r('w')} AS coefficient, {_r('0.3')} AS regParam
 SELECT {_r('b')} AS intercept, {_r('w')} AS coefficient, {_r('0.3')} AS regParam,
        {_r('(SELECT 1 - sum(pow(y - (b + w * x), 2)) / sum(pow(y - my, 2)) FROM xy)')} AS r2,
        {_r('(SELECT sqrt(avg(pow(y - (b + w * x), 2))) FROM xy)')} AS rmse,
-       (SELECT count(*) FROM xy) AS numInstances
+       (SELECT count(*) FROM xy) AS numInstances, CAST(0 AS BIGINT) AS droppedRows
 FROM ridge""",
     "duration_ridge_legacy": f""", {_RIDGE_LEGACY}
 SELECT {_r('b')} AS intercept, {_r('w')} AS coefficient, {_r('0.3')} AS regParam,
@@ -330,7 +329,7 @@ SELECT {_r('b')} AS intercept, {_r('w')} AS coefficient, {_r('0.3')} AS regParam
 FROM ridge""",
     "duration_ridge_metrics": f""", {_RIDGE}
 SELECT {_r('1 - sum(pow(y - (b + w * x), 2)) / sum(pow(y - my, 2))')} AS r2,
-       {_r('sqrt(avg(pow(y - (b + w * x), 2)))')} AS rmse, count(*) AS numInstances
+       {_r('sqrt(avg(pow(y - (b + w * x), 2)))')} AS rmse, count(*) AS numInstances, CAST(0 AS BIGINT) AS droppedRows
 FROM xy, ridge""",
     "duration_predictions": f""", {_RIDGE}
 SELECT bikeID, {_ts('startTime')} AS startTime, round(x, 5) AS DistanceKM, round(y, 5) AS label,
@@ -345,9 +344,18 @@ FROM (
 )""",
     "scan_trips": f"SELECT {_RAW_COLS} FROM trips",
     "scan_rejects": """
-SELECT count(*) AS parsedRows, CAST(0 AS BIGINT) AS rejectedRows,
-       count(*) FILTER (WHERE startTime IS NULL) AS nullStartTimes
-FROM trips""",
+SELECT count(*) FILTER (d = 0 OR d > 5) AS parsedRows, count(*) FILTER (d BETWEEN 1 AND 5) AS rejectedRows,
+       count(*) FILTER (d = 1) AS null_duration, count(*) FILTER (d = 4) AS "null_startTime",
+       CAST(0 AS BIGINT) AS "null_endTime", CAST(0 AS BIGINT) AS "null_startStationID",
+       CAST(0 AS BIGINT) AS "null_startStationName", CAST(0 AS BIGINT) AS "null_startStationLat",
+       CAST(0 AS BIGINT) AS "null_startStationLong", CAST(0 AS BIGINT) AS "null_endStationID",
+       CAST(0 AS BIGINT) AS "null_endStationName", CAST(0 AS BIGINT) AS "null_endStationLat",
+       CAST(0 AS BIGINT) AS "null_endStationLong",
+       count(*) FILTER (d = 5) AS "null_bikeID", count(*) FILTER (d = 5) AS "null_userType",
+       count(*) FILTER (d IN (3, 5)) AS "null_birthYear", count(*) FILTER (d IN (2, 5)) AS null_gender
+FROM (SELECT bikeID % 97 AS d FROM trips)""",
+    "extract_types": """
+SELECT * FROM (VALUES (0, 'bikeID', 'int'), (1, 'Num', 'int'), (2, 'HoursUsed', 'double')) t(position, "column", "type")""",
     "union_months": "SELECT strftime(startTime, '%Y%m') AS month, count(*) AS Num FROM trips GROUP BY ALL",
     "trips_one_month": f"""
 SELECT "Time", CAST("rank" AS INTEGER) AS "rank", endStationName, "Number" FROM (
@@ -402,5 +410,54 @@ SELECT (SELECT count(*) FROM trips) AS rawRows, (SELECT count(*) FROM cohort) AS
 }
 
 
+# --- trees of depth 0 and 1 -----------------------------------------------------------
+# Values of the text features are ordered by the mean label of the training side, and ages by number; a
+# split lies between neighbours, and values that the training side does not have go right.
+_TREE = f"""
+, s AS (
+  SELECT startStationName AS "start", endStationName AS "end", CAST(duration AS DOUBLE) AS y, age,
+         gender, userType, {_unit_hash(7)} < 0.7 AS train
+  FROM cohort WHERE {_unit_hash(42)} < 0.1
+),
+long AS (
+  SELECT row_number() OVER () AS id, * FROM s
+),
+f AS (
+  SELECT id, train, y, unnest(['start', 'end', 'gender', 'userType']) AS feature,
+         unnest(["start", "end", gender, userType]) AS value FROM long
+),
+ranked AS (SELECT feature, value, avg(y) AS mean FROM f WHERE train GROUP BY feature, value),
+numbered AS (
+  SELECT id, train, y, f.feature,
+         coalesce(mean, CAST('infinity' AS DOUBLE)) AS x
+  FROM f LEFT JOIN ranked USING (feature, value)
+  UNION ALL SELECT id, train, y, 'age', age FROM long
+),
+values_ AS (
+  SELECT feature, x, count(*) AS n, sum(y) AS sy FROM numbered WHERE train GROUP BY feature, x
+),
+cuts AS (
+  SELECT feature, x, lead(x) OVER w AS next_x,
+         sum(n) OVER w AS nl, sum(sy) OVER w AS sl,
+         sum(n) OVER (PARTITION BY feature) AS n, sum(sy) OVER (PARTITION BY feature) AS sy
+  FROM values_ WINDOW w AS (PARTITION BY feature ORDER BY x)
+),
+split AS (
+  SELECT feature, (x + next_x) / 2 AS cut, sl / nl AS left_mean, (sy - sl) / (n - nl) AS right_mean
+  FROM cuts WHERE next_x IS NOT NULL
+  ORDER BY sl * sl / nl + (sy - sl) * (sy - sl) / (n - nl) DESC LIMIT 1
+)"""
+
+BODIES["duration_tree_depth0"] = f"""{_TREE}
+SELECT CAST(0 AS INTEGER) AS maxDepth,
+       {_r('(SELECT sqrt(avg(pow(y - m, 2))) FROM s, (SELECT avg(y) AS m FROM s WHERE train) WHERE NOT train)')} AS rmse,
+       CAST(1 AS INTEGER) AS numNodes"""
+BODIES["duration_tree_depth1"] = f"""{_TREE}
+SELECT CAST(1 AS INTEGER) AS maxDepth,
+       {_r('sqrt(avg(pow(y - CASE WHEN x <= cut THEN left_mean ELSE right_mean END, 2)))')} AS rmse,
+       CAST(3 AS INTEGER) AS numNodes
+FROM numbered JOIN split USING (feature) WHERE NOT train"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _PREFIX + body for name, body in BODIES.items()}

@@ -7,6 +7,7 @@ is left alone.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -66,23 +67,23 @@ def _context(spark: SparkSession):
         return None
 
 
-def session_key(spark: SparkSession) -> tuple:
-    """Identifies one running application (for per-session memoisation)."""
-    return (id(spark), spark.conf.get("spark.app.id", None) or "")
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names storage every executor can reach;
-    we never override it.  When it is missing (local tests) a fresh scratch folder
-    is registered so ``checkpoint()`` and staged files still work.
+    we never override it, and without it we stop: a folder of one machine would lose data.  Only
+    a ``local`` master, where driver and executors are one process, gets a scratch folder.
     """
     sc = _context(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path and sc is not None:
         path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        master = (sc.master if sc is not None else spark.conf.get("spark.master", "")) or ""
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(
+                f"set spark.checkpoint.dir to a folder that the driver and all executors of {master or 'the cluster'} share"
+            )
         path = tempfile.mkdtemp(prefix="ridelens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", path)
@@ -99,4 +100,39 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     tail = list(parts)
     if unique:
         tail.append(uuid.uuid4().hex[:12])
-    return "/".join([root, "ridelens", *tail])
+    path = "/".join([root, "ridelens", *tail])
+    _MADE.append(path)
+    return path
+
+
+#: Folders handed out by ``shared_path`` and not yet removed.
+_MADE: list[str] = []
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True if ``path`` exists on its own file system (local, HDFS, object storage)."""
+    at, fs = _hadoop(spark, path)
+    return bool(fs.exists(at))
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names right below ``path``: one listing, not of the files further down."""
+    at, fs = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at))
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete every folder handed out by ``shared_path`` so far; returns how many.
+
+    DataFrames that still read them can't be used afterwards, so the owner of the results calls this.
+    """
+    n = 0
+    while _MADE:
+        at, fs = _hadoop(spark, _MADE.pop())
+        n += bool(fs.delete(at, True))
+    return n

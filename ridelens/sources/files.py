@@ -47,10 +47,10 @@ def month_paths(root: str, months: list[str]) -> list[str]:
     return [f"{root.rstrip('/')}/{MONTH_COLUMN}={m}" for m in months]
 
 
-def _reader(spark: SparkSession, schema: T.StructType, rejects: bool):
+def _reader(spark: SparkSession, schema: T.StructType, rejects: bool, header: bool = True):
     r = (
         spark.read.schema(schema)
-        .option("header", True)
+        .option("header", header)
         .option("mode", "PERMISSIVE")
         .option("timestampNTZFormat", RAW_TIME_FORMAT)
     )
@@ -59,7 +59,9 @@ def _reader(spark: SparkSession, schema: T.StructType, rejects: bool):
     return r
 
 
-def read_trip_csv(spark: SparkSession, paths: str | list[str], rejects: bool = False) -> DataFrame:
+def read_trip_csv(
+    spark: SparkSession, paths: str | list[str], rejects: bool = False, header: bool = True
+) -> DataFrame:
     """Typed trip rows from one or many CSV files/directories.
 
     Reading the staging root also yields the ``month`` partition column, so a
@@ -67,7 +69,7 @@ def read_trip_csv(spark: SparkSession, paths: str | list[str], rejects: bool = F
     ``_corrupt_record`` column holds the text of lines that did not parse.
     """
     schema = with_corrupt_column(TRIP_SCHEMA) if rejects else TRIP_SCHEMA
-    return _reader(spark, schema, rejects).csv(paths)
+    return _reader(spark, schema, rejects, header).csv(paths)
 
 
 def read_trip_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -91,17 +93,24 @@ def parse_trip_text(text: DataFrame) -> DataFrame:
 
 
 def reject_summary(rows: DataFrame) -> DataFrame:
-    """(parsedRows, rejectedRows, nullStartTimes) of a ``read_trip_csv(..., rejects=True)`` frame.
+    """One row on a ``read_trip_csv(..., rejects=True)`` frame: ``parsedRows``, ``rejectedRows``, and
+    for each field ``null_<field>``, the rejected lines in which it is missing or did not parse.
 
-    Spark refuses a raw-file query that references only the corrupt-record column;
-    counting null start times (a real column) keeps this a single streaming pass
-    instead of caching the whole scan first.
+    All 15 fields are read.  The reader converts only the fields that a query uses, and a line is
+    rejected only by a field that was converted, so fewer would miss bad lines.
     """
     bad = F.col(CORRUPT_COLUMN).isNotNull()
     return rows.agg(
         F.count_if(~bad).alias("parsedRows"),
         F.count_if(bad).alias("rejectedRows"),
-        F.count_if(F.col("startTime").isNull()).alias("nullStartTimes"),
+        *[F.count_if(bad & F.col(c).isNull()).alias(f"null_{c}") for c in TRIP_COLUMNS],
+    )
+
+
+def rejected_lines(rows: DataFrame) -> DataFrame:
+    """``(line, <field>_ok ...)``: the text of every rejected line, and which fields parsed."""
+    return rows.filter(F.col(CORRUPT_COLUMN).isNotNull()).select(
+        F.col(CORRUPT_COLUMN).alias("line"), *[F.col(c).isNotNull().alias(f"{c}_ok") for c in TRIP_COLUMNS]
     )
 
 
@@ -131,3 +140,9 @@ def export_csv(
 def read_extract(spark: SparkSession, path: str) -> DataFrame:
     """Read an extract back with inferred types (header row, one inference pass)."""
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def column_types(extract: DataFrame) -> DataFrame:
+    """``(position, column, type)`` of an extract as it was read back."""
+    rows = [(i, name, kind) for i, (name, kind) in enumerate(extract.dtypes)]
+    return extract.sparkSession.createDataFrame(rows, "position int, column string, type string")

@@ -1,43 +1,42 @@
 """Incremental ingest of monthly trip files with Structured Streaming.
 
-The original analysis re-reads every monthly file on each run.  Here new month
-directories dropped into a landing folder are picked up by the file source,
-cleaned with the same cohort rule, and appended to a month-partitioned parquet
-cohort table.  The checkpoint (in the shared checkpoint folder) records which
-files were committed, so a restarted or executor-lost job neither skips nor
-duplicates a file (exactly-once file sink).  No state store is involved: the
-cleaning is a stateless filter/projection.
+The original analysis re-reads every monthly file on each run.  Here new files in a landing folder
+are picked up by the file source, cleaned with the same cohort rule, and added to a
+cohort table.  Every micro-batch writes its own ``batch=<number>`` folder below the caller's table
+path and overwrites it when the batch is run again, so a restarted job neither skips
+nor duplicates a file.  Inside a batch rows are rebalanced by month: few files for each month,
+a hot month split.  Lines that do not parse go to the rejects path, as text, and not
+into the cohort.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import columns as C
 from ..operators.cohort import clean_cohort
-from ..schema import RAW_TIME_FORMAT, TRIP_SCHEMA
-from ..sources.files import MONTH_COLUMN, MONTH_FORMAT
+from ..schema import CORRUPT_COLUMN, RAW_TIME_FORMAT, TRIP_COLUMNS, with_corrupt_column
+from ..sources.files import MONTH_COLUMN, MONTH_FORMAT, rejected_lines
 
+BATCH_COLUMN = "batch"
 
-def cohort_stream(
-    spark: SparkSession,
-    landing_dir: str,
-    as_of_year: int = C.DEFAULT_AS_OF_YEAR,
-    max_files_per_trigger: int | None = None,
-) -> DataFrame:
-    """Streaming DataFrame of cleaned cohort rows from CSV files in ``landing_dir``."""
+
+def trip_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming DataFrame of trip rows, with the text of lines that did not parse."""
     reader = (
-        spark.readStream.schema(TRIP_SCHEMA)
+        spark.readStream.schema(with_corrupt_column())
         .option("header", True)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
         .option("timestampNTZFormat", RAW_TIME_FORMAT)
         .option("recursiveFileLookup", True)
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return clean_cohort(reader.csv(landing_dir), as_of_year)
+    return reader.csv(landing_dir)
 
 
 def start_cohort_ingest(
@@ -45,29 +44,42 @@ def start_cohort_ingest(
     landing_dir: str,
     table_dir: str,
     checkpoint_dir: str,
+    rejects_dir: str,
     as_of_year: int = C.DEFAULT_AS_OF_YEAR,
     available_now: bool = True,
     processing_time: str | None = None,
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Append cleaned rows to ``table_dir`` (parquet, partitioned by start month).
+    """Add cleaned rows to ``table_dir`` (parquet by batch and start month) and bad lines to
+    ``rejects_dir`` (parquet by batch).
 
     ``available_now=True`` processes everything present and stops (batch-style
     catch-up, still incremental across runs; with ``max_files_per_trigger`` the
     catch-up runs as several bounded micro-batches); otherwise the query keeps
     running with the given ``processing_time`` trigger.
     """
-    rows = cohort_stream(spark, landing_dir, as_of_year, max_files_per_trigger).withColumn(
-        MONTH_COLUMN, F.date_format("startTime", MONTH_FORMAT)
-    )
-    w = (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint_dir)
-        .partitionBy(MONTH_COLUMN)
-    )
+
+    def write(batch: DataFrame, number: int) -> None:
+        # All fields are kept, so that every bad field rejects its line, in both outputs alike.
+        rows = batch.select(*TRIP_COLUMNS, CORRUPT_COLUMN).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            good = rows.filter(F.col(CORRUPT_COLUMN).isNull()).select(*TRIP_COLUMNS)
+            (
+                clean_cohort(good, as_of_year)
+                .withColumn(MONTH_COLUMN, F.date_format("startTime", MONTH_FORMAT))
+                .hint("rebalance", MONTH_COLUMN)
+                .write.mode("overwrite")
+                .partitionBy(MONTH_COLUMN)
+                .parquet(f"{table_dir.rstrip('/')}/{BATCH_COLUMN}={number}")
+            )
+            rejected_lines(rows).write.mode("overwrite").parquet(f"{rejects_dir.rstrip('/')}/{BATCH_COLUMN}={number}")
+        finally:
+            rows.unpersist()
+
+    stream = trip_stream(spark, landing_dir, max_files_per_trigger)
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
     if available_now:
         w = w.trigger(availableNow=True)
     elif processing_time:
         w = w.trigger(processingTime=processing_time)
-    return w.start(table_dir)
+    return w.start()

@@ -19,4 +19,5 @@ def test_cli_prints_every_question():
     for name in ("top_destinations_by_band", "usertype_share_by_age", "hourly_usage",
                  "most_used_bikes", "distance_stats", "avg_speed", "duration_ridge"):
         assert f"== {name}" in out.stdout
+    assert "(the first 2 of " in out.stdout
     assert "hours = " in out.stdout and "2130 trips" in out.stdout

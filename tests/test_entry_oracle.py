@@ -5,12 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
+from ridelens.plans import catalog, oracle
 from ridelens.plans.verify import compare, duckdb_connection
 
 from .conftest import SF0001
 
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
+ORACLE = oracle.oracle_sql()
+QUERIES = catalog.all_queries()
 
 
 def test_entry_runs(spark):
@@ -20,6 +21,10 @@ def test_entry_runs(spark):
     assert df.columns == ["Time", "rank", "endStationName", "Number"]
 
 
+def test_entry_has_every_catalogued_query():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
     missing = set(QUERIES) - set(ORACLE)

@@ -49,7 +49,7 @@ def test_csv_edge_cases(spark):
     assert rows[14].duration == 600
 
     s = files.reject_summary(files.read_trip_csv(spark, d, rejects=True)).first()
-    assert (s.parsedRows, s.rejectedRows, s.nullStartTimes) == (3, 1, 1)
+    assert (s.parsedRows, s.rejectedRows, s.null_startTime, s.null_duration) == (3, 1, 1, 0)
 
     text = files.parse_trip_text(files.read_trip_text(spark, d))
     parsed = {r.bikeID: r for r in text.collect()}
@@ -58,6 +58,23 @@ def test_csv_edge_cases(spark):
     assert parsed[12].birthYear is None and parsed[14].startStationLat == 40.75
 
 
+def test_every_field_can_reject_a_line(spark):
+    d = _scratch()
+    good = _line(1).split(",")
+    lines = [",".join(good)]
+    for at in (0, 1, 2, 11, 13, 14):  # duration, times, bike, birth year, gender
+        lines.append(",".join([*good[:at], '"bad"', *good[at + 1 :]]))
+    lines.append(",".join(good[:9]))
+    with open(os.path.join(d, "x.csv"), "w") as f:
+        f.write("\n".join([HEADER, *lines]) + "\n")
+    rows = files.read_trip_csv(spark, d, rejects=True)
+    s = files.reject_summary(rows).first()
+    assert (s.parsedRows, s.rejectedRows) == (1, 7)
+    assert (s.null_duration, s.null_gender, s.null_birthYear, s.null_bikeID, s.null_startStationID) == (1, 2, 2, 2, 0)
+    kept = files.rejected_lines(rows).collect()
+    assert sorted(r.line for r in kept) == sorted(lines[1:])
+
+
 def test_trip_files_round_trip_and_pruning(spark, trips_small):
     root = _scratch() + "/trips"
     files.write_trip_files(trips_small, root)
@@ -86,6 +103,7 @@ def test_export_single_file(spark, cohort_small):
     assert len(glob.glob(path + "/part-*.csv")) == 1
     back = files.read_extract(spark, path)
     assert back.columns == ["bikeID", "Num"]
+    assert [tuple(r) for r in files.column_types(back).collect()] == [(0, "bikeID", "int"), (1, "Num", "int")]
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, top.collect()))
     # default mode overwrites instead of failing on a re-run
     files.export_csv(top, path, single_file=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,74 @@ def test_depth_zero_tree_equals_mean_predictor(spark, cohort_small):
     want = test.agg(F.sqrt(F.avg(F.pow(F.col("label") - F.lit(mean), 2)))).first()[0]
     assert sweep[0].numNodes == 1
     assert sweep[0].rmse == pytest.approx(want, rel=1e-9)
+
+
+def test_depth_sweep_fits_features_once_and_equals_whole_pipelines(spark, cohort_small, monkeypatch):
+    fitted = []
+    whole = models.feature_stages
+    monkeypatch.setattr(models, "feature_stages", lambda **kw: fitted.append(1) or whole(**kw))
+    sweep = {r.maxDepth: r.rmse for r in models.tree_depth_sweep(spark, cohort_small, depths=[0, 2, 5], fraction=0.5).collect()}
+    assert len(fitted) == 1
+    train, test = models.tree_split(cohort_small, 0.5)
+    for depth, rmse in sweep.items():
+        m = models.fit_duration_tree(train, depth)
+        assert rmse == pytest.approx(models.evaluate_rmse(m, test), rel=1e-9)
+
+
+def test_train_rows_are_bounded(cohort_small):
+    n = cohort_small.count()
+    few = models.bounded_train_rows(cohort_small, n // 4).count()
+    assert 0.6 * n / 4 < few < 1.4 * n / 4
+    assert models.bounded_train_rows(cohort_small, n).count() == n
+
+
+def _keys(spark, rows):
+    return spark.createDataFrame(rows, "bikeID long, startTime timestamp_ntz, endTime timestamp_ntz")
+
+
+def test_no_row_is_lost_with_null_keys(spark):
+    t = dt.datetime(2018, 6, 1, 8)
+    rows = [(i, t, t) for i in range(60)] + [(None, t, t)] * 5 + [(7, None, t)] * 5 + [(None, None, None)] * 3
+    df = _keys(spark, rows)
+    train, test = models.train_test_split(df)
+    assert train.count() + test.count() == len(rows)
+    assert models.sample_trips(df, 1.0).count() == len(rows)
+
+
+def test_neighbouring_keys_are_independent(spark):
+    t = dt.datetime(2018, 6, 1, 8)
+    df = _keys(spark, [(i, t, t) for i in range(2000)])
+    train, _ = models.train_test_split(df)
+    per_block = {r.b: r.n for r in train.groupBy(F.expr("bikeID div 100").alias("b")).agg(F.count("*").alias("n")).collect()}
+    assert len(per_block) == 20 and all(55 <= n <= 85 for n in per_block.values())
+
+
+def test_ridge_leaves_out_missing_coordinates(spark, make_trips):
+    from ridelens.operators.cohort import derive
+    from tests.conftest import trip
+
+    good = [trip(bikeID=i, duration=300 + 37 * i % 900, startStationLat=40.7 + (i * i % 17) / 100) for i in range(60)]
+    bad = [trip(bikeID=100 + i, duration=5000, startStationLat=None) for i in range(20)]
+    both, clean = derive(make_trips(good + bad)), derive(make_trips(good))
+    want = models.ridge_by_moments(clean).first()
+    got = models.ridge_by_moments(both).first()
+    assert (got.numInstances, got.droppedRows, want.droppedRows) == (60, 20, 0)
+    assert got.coefficient == pytest.approx(want.coefficient) and got.r2 == pytest.approx(want.r2)
+    model, (r2, rmse, n) = models.fit_duration_ridge(both)
+    assert n == 60 and model.coefficients[0] == pytest.approx(got.coefficient) and rmse == pytest.approx(got.rmse)
+    predicted = models.ridge_predictions(both).collect()
+    assert len(predicted) == 80 and sum(r.prediction is None for r in predicted) == 20
+
+
+def test_station_index_query_equals_the_indexer(cohort_small):
+    rows = models.tree_inputs(cohort_small)
+    idx = models.station_indexer().fit(rows).transform(rows)
+    want = {("start", r.start, r.startIndex) for r in idx.select("start", "startIndex").distinct().collect()}
+    want |= {("end", r.end, r.endIndex) for r in idx.select("end", "endIndex").distinct().collect()}
+    assert {tuple(r) for r in models.station_index(cohort_small).collect()} == want
+
+
+@pytest.mark.parametrize("query", ["station_index", "split_sizes"])
+def test_one_scan_of_trips(spark, cohort_small, query):
+    plan = getattr(models, query)(cohort_small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_orderkey") and plan.split("== Initial")[0].count("lineitem.parquet") == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import tempfile
 
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ridelens.streaming.ingest import start_cohort_ingest
 
 
 def _run(spark, landing, table, ckpt, max_files=None):
-    q = start_cohort_ingest(spark, landing, table, ckpt, max_files_per_trigger=max_files)
+    q = start_cohort_ingest(spark, landing, table, ckpt, f"{table}-rejects", max_files_per_trigger=max_files)
     q.awaitTermination()
     assert q.exception() is None
     return spark.read.parquet(table).count()
@@ -36,3 +37,13 @@ def test_ingest_is_incremental_and_exactly_once(spark, trips_small):
     assert _run(spark, landing, table, ckpt) == n2  # nothing new -> nothing appended
     months = {r.month for r in spark.read.parquet(table).select("month").distinct().collect()}
     assert all(str(m).startswith(("1995", "1996")) for m in months)
+    assert spark.read.parquet(f"{table}-rejects").count() == 0
+    # Rebalanced: a batch writes a file or two for a month, not one from every task.
+    for month in glob.glob(f"{table}/batch=*/month=*"):
+        assert len(glob.glob(f"{month}/part-*.parquet")) <= 2
+
+    with open(f"{landing}/drop3.csv", "w") as f:
+        f.write("h\n" + '"ten","1995-01-01 00:00:00.0000"\n')
+    assert _run(spark, landing, table, ckpt) == n2
+    bad = spark.read.parquet(f"{table}-rejects").collect()
+    assert len(bad) == 1 and bad[0].line.startswith('"ten"') and not bad[0].duration_ok
