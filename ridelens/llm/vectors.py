@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 TREES = 32
 BITS = 64
-RECALL = 0.97
+RECALL = 0.985
 SHARD_ROWS = 20_000
 QUERY_BLOCK = 2_000
 SEED = 41
@@ -71,23 +71,29 @@ class Forest:
     def nearest(self, query_id: int, query: np.ndarray, k: int, recall: float = RECALL) -> list[tuple[float, int]]:
         """The ``k`` nearest found, as (distance, vec_id), without the query's own row."""
         moved = query - self.center
-        strings = [self._pack((moved @ self.planes[t] > self.medians[t])[None, :])[0] for t in range(self.trees)]
+        depths = np.arange(BITS + 1)
+        rest = np.append([np.uint64(2**64 - 1)], np.uint64(2**64 - 1) >> depths[1:].astype(np.uint64) % np.uint64(64))
+        rest[BITS] = 0
+        # Every tree's range of rows that share the first bits with the query, for each number of bits.
+        low, high = np.empty((self.trees, BITS + 1), np.int64), np.empty((self.trees, BITS + 1), np.int64)
+        for t in range(self.trees):
+            own = self._pack((moved @ self.planes[t] > self.medians[t])[None, :])[0]
+            low[t] = np.searchsorted(self.strings[t], own & ~rest, "left")
+            high[t] = np.searchsorted(self.strings[t], own | rest, "right")
         seen = np.zeros(len(self.ids), bool)
         seen[self.ids == query_id] = True
         left = len(seen) - int(seen.sum())
         found_ids, found = np.zeros(0, np.int64), np.zeros(0)
         for depth in range(BITS, -1, -1):
-            rest = np.uint64((1 << (BITS - depth)) - 1) if depth else np.uint64(2**64 - 1)
+            grown = high[:, depth] > low[:, depth]
+            if depth < BITS:
+                grown &= (high[:, depth] > high[:, depth + 1]) | (low[:, depth] < low[:, depth + 1])
             fresh = []
-            for t in range(self.trees):
-                low, high = strings[t] & ~rest, strings[t] | rest
-                a = int(np.searchsorted(self.strings[t], low, "left"))
-                b = int(np.searchsorted(self.strings[t], high, "right"))
-                if b > a:
-                    at = self.order[t][a:b]
-                    at = at[~seen[at]]
-                    seen[at] = True
-                    fresh.append(at)
+            for t in np.flatnonzero(grown):
+                at = self.order[t][low[t, depth] : high[t, depth]]
+                at = at[~seen[at]]
+                seen[at] = True
+                fresh.append(at)
             at = np.concatenate(fresh) if fresh else np.zeros(0, np.int64)
             if len(at):
                 left -= len(at)
