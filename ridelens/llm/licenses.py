@@ -162,11 +162,13 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
     probes = _probes(sizes)
     windows = F.create_map(*[F.lit(x) for size in sizes for x in (size, layout(size)[0])])
     wanted = _band_keys(listed, probes, F.lit(0), F.col("size")).select(
-        "probe", "key", "license", "offset", "total", F.col("sh").alias("section"), windows[F.col("size")].alias("window")
+        F.col("key").alias("wanted_key"), "license", "offset", "total", F.col("sh").alias("section"), windows[F.col("size")].alias("window")
     )
     if sum(r["n"] for r in counted) <= BROADCAST_SHINGLES:
         wanted = F.broadcast(wanted)
-    hits = _band_keys(_positions(docs, max(layout(x)[0] for x in sizes)), probes, F.col("at")).join(wanted, ["probe", "key"])
+    # The probe's number is hashed into the key, so one long is the whole join key.
+    keyed = _band_keys(_positions(docs, max(layout(x)[0] for x in sizes)), probes, F.col("at"))
+    hits = keyed.join(wanted, F.col("key") == F.col("wanted_key"))
     around = F.slice("sh", F.greatest(F.col("at") - SECTION, F.lit(0)) + 1, F.col("window") + 2 * SECTION)
     # A lambda function, so that the few hits are verified outside the generated code of the probes.
     held = F.filter("section", lambda x: F.array_contains(around, x))
