@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from ridelens.plans import catalog, oracle
-from ridelens.plans.verify import compare, duckdb_connection
+from tests.verify import compare, duckdb_connection
 
 from .conftest import SF0001
 
