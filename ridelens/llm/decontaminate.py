@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .common import text_blocks
 
 Q = 10
@@ -34,7 +35,7 @@ STEP = 60
 LEAST = 30
 #: Characters of benchmark items that one pass over the documents broadcasts; a larger benchmark
 #: is split by hash of the item into several passes.
-SHARD_CHARACTERS = 4_000_000
+SHARD_CHARACTERS = 1_000_000
 _SEPARATOR = 0x10FFFF
 
 
@@ -197,13 +198,21 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], keep_clean: bool) -> Da
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, contaminated, n_items, item_ids)`` for each row of ``docs(doc_id, text)``."""
     rows = docs.select("doc_id", "text", F.array().cast("array<long>").alias("item_ids"))
-    for items in _shards(benchmark):
-        rows = _pass(rows, items, keep_clean=False)
+    for k, items in enumerate(_shards(benchmark)):
+        rows = _pass(_settled(rows, k), items, keep_clean=False)
     return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The clean rows of ``docs``, all columns."""
-    for items in _shards(benchmark):
-        docs = _pass(docs, items, keep_clean=True)
+    for k, items in enumerate(_shards(benchmark)):
+        docs = _pass(_settled(docs, k), items, keep_clean=True)
     return docs
+
+
+def _settled(rows: DataFrame, k: int) -> DataFrame:
+    """Between passes the rows are written out, so that a task holds the index of one shard only."""
+    if k == 0:
+        return rows
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 CHUNK = 32_768
+ROOM = 64  # characters around a chunk that its states may need: twice the longest piece
 NEVER = -np.inf
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -48,6 +49,8 @@ class Codec:
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.pieces = {sp.id_to_piece(i): i for i in plain}
         self.longest = max(map(len, self.pieces))
+        if 2 * self.longest > ROOM:
+            raise ValueError(f"the model has pieces of {self.longest} characters; raise ROOM")
         used = {c for p in self.pieces for c in p}
         # A character that no piece holds stands alone, so what follows it is encoded as it is.
         self._wall = next(c for c in "\n\t\x01\x02" if c not in used)
@@ -158,7 +161,7 @@ def _states(codec: Codec, text: str, at: int, edge: bool) -> list[tuple[int, str
     return [(at, "")] if edge else codec.covering(text, at)
 
 
-def _chunk(row: tuple, longest: int) -> tuple[str, int, int, bool, bool]:
+def _chunk(row: tuple) -> tuple[str, int, int, bool, bool]:
     """The escaped chunk with its surroundings: (text, low, high, first, last)."""
     body, before, first, last, size = row
     text = (BLANK if first else "") + body.replace(" ", BLANK)
@@ -197,29 +200,29 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
 
 
 def _encode_giant(rows: DataFrame, content, chunk: int, id_type: str) -> DataFrame:
-    room = 64  # characters around a chunk, at least twice the longest piece
+    room = ROOM
     n = F.ceil(F.length("text") / chunk).cast("int")
-    numbered = rows.groupBy("doc_id", "text").agg(F.count("*").alias("copies")).select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), "copies", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("no")
+    numbered = rows.distinct().select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), "text", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("no")
     )
     before = F.when(F.col("no") == 0, F.lit(0)).otherwise(F.lit(room))
     chunks = numbered.select(
-        "doc_id", "text_hash", "copies", "no", "n",
+        "doc_id", "text_hash", "no", "n",
         F.substring("text", F.col("no") * chunk + 1 - before, before + chunk + room).alias("body"),
         before.alias("before"),
     )
     key = ["doc_id", "text_hash"]
 
-    def chunk_of(codec: Codec, r) -> tuple:
+    def chunk_of(r) -> tuple:
         first, last = r["no"] == 0, r["no"] == r["n"] - 1
-        return _chunk((r["body"], r["before"], first, last, chunk), codec.longest)
+        return _chunk((r["body"], r["before"], first, last, chunk))
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(content.value)
         for batch in batches:
             matrices = []
             for r in batch.to_pylist():
-                text, low, high, first, last = chunk_of(codec, r)
+                text, low, high, first, last = chunk_of(r)
                 begin, end = _states(codec, text, low, first), _states(codec, text, high, last)
                 at = {s: j for j, s in enumerate(end)}
                 m = np.full((len(begin), len(end)), NEVER)
@@ -256,7 +259,7 @@ def _encode_giant(rows: DataFrame, content, chunk: int, id_type: str) -> DataFra
                 if r["begin"] < 0:
                     ids.append(None)
                     continue
-                text, low, high, first, last = chunk_of(codec, r)
+                text, low, high, first, last = chunk_of(r)
                 begin, end = _states(codec, text, low, first)[r["begin"]], _states(codec, text, high, last)[r["end"]]
                 paths = _chunk_paths(codec, text, low, high, begin)
                 ids.append(next(p for s, p in paths.items() if s == end or last and s[0] + len(s[1]) == high))
