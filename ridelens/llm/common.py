@@ -59,6 +59,36 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class TextHasher:
+    """Hashes of the words of a text, all at once: differences of a running polynomial over its bytes."""
+
+    _P = 0x9E3779B97F4A7C15
+    _P_INVERSE = pow(_P, -1, 1 << 64)
+
+    def __init__(self):
+        self._powers = self._inverses = np.zeros(0, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self._powers) < n:
+            n = max(n, 4096, 2 * len(self._powers))
+            for name, base in (("_powers", self._P), ("_inverses", self._P_INVERSE)):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        word = (data != 32) & ((data < 9) | (data > 13))
+        edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+        if not len(edge):
+            return np.zeros(0, np.uint64)
+        start, end = edge[::2], edge[1::2]
+        self._reach(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._powers[: len(data)], out=sums[1:])
+        return mix((sums[end] - sums[start]) * self._inverses[start] + (end - start).astype(np.uint64))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit values that spreads every input bit."""
     x = x ^ (x >> np.uint64(31))

@@ -7,17 +7,17 @@ are routed to shards by a key that depends on a window's words only:
 
 1. Every window's key is the smallest hash of its runs of ``RUN`` words (a minimizer).  Consecutive
    windows of one key form a region.  Keys that occur in one document only can't repeat and drop out.
-2. The remaining regions, equal ones merged with their smallest doc_id, are the reference.  They are
-   dealt out by key; each task takes whole keys into shards of bounded size, builds the shard's
-   suffix automaton (each state with the smallest doc_id of what it accepts), and streams the
-   regions through it: the matching statistics at each place give the smallest document
-   that holds the window ending there.
+2. Equal regions are merged by the hash of their words, with their smallest doc_id.  Where a key has
+   several regions, their words are the reference.  They are dealt out by key; each task takes whole
+   keys into shards of bounded size, builds the shard's suffix automaton (each state with the smallest
+   doc_id of what it accepts), and streams the regions through it: the matching statistics at each
+   place give the smallest document that holds the window ending there.
 3. Every occurrence of a region meets its result: all its windows repeat if the region's first
    document is smaller, else those that the automaton found in a smaller one.
 
 A key that more than ``HOT_DOCUMENTS`` documents share is split: its windows become regions of one
 window, each with a key of its own, so no shard holds a group without a bound.  Keys only route;
-equality is always that of the words.
+regions are equal if key and a 64-bit hash of the words are, windows if their words are.
 
 Defined cases.  Null or empty text: no words.  Fewer than ``WINDOW`` words: all kept.  Null doc_id: all
 kept, and no reference.  Rows that repeat a doc_id: judged each on its own, against smaller doc_ids
@@ -26,6 +26,7 @@ only.  Empty table: no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,19 +34,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, runs_hash
+from ..session import shared_path
+from .common import WORD, TextHasher, delete_path, mix, runs_hash
 
 WINDOW = 13
 RUN = 5
+KEY_BITS = 48  # enough to route: a key that two windows share by chance costs a comparison only
 HOT_DOCUMENTS = 2_000
 SHARD_WORDS = 60_000
 
 
+words = re.compile(WORD).findall
+
+
 def window_keys(hashes: np.ndarray, window: int = WINDOW, run: int = RUN) -> np.ndarray:
-    """The smallest hash of a run of words in each window (empty if there is no window)."""
+    """The smallest hash of a run of words in each window, cut to ``KEY_BITS`` (empty if there is no
+    window)."""
     if len(hashes) < window:
         return np.zeros(0, np.int64)
-    return np.lib.stride_tricks.sliding_window_view(runs_hash(hashes, run), window - run + 1).min(axis=1).view(np.int64)
+    low, width = runs_hash(hashes, run) >> np.uint64(64 - KEY_BITS), 1
+    while width < window - run + 1:  # the smallest of twice as many runs, as far as the window goes
+        step = min(width, window - run + 1 - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    return low.view(np.int64)
 
 
 def regions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,11 +145,12 @@ def _document_keys(docs: DataFrame) -> DataFrame:
     """``(key, doc_id)``: the distinct window keys of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = TextHasher()
         for batch in batches:
             keys, ids = [], []
             for doc, x in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                k = np.unique(window_keys(hashes.of(hashes.words(x.as_py()))))
+                k = window_keys(hashes(x.as_py()))
+                k = np.unique(k[regions(k)[0]])
                 keys.append(k)
                 ids.append(np.full(len(k), doc, np.int64))
             for at in range(0, len(keys), 1000):
@@ -148,48 +161,68 @@ def _document_keys(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long")
 
 
-def _document_regions(keyed: DataFrame, with_words: bool) -> DataFrame:
-    """The regions of ``keyed(doc_id, text_hash, text, keys, hot)`` whose key is listed, hot ones by window.
+def _pieces(text: str, words: list[str], hashes: TextHasher, listed: list[int], hot: list[int]) -> Iterator[tuple[int, int, int, str, int]]:
+    """``(key, first window, number of windows, words, hash of the words)`` of each region of a text whose
+    key is listed; a hot region gives each of its windows alone, under a key of its own."""
+    import xxhash
 
-    With words: ``(key, words, doc_id)``; else ``(doc_id, text_hash, start, n, key, words_hash)``.
-    """
+    own = hashes(text)
+    keys = window_keys(own)
+    first, n = regions(keys)
+    if not len(first):
+        return
+    chosen = np.isin(keys[first], np.array(listed, np.int64))
+    split = set(hot)
+    for i, c, key in zip(first[chosen].tolist(), n[chosen].tolist(), keys[first][chosen].tolist()):
+        if key in split:
+            alone = runs_hash(mix(own[i : i + c + WINDOW - 1]), WINDOW).view(np.int64).tolist()
+            parts = [(k, i + j, 1) for j, k in enumerate(alone)]
+        else:
+            parts = [(key, i, c)]
+        for k, start, size in parts:
+            region = " ".join(words[start : start + size + WINDOW - 1])
+            yield k, start, size, region, _signed(xxhash.xxh3_64_intdigest(region.encode("utf-8", "surrogatepass")))
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _occurrences(keyed: DataFrame) -> DataFrame:
+    """``(doc_id, key, words_hash)`` of the regions of ``keyed(doc_id, text, keys, hot)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        hashes = TextHasher()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                out = []
+                for r in batch.slice(at, 500).to_pylist():
+                    found = {(k, h) for k, _, _, _, h in _pieces(r["text"], words(r["text"]), hashes, r["keys"], r["hot"])}
+                    out += [(r["doc_id"], k, h) for k, h in found]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "key", "words_hash"])
+
+    return keyed.mapInArrow(run, "doc_id long, key long, words_hash long")
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    """``(key, words, doc_id)`` of the regions whose hash is among the row's ``wanted``."""
 
-        hashes = WordHashes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TextHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                out: list[tuple] = []
+                out = set()
                 for r in batch.slice(at, 200).to_pylist():
-                    words = hashes.words(r["text"])
-                    own = hashes.of(words)
-                    keys = window_keys(own)
-                    first, n = regions(keys)
-                    listed = np.isin(keys[first], np.array(r["keys"], np.int64)) if len(first) else first
-                    hot = set(r["hot"])
-                    for i, c in zip(first[listed].tolist() if len(first) else [], n[listed].tolist() if len(first) else []):
-                        key = int(keys[i])
-                        if key in hot:
-                            single = mix(own[i : i + c + WINDOW - 1])
-                            pieces = [(int(k), i + j, 1) for j, k in enumerate(runs_hash(single, WINDOW).view(np.int64))]
-                        else:
-                            pieces = [(key, i, c)]
-                        for k, start, size in pieces:
-                            text = " ".join(words[start : start + size + WINDOW - 1])
-                            if with_words:
-                                out.append((k, text, r["doc_id"]))
-                            else:
-                                h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
-                                out.append((r["doc_id"], r["text_hash"], start, size, k, h - (1 << 64) if h >> 63 else h))
+                    wanted = set(r["wanted"])
+                    for k, _, _, text, h in _pieces(r["text"], words(r["text"]), hashes, r["keys"], r["hot"]):
+                        if h in wanted:
+                            out.add((k, text, r["doc_id"]))
                 if out:
-                    columns = list(zip(*out))
-                    types = [pa.int64(), pa.string(), pa.int64()] if with_words else [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+                    k, text, doc = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(text, pa.string()), pa.array(doc, pa.int64())], ["key", "words", "doc_id"])
 
-    names = ["key", "words", "doc_id"] if with_words else ["doc_id", "text_hash", "start", "n", "key", "words_hash"]
-    schema = "key long, words string, doc_id long" if with_words else "doc_id long, text_hash long, start int, n int, key long, words_hash long"
-    return keyed.mapInArrow(run, schema)
+    return keyed.mapInArrow(run, "key long, words string, doc_id long")
 
 
 def _stream_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,17 +238,15 @@ def _stream_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for (_, _, doc), words in zip(shard, split):
             automaton.add(words, doc)
         automaton.finish()
-        keys, hashes, firsts, earlier = [], [], [], []
+        keys, hashes, earlier = [], [], []
         for (key, text, doc), words in zip(shard, split):
             found = automaton.first_documents(words, WINDOW)
-            h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
             keys.append(key)
-            hashes.append(h - (1 << 64) if h >> 63 else h)
-            firsts.append(doc)
+            hashes.append(_signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))))
             earlier.append([i for i, d in enumerate(found) if d is not None and d < doc])
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(earlier, pa.list_(pa.int32()))],
-            ["key", "words_hash", "first_doc", "earlier"],
+            [pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(earlier, pa.list_(pa.int32()))],
+            ["key", "words_hash", "earlier"],
         )
 
     for batch in batches:
@@ -229,81 +260,113 @@ def _stream_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush()
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, windows)``: the starts of the repeated windows, as flattened pairs of first
-    window and number of windows, of each document that has any."""
+def repeated_regions(docs: DataFrame) -> DataFrame:
+    """``(listed_id, keys, hot, repeats)`` of each document with shared keys: what to look for in its
+    text, and its repeated regions (``key, words_hash, earlier``: the windows that repeat, null for all)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    keys = _document_keys(rows.select("doc_id", "text"))
+    # Tables with several readers are written, so that they are computed once.
+    keys, keys_path = _written(_document_keys(rows))
     shared = (
         keys.groupBy("key")
         .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
         .filter("low < high")
         .select("key", (F.col("n") > HOT_DOCUMENTS).alias("is_hot"))
     )
-    listed = (
+    listed, _ = _written(
         keys.join(shared, "key")
         .groupBy("doc_id")
         .agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("is_hot"), F.col("key"))).alias("hot"))
         .withColumnRenamed("doc_id", "listed_id")
     )
-    keyed = rows.join(listed, F.col("doc_id") == F.col("listed_id")).drop("listed_id")
-    reference = _document_regions(keyed, True).groupBy("key", "words").agg(F.min("doc_id").alias("doc_id"))
+    delete_path(docs.sparkSession, keys_path)
+    keyed = rows.join(listed, F.col("doc_id") == F.col("listed_id")).select("doc_id", "text", "keys", "hot")
+    occurrences, _ = _written(_occurrences(keyed))
+    firsts = occurrences.groupBy("key", "words_hash").agg(F.min("doc_id").alias("first_doc"))
+    # A key with one region only needs no automaton: its windows begin in the region's first document.
+    mixed = firsts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    wanted = (
+        firsts.join(mixed, "key")
+        .groupBy("first_doc")
+        .agg(F.collect_list("words_hash").alias("wanted"))
+    )
+    reference = _texts(keyed.join(wanted, F.col("doc_id") == F.col("first_doc")).select("doc_id", "text", "keys", "hot", "wanted"))
     judged = (
         reference.repartition(_shuffle_partitions(docs), "key")
         .sortWithinPartitions("key")
-        .mapInArrow(_stream_shards, "key long, words_hash long, first_doc long, earlier array<int>")
+        .mapInArrow(_stream_shards, "key long, words_hash long, earlier array<int>")
+        .filter(F.size("earlier") > 0)
     )
-    found = (
-        _document_regions(keyed, False)
-        .join(judged, ["key", "words_hash"])
-        .select(
-            "doc_id",
-            "text_hash",
-            F.when(F.col("first_doc") < F.col("doc_id"), F.array("start", "n"))
-            .otherwise(F.flatten(F.transform("earlier", lambda i: F.array(F.col("start") + i, F.lit(1)))))
-            .alias("windows"),
-        )
-        .filter(F.size("windows") > 0)
+    later = F.col("first_doc") < F.col("doc_id")
+    repeats = (
+        occurrences.join(firsts, ["key", "words_hash"])
+        .join(judged.dropDuplicates(["key", "words_hash"]), ["key", "words_hash"], "left")
+        .filter(later | F.col("earlier").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("key", "words_hash", F.when(~later, F.col("earlier")).alias("earlier"))).alias("repeats"))
     )
-    return found.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+    return listed.join(repeats, F.col("listed_id") == F.col("doc_id")).select("listed_id", "keys", "hot", "repeats")
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, which cuts its lineage, and the table's path.
+
+    Once the table is there, the shuffle files behind it are of no use; Spark is asked to remove
+    them with the write.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "substrings")
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.parquet(path), path
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def kept_text(text: str | None, windows: list[int] | None, hashes: WordHashes) -> tuple[int, list[str]]:
+def _kept(row: dict, hashes: TextHasher) -> tuple[int, list[str]]:
     """Number of words, and the words that no repeated window covers."""
-    words = hashes.words(text)
-    if not windows:
-        return len(words), words
-    pairs = np.array(windows, np.int64).reshape(-1, 2)
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, pairs[:, 0], 1)
-    np.add.at(edge, np.minimum(pairs[:, 0] + pairs[:, 1] + WINDOW - 1, len(words)), -1)
-    return len(words), [w for w, c in zip(words, np.cumsum(edge)) if not c]
+    found = words(row["text"] or "")
+    if not row["repeats"]:
+        return len(found), found
+    repeats = {(r["key"], r["words_hash"]): r["earlier"] for r in row["repeats"]}
+    edge = np.zeros(len(found) + 1, np.int64)
+    for key, start, n, _, h in _pieces(row["text"], found, hashes, row["keys"], row["hot"]):
+        if (key, h) in repeats:
+            some = repeats[key, h]
+            for first, last in [(start, start + n - 1)] if some is None else [(start + i, start + i) for i in some]:
+                edge[first] += 1
+                edge[last + WINDOW] -= 1
+    return len(found), [w for w, c in zip(found, np.cumsum(edge).tolist()) if not c]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` for each row of ``docs(doc_id, text)``; ``kept`` has the
     remaining words joined by one blank."""
-    repeats = repeated_windows(docs).withColumnRenamed("doc_id", "r_id").withColumnRenamed("text_hash", "r_hash")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
-    joined = rows.join(repeats, (F.col("doc_id") == F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    joined = rows.join(repeated_regions(docs), F.col("doc_id") == F.col("listed_id"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = TextHasher()
         for batch in batches:
-            done = [kept_text(t, w, hashes) for t, w in zip(batch["text"].to_pylist(), batch["windows"].to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array([n for n, _ in done], pa.int64()),
-                    pa.array([n - len(k) for n, k in done], pa.int64()),
-                    pa.array([" ".join(k) for _, k in done], pa.string()),
-                ],
-                ["doc_id", "n_words", "n_removed", "kept"],
-            )
-
-    return joined.select("doc_id", "text", "windows").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                done = [_kept(r, hashes) for r in part.to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part["doc_id"],
+                        pa.array([n for n, _ in done], pa.int64()),
+                        pa.array([n - len(k) for n, k in done], pa.int64()),
+                        pa.array([" ".join(k) for _, k in done], pa.string()),
+                    ],
+                    ["doc_id", "n_words", "n_removed", "kept"],
+                )
+
+    return joined.select("doc_id", "text", "keys", "hot", "repeats").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
