@@ -88,6 +88,13 @@ class TextHasher:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._powers[: len(data)], out=sums[1:])
         return mix((sums[end] - sums[start]) * self._inverses[start] + (end - start).astype(np.uint64))
 
+    def spans(self, word_hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Signed hashes of the runs of words from ``start`` to before ``end``."""
+        self._reach(len(word_hashes))
+        sums = np.zeros(len(word_hashes) + 1, np.uint64)
+        np.cumsum(mix(word_hashes) * self._powers[: len(word_hashes)], out=sums[1:])
+        return mix((sums[end] - sums[start]) * self._inverses[start] + (end - start).astype(np.uint64)).view(np.int64)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit values that spreads every input bit."""

@@ -161,11 +161,9 @@ def _document_keys(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long")
 
 
-def _pieces(text: str, words: list[str], hashes: TextHasher, listed: list[int], hot: list[int]) -> Iterator[tuple[int, int, int, str, int]]:
-    """``(key, first window, number of windows, words, hash of the words)`` of each region of a text whose
+def _pieces(text: str, hashes: TextHasher, listed: list[int], hot: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """``(key, first window, number of windows, hash of the words)`` of each region of a text whose
     key is listed; a hot region gives each of its windows alone, under a key of its own."""
-    import xxhash
-
     own = hashes(text)
     keys = window_keys(own)
     first, n = regions(keys)
@@ -173,19 +171,14 @@ def _pieces(text: str, words: list[str], hashes: TextHasher, listed: list[int],
         return
     chosen = np.isin(keys[first], np.array(listed, np.int64))
     split = set(hot)
-    for i, c, key in zip(first[chosen].tolist(), n[chosen].tolist(), keys[first][chosen].tolist()):
+    first, n = first[chosen], n[chosen]
+    for i, c, key, h in zip(first.tolist(), n.tolist(), keys[first].tolist(), hashes.spans(own, first, first + n + WINDOW - 1).tolist()):
         if key in split:
             alone = runs_hash(mix(own[i : i + c + WINDOW - 1]), WINDOW).view(np.int64).tolist()
-            parts = [(k, i + j, 1) for j, k in enumerate(alone)]
+            at = np.arange(i, i + c)
+            yield from zip(alone, at.tolist(), [1] * c, hashes.spans(own, at, at + WINDOW).tolist())
         else:
-            parts = [(key, i, c)]
-        for k, start, size in parts:
-            region = " ".join(words[start : start + size + WINDOW - 1])
-            yield k, start, size, region, _signed(xxhash.xxh3_64_intdigest(region.encode("utf-8", "surrogatepass")))
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+            yield key, i, c, h
 
 
 def _occurrences(keyed: DataFrame) -> DataFrame:
@@ -197,7 +190,7 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 out = []
                 for r in batch.slice(at, 500).to_pylist():
-                    found = {(k, h) for k, _, _, _, h in _pieces(r["text"], words(r["text"]), hashes, r["keys"], r["hot"])}
+                    found = {(k, h) for k, _, _, h in _pieces(r["text"], hashes, r["keys"], r["hot"])}
                     out += [(r["doc_id"], k, h) for k, h in found]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "key", "words_hash"])
@@ -206,7 +199,7 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
 
 
 def _texts(keyed: DataFrame) -> DataFrame:
-    """``(key, words, doc_id)`` of the regions whose hash is among the row's ``wanted``."""
+    """``(key, words_hash, words, doc_id)`` of the regions whose hash is among the row's ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TextHasher()
@@ -214,48 +207,44 @@ def _texts(keyed: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 out = set()
                 for r in batch.slice(at, 200).to_pylist():
-                    wanted = set(r["wanted"])
-                    for k, _, _, text, h in _pieces(r["text"], words(r["text"]), hashes, r["keys"], r["hot"]):
+                    wanted, found = set(r["wanted"]), words(r["text"])
+                    for k, start, n, h in _pieces(r["text"], hashes, r["keys"], r["hot"]):
                         if h in wanted:
-                            out.add((k, text, r["doc_id"]))
+                            out.add((k, h, " ".join(found[start : start + n + WINDOW - 1]), r["doc_id"]))
                 if out:
-                    k, text, doc = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(text, pa.string()), pa.array(doc, pa.int64())], ["key", "words", "doc_id"])
+                    k, h, text, doc = zip(*out)
+                    columns = [pa.array(k, pa.int64()), pa.array(h, pa.int64()), pa.array(text, pa.string()), pa.array(doc, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "words_hash", "words", "doc_id"])
 
-    return keyed.mapInArrow(run, "key long, words string, doc_id long")
+    return keyed.mapInArrow(run, "key long, words_hash long, words string, doc_id long")
 
 
 def _stream_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Automata over whole keys (rows come sorted by key), up to ``SHARD_WORDS`` words each."""
-    import xxhash
-
     shard: list[tuple] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         automaton = SuffixAutomaton()
-        split = [w.split(" ") for _, w, _ in shard]
-        for (_, _, doc), words in zip(shard, split):
-            automaton.add(words, doc)
+        for _, _, split, doc in shard:
+            automaton.add(split, doc)
         automaton.finish()
-        keys, hashes, earlier = [], [], []
-        for (key, text, doc), words in zip(shard, split):
-            found = automaton.first_documents(words, WINDOW)
-            keys.append(key)
-            hashes.append(_signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))))
+        earlier = []
+        for _, _, split, doc in shard:
+            found = automaton.first_documents(split, WINDOW)
             earlier.append([i for i, d in enumerate(found) if d is not None and d < doc])
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(earlier, pa.list_(pa.int32()))],
+            [pa.array([x[0] for x in shard], pa.int64()), pa.array([x[1] for x in shard], pa.int64()), pa.array(earlier, pa.list_(pa.int32()))],
             ["key", "words_hash", "earlier"],
         )
 
     for batch in batches:
-        for key, words, doc in zip(batch["key"].to_pylist(), batch["words"].to_pylist(), batch["doc_id"].to_pylist()):
+        for key, h, text, doc in zip(*(batch[c].to_pylist() for c in ("key", "words_hash", "words", "doc_id"))):
             if size >= SHARD_WORDS and key != shard[-1][0]:
                 yield flush()
                 shard, size = [], 0
-            shard.append((key, words, doc))
-            size += words.count(" ") + 1
+            shard.append((key, h, text.split(" "), doc))
+            size += len(shard[-1][2])
     if shard:
         yield flush()
 
@@ -289,7 +278,8 @@ def repeated_regions(docs: DataFrame) -> DataFrame:
         .groupBy("first_doc")
         .agg(F.collect_list("words_hash").alias("wanted"))
     )
-    reference = _texts(keyed.join(wanted, F.col("doc_id") == F.col("first_doc")).select("doc_id", "text", "keys", "hot", "wanted"))
+    holders = keyed.join(wanted, F.col("doc_id") == F.col("first_doc")).select("doc_id", "text", "keys", "hot", "wanted")
+    reference, _ = _written(_texts(holders))
     judged = (
         reference.repartition(_shuffle_partitions(docs), "key")
         .sortWithinPartitions("key")
@@ -338,7 +328,7 @@ def _kept(row: dict, hashes: TextHasher) -> tuple[int, list[str]]:
         return len(found), found
     repeats = {(r["key"], r["words_hash"]): r["earlier"] for r in row["repeats"]}
     edge = np.zeros(len(found) + 1, np.int64)
-    for key, start, n, _, h in _pieces(row["text"], found, hashes, row["keys"], row["hot"]):
+    for key, start, n, h in _pieces(row["text"], hashes, row["keys"], row["hot"]):
         if (key, h) in repeats:
             some = repeats[key, h]
             for first, last in [(start, start + n - 1)] if some is None else [(start + i, start + i) for i in some]:
