@@ -4,13 +4,15 @@ Rows are dealt to shards of bounded size by hash of vec_id.  In every shard each
 rows' hash strings (64 signs of random projections, balanced by the shard's medians) as a
 sorted array.  A query descends to the longest prefixes it shares with each array, then all
 trees ascend together, one bit at a time, and the rows that come in are ranked by
-their exact distance.  The ascent of a query ends when a neighbour as far as its present k-th
-would, with probability ``RECALL``, already share a prefix in one tree at least; so close neighbours
-end it early and far ones (nearly random vectors) let it go on, to all rows if need be.  No
-bucket is capped.  Shards' best rows are merged by distance.
+their exact distance.  The ascent of a query ends when ``LEAST_RANKED`` rows were ranked and its present
+k nearest show that a share of ``RECALL`` is found; so close neighbours end it early and far ones
+(nearly random vectors) let it go on, to all rows if need be.  No bucket is capped.  Shards' best
+rows are merged by distance.
 
-The collision probability of a bit at distance d is 1 - acos(1 - d^2 / 2V) / pi, with V the shard's
-mean squared norm about its mean.
+The share found is measured, not modelled, so it holds for hot clusters and uneven norms too.  If a row
+shares the depth's bits with the query in c of T trees, one of which it took to be found, then
+p = (c - 1) / (T - 1) estimates the chance of a tree and 1 - (1 - p)^T that of being found at all; each
+of the k rows stands for one over that chance rows, found and missed.
 
 Defined cases.  Vectors null, empty, zero or with a null or non-finite component take no part, nor do
 rows without a vec_id.  Rows that repeat a vec_id: the smallest vector counts.  Vectors of
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 TREES = 32
 BITS = 64
 RECALL = 0.985
+#: Rows ranked for a query in each shard before its ascent may end.
+LEAST_RANKED = 500
 SHARD_ROWS = 20_000
 QUERY_BLOCK = 2_000
 SEED = 41
@@ -49,13 +53,14 @@ class Forest:
         rng = np.random.Generator(np.random.Philox(SEED))
         self.center = rows.mean(axis=0)
         moved = rows - self.center
-        self.spread = max(float((moved**2).sum(axis=1).mean()), 1e-300)
         self.planes = rng.standard_normal((trees, rows.shape[1], BITS))
         self.medians, self.strings, self.order = [], [], []
+        self.hashes = np.empty((len(rows), trees), np.uint64)
         for t in range(trees):
             projected = moved @ self.planes[t]
             self.medians.append(np.median(projected, axis=0))
             h = self._pack(projected > self.medians[t])
+            self.hashes[:, t] = h
             order = np.argsort(h, kind="stable")
             self.order.append(order)
             self.strings.append(h[order])
@@ -64,9 +69,13 @@ class Forest:
     def _pack(bits: np.ndarray) -> np.ndarray:
         return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).ravel()
 
-    def bit_agreement(self, distance: float) -> float:
-        rho = max(-1.0, 1.0 - distance * distance / (2 * self.spread))
-        return 1.0 - math.acos(rho) / math.pi
+    def share_found(self, at: np.ndarray, own: np.ndarray, rest: np.uint64) -> float:
+        """Estimated share of rows like those ``at`` that share the bits outside ``rest`` with the query's
+        strings ``own`` in one tree at least."""
+        shared = ((self.hashes[at] ^ own) <= rest).sum(axis=1)
+        p = (shared - 1) / max(self.trees - 1, 1)
+        chance = 1 - (1 - p) ** self.trees
+        return len(at) / float((1 / np.maximum(chance, 1e-9)).sum())
 
     def nearest(self, query_id: int, query: np.ndarray, k: int, recall: float = RECALL) -> list[tuple[float, int]]:
         """The ``k`` nearest found, as (distance, vec_id), without the query's own row."""
@@ -76,14 +85,16 @@ class Forest:
         rest[BITS] = 0
         # Every tree's range of rows that share the first bits with the query, for each number of bits.
         low, high = np.empty((self.trees, BITS + 1), np.int64), np.empty((self.trees, BITS + 1), np.int64)
+        own = np.empty(self.trees, np.uint64)
         for t in range(self.trees):
-            own = self._pack((moved @ self.planes[t] > self.medians[t])[None, :])[0]
-            low[t] = np.searchsorted(self.strings[t], own & ~rest, "left")
-            high[t] = np.searchsorted(self.strings[t], own | rest, "right")
+            own[t] = self._pack((moved @ self.planes[t] > self.medians[t])[None, :])[0]
+            low[t] = np.searchsorted(self.strings[t], own[t] & ~rest, "left")
+            high[t] = np.searchsorted(self.strings[t], own[t] | rest, "right")
         seen = np.zeros(len(self.ids), bool)
         seen[self.ids == query_id] = True
         left = len(seen) - int(seen.sum())
-        found_ids, found = np.zeros(0, np.int64), np.zeros(0)
+        ranked = 0
+        nearest, found = np.zeros(0, np.int64), np.zeros(0)
         for depth in range(BITS, -1, -1):
             grown = high[:, depth] > low[:, depth]
             if depth < BITS:
@@ -96,18 +107,16 @@ class Forest:
                 fresh.append(at)
             at = np.concatenate(fresh) if fresh else np.zeros(0, np.int64)
             if len(at):
-                left -= len(at)
+                ranked += len(at)
                 distance = np.sqrt(((self.rows[at] - query) ** 2).sum(axis=1))
-                found_ids, found = np.concatenate([found_ids, self.ids[at]]), np.concatenate([found, distance])
-                best = np.lexsort((found_ids, found))[:k]
-                found_ids, found = found_ids[best], found[best]
-            if not left:
+                nearest, found = np.concatenate([nearest, at]), np.concatenate([found, distance])
+                best = np.lexsort((self.ids[nearest], found))[:k]
+                nearest, found = nearest[best], found[best]
+            if ranked == left:
                 break
-            if len(found) == k:
-                same = self.bit_agreement(float(found[-1])) ** depth
-                if 1 - (1 - same) ** self.trees >= recall:
-                    break
-        return list(zip(found.tolist(), found_ids.tolist()))
+            if ranked >= LEAST_RANKED and len(found) == k and self.share_found(nearest, own, rest[depth]) >= recall:
+                break
+        return list(zip(found.tolist(), self.ids[nearest].tolist()))
 
 
 def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = RECALL) -> DataFrame:

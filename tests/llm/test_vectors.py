@@ -41,3 +41,30 @@ def test_hard_rows(spark):
     got = sorted((r.query_id, r.rank, r.vec_id) for r in vectors.nearest_neighbours(df, df, k=3).collect())
     assert got == [(1, 1, 2), (1, 2, 9), (2, 1, 1), (2, 2, 9), (9, 1, 1), (9, 2, 2)]
     assert vectors.nearest_neighbours(df.limit(0), df.limit(0)).collect() == []
+
+
+def recall(data, queries, k=10):
+    forest = vectors.Forest(np.arange(len(data)), data)
+    found = 0
+    for q in queries:
+        d = np.sqrt(((data - data[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        found += len({i for _, i in forest.nearest(int(q), data[q], k)} & set(np.argsort(d)[:k].tolist()))
+    return found / (k * len(queries))
+
+
+def test_recall_with_a_hot_cluster():
+    rng = np.random.default_rng(5)
+    for wide, off in ((0.05, 3.0), (0.3, 16.0), (0.1, 0.0)):
+        data = rng.standard_normal((6000, 64))
+        data[:2000] = off * rng.standard_normal(64) / 8 + wide * rng.standard_normal((2000, 64))
+        assert recall(data, range(0, 2000, 100)) >= 0.9
+        assert recall(data, range(2000, 6000, 200)) >= 0.9
+
+
+def test_recall_with_uneven_norms():
+    rng = np.random.default_rng(6)
+    data = rng.standard_normal((6000, 64)) * rng.lognormal(0, 1, (6000, 1))
+    by_norm = np.argsort((data**2).sum(axis=1))
+    assert recall(data, by_norm[:1500:75]) >= 0.9
+    assert recall(data, by_norm[1500::225]) >= 0.9
