@@ -13,15 +13,18 @@ from ridelens.llm import decontaminate, language, neardup, pii, tokens
 from ridelens.llm.common import delete_path, table
 from ridelens.session import shared_path
 
-#: Documents whose best cosine is lower are in no language that the labels name.  It is about the spread of
-#: cosines of unrelated vectors, as clean texts of a few words come down to 0.07.
+#: A document is in no language that the labels name if its best cosine is lower than ``SCORE_PER_NGRAM``
+#: times the number of its different n-grams, but ``LEAST_SCORE`` at least and ``MOST_SCORE`` at most.  Cosines of
+#: unrelated vectors spread by 1/32; clean texts of a few words come down to 0.07, long ones hardly to 0.4.
 LEAST_SCORE = 0.03
+SCORE_PER_NGRAM = 0.002
+MOST_SCORE = 0.25
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels name; others, and texts without a letter, go."""
     prototypes = language.train(docs.filter(~language.held_out()))
-    return language.keep_known(docs, prototypes, LEAST_SCORE)
+    return language.keep_known(docs, prototypes, LEAST_SCORE, SCORE_PER_NGRAM, MOST_SCORE)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

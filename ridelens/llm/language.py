@@ -97,7 +97,11 @@ class Encoder:
         return np.fromiter(map(self._grams.__getitem__, grams.tolist()), np.int64, len(grams))
 
     def vectors(self, texts: list) -> np.ndarray:
-        """One bundled vector for each text; zero for a text without a letter.
+        """One bundled vector for each text; zero for a text without a letter."""
+        return self.bundle(texts)[0]
+
+    def bundle(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' vectors, and how many n-grams each of them adds up.
 
         The counts of the texts' n-grams form a small dense matrix, multiplied with the n-grams'
         vectors a few thousand n-grams at a time.
@@ -113,10 +117,11 @@ class Encoder:
                     key = (key << 21) | letters[place : place + m]
                 keys.append(key)
                 owners.append(np.full(m, i, np.int64))
-        total = np.zeros((len(texts), self.dimensions), np.float32)
+        total, sizes = np.zeros((len(texts), self.dimensions), np.float32), np.zeros(len(texts), np.int64)
         if keys:
             grams, at = np.unique(np.concatenate(keys), return_inverse=True)
             owner = np.concatenate(owners)
+            sizes = np.bincount(owner, minlength=len(texts))
             for start in range(0, len(grams), 8192):
                 here = grams[start : start + 8192]
                 mine = (at >= start) & (at < start + 8192) if len(grams) > 8192 else slice(None)
@@ -124,7 +129,7 @@ class Encoder:
                 counts = np.bincount(cells, minlength=len(texts) * len(here)).reshape(len(texts), len(here))
                 rows = self._rows(here)
                 total += counts.astype(np.float32) @ self._vectors[rows].astype(np.float32)
-        return total
+        return total, sizes
 
 
 def _blocks(texts: list) -> Iterator[list]:
@@ -176,8 +181,15 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> dict[s
     return out
 
 
+def cut(different: float, least: float, per_ngram: float, most: float) -> float:
+    """The cosine that a text must reach, by the number of its different n-grams: chance gives any text
+    about the same cosine, a language's own text the more the longer it is."""
+    return max(least, min(most, per_ngram * different))
+
+
 def _classifier(prototypes: dict[str, list[float]]):
-    """texts -> [(language, cosine in 0 to 1)]"""
+    """texts -> [(language, cosine in 0 to 1, about how many different n-grams)]; with unequal counts c
+    the last is (sum c)^2 / sum c^2, whose denominator is the vector's squared length over its dimensions."""
     names = sorted(prototypes)
     matrix = np.array([prototypes[x] for x in names], np.float64).reshape(len(names), DIMENSIONS)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
@@ -185,15 +197,17 @@ def _classifier(prototypes: dict[str, list[float]]):
 
     def classify(texts: list) -> list[tuple[str, float]]:
         if not names:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
         out = []
         for block in _blocks(texts):
-            v = encoder.vectors(block).astype(np.float64)
+            v, sizes = encoder.bundle(block)
+            v = v.astype(np.float64)
             norm = np.linalg.norm(v, axis=1)
+            different = sizes**2.0 * DIMENSIONS / np.maximum(norm, 1e-9) ** 2
             cosines = v @ matrix.T / np.maximum(norm, 1e-9)[:, None]
             best = cosines.argmax(axis=1)
             score = np.clip(cosines[np.arange(len(block)), best], 0, 1)
-            out += [(names[k], float(x)) if n else (UNKNOWN, 0.0) for k, x, n in zip(best, score, norm)]
+            out += [(names[k], float(x), float(m)) if n else (UNKNOWN, 0.0, 0.0) for k, x, m, n in zip(best, score, different, norm)]
         return out
 
     return classify
@@ -215,15 +229,15 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {_type(docs, 'doc_id')}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, prototypes: dict[str, list[float]], least_score: float) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a cosine of ``least_score``."""
+def keep_known(docs: DataFrame, prototypes: dict[str, list[float]], least: float, per_ngram: float = 0.0, most: float = 1.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with the cosine that ``cut`` asks for."""
     model = json.dumps(prototypes)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = _classifier(json.loads(model))
         for batch in batches:
             found = classify(batch["text"].to_pylist())
-            yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least_score for x in found], pa.bool_()))
+            yield batch.filter(pa.array([k != UNKNOWN and x >= cut(n, least, per_ngram, most) for k, x, n in found], pa.bool_()))
 
     return docs.mapInArrow(known, docs.schema)
 

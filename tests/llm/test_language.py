@@ -1,5 +1,6 @@
 import numpy as np
 
+import corpus_pipeline
 from ridelens.llm import language
 from ridelens.llm.common import table
 from tests.conftest import SF001
@@ -49,3 +50,27 @@ def test_nothing_to_learn_from(spark):
     got = language.identify(docs(spark, [(1, "abc")]), {}).collect()
     assert (got[0].lang_pred, got[0].score) == ("und", 0.0)
     assert language.identify(empty, {}).collect() == []
+
+
+UNLEARNED = [
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है।",
+    "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.",
+    "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق. وقد وهبوا عقلاً وضميراً وعليهم أن يعامل بعضهم بعضاً بروح الإخاء.",
+]
+
+
+def test_pipeline_keeps_only_languages_it_learned(spark):
+    rows = table(spark, SF001, "documents")
+    rng = np.random.default_rng(3)
+    scripts = [(0x3B1, 0x3CA), (0xAC00, 0xD7A3), (0x4E00, 0x9FA5)]
+    noise = [" ".join("".join(map(chr, rng.integers(*scripts[i % 3], 5))) for _ in range(n)) for i, n in enumerate([30] * 30 + [200] * 30)]
+    learned = ["Hello.", "The house.", "All human beings are born free and equal in dignity and rights.", "the " * 300]
+    strange = rows.sparkSession.createDataFrame([(-1 - i, t) for i, t in enumerate(UNLEARNED + noise + learned)], "doc_id long, text string")
+    every = rows.unionByName(strange, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, every, SF001).select("doc_id").collect()}
+    unlearned = len(UNLEARNED) + len(noise)
+    assert {x for x in kept if x < 0} == {-1 - unlearned - i for i in range(len(learned))}
+    assert kept >= {r.doc_id for r in rows.filter("text rlike '[a-z]'").select("doc_id").collect()}
