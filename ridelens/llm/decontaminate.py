@@ -1,6 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping segments.  A text that holds a segment with at most k
+Benchmark items are cut into overlapping segments of ``SEGMENT`` characters (shorter items are one segment),
+one every ``STEP`` characters and one at the end, so that every excerpt of ``SEGMENT`` characters holds one with
+``STEP - 1`` edits at most, which is within a segment's budget.  A text that holds a segment with at most k
 edits shares at least ``m + 1 - q (k + 1)`` of the segment's m - q + 1 q-grams with it, all on k + 1
 neighbouring diagonals (place in the text minus place in the segment).  Shared q-grams are counted in
 overlapping diagonal bands, each twice as wide as the budget and moved by half its width, so that the
@@ -10,8 +12,9 @@ contaminated.
 
 Text and items are compared in lower case with white space as blanks.
 
-Defined cases.  Null or empty text: clean.  Items with null text or fewer than ``LEAST`` characters
-are no evidence and are ignored; so are null item ids.  Repeated items: each is reported.
+Defined cases.  Null or empty text: clean.  Items with null text or without a character other
+than white space are no evidence and are ignored; so are null item ids.  Items of fewer than ``Q`` characters, which have
+no q-gram: held by a text that is the item and nothing else.  Repeated items: each is reported.
 Empty benchmark: all clean.  Repeated documents: one result each.  Very long texts: read whole, in
 one piece of their own.  Other columns are ignored (``scan``) or kept (``drop_contaminated``).
 """
@@ -30,12 +33,11 @@ from .common import text_blocks
 
 Q = 10
 EDIT_SHARE = 0.05
-SEGMENT = 120
-STEP = 60
-LEAST = 30
+SEGMENT = 60
+STEP = 4
 #: Characters of benchmark items that one pass over the documents broadcasts; a larger benchmark
 #: is split by hash of the item into several passes.
-SHARD_CHARACTERS = 1_000_000
+SHARD_CHARACTERS = 500_000
 _SEPARATOR = 0x10FFFF
 
 
@@ -64,9 +66,12 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.segments: list[np.ndarray] = []
         self.item: list[int] = []
+        self.short: dict[bytes, set[int]] = {}
         for item, text in sorted(set(items)):
             p = _points(text.lower().strip())
-            if len(p) < LEAST:
+            if len(p) < Q:
+                if len(p):
+                    self.short.setdefault(p.tobytes(), set()).add(item)
                 continue
             starts = list(range(0, max(1, len(p) - SEGMENT + 1), STEP))
             if len(p) > SEGMENT and starts[-1] + SEGMENT < len(p):
@@ -81,16 +86,16 @@ class Index:
         order = np.argsort(every, kind="stable")
         self.grams, first = np.unique(every[order], return_index=True)
         self.first = np.append(first, len(every))
-        self.segment_of = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
-        self.place_of = np.concatenate([np.arange(len(h)) for h in hashes])[order] if hashes else np.zeros(0, np.int64)
+        self.segment_of = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(h) for h in hashes])[order]
+        self.place_of = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes])[order] if hashes else np.zeros(0, np.int32)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.grams >> np.uint32(10)] = True
 
     def scan(self, texts: list) -> list[list[int]]:
         """For each text the items of which it holds a segment."""
-        out: list[set[int]] = [set() for _ in texts]
+        out: list[set[int]] = [set(self._short(t)) for t in texts]
         if not self.segments:
-            return [[] for _ in texts]
+            return [sorted(x) for x in out]
         parts, starts, at = [], [], 0
         for t in texts:
             p = _points(t.lower()) if t else np.zeros(0, np.uint32)
@@ -106,6 +111,12 @@ class Index:
                 out[int(np.searchsorted(starts, place, side="right")) - 1].add(self.item[segment[k]])
         return [sorted(x) for x in out]
 
+    def _short(self, text: str | None) -> set[int]:
+        """The items of fewer than ``Q`` characters that the text is."""
+        if not self.short or not text or len(text.strip()) >= Q:
+            return set()
+        return self.short.get(_points(text.lower().strip()).tobytes(), set())
+
     def _bands(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(segment, first diagonal, last diagonal) of the bands that meet the bound, in groups."""
         h = _gram_hashes(points)
@@ -118,7 +129,7 @@ class Index:
         place, g = place[hit], g[hit]
         n = self.first[g + 1] - self.first[g]
         where = np.repeat(self.first[g], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        segment = self.segment_of[where]
+        segment = self.segment_of[where].astype(np.int64)
         diagonal = np.repeat(place, n) - self.place_of[where] + SEGMENT
         # Half a band holds the k + 1 diagonals of an occurrence, wherever they begin.
         half = self.budget[segment] + 1

@@ -70,3 +70,20 @@ def test_hard_rows_and_shards(spark, monkeypatch):
     assert kept.columns == docs(spark, []).columns and kept.count() == len(rows) - 1
     assert decontaminate.scan(docs(spark, []), bench).collect() == []
     assert decontaminate.scan(docs(spark, rows), bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_every_excerpt_of_a_segments_length_is_found():
+    rng = random.Random(6)
+    letters = "abcdefghijklmnop "
+    item = "".join(rng.choices(letters, k=250)).strip()
+    excerpts = [item[i : i + decontaminate.SEGMENT] for i in range(len(item) - decontaminate.SEGMENT + 1)]
+    assert decontaminate.SEGMENT <= 60
+    around = "".join(rng.choices("qrstuvwxyz ", k=100))
+    found = decontaminate.Index([(5, item)]).scan([around + x + around for x in excerpts] + [item[:40]])
+    assert found == [[5]] * len(excerpts) + [[]]
+
+
+def test_short_items_count_as_a_whole():
+    index = decontaminate.Index([(1, "Who wrote Emma?"), (2, " 6 x 7? "), (3, " \n"), (4, "6 X\t7?")])
+    texts = ["He asked: who\nwrote Emma? Then he left.", "who wrote it", "6 x 7?\n", "what is 6 x 7? said he", "", None]
+    assert index.scan(texts) == [[1], [], [2, 4], [], [], []]
