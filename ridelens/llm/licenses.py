@@ -5,18 +5,20 @@ five-word shingles.  Templates are cut into sections of at most ``SECTION`` shin
 each section size, overlapping windows of the text are laid out so that every occurrence
 lies whole inside one of them; the band count follows from the least Jaccard similarity
 that such a window can have, so that a section collides in one band at least with
-probability ``RECALL``.  What the bands retrieve is verified exactly: the section's shingles that
-the text holds around the hit are counted, and a template's containment is the sum of its sections' best
-counts over its number of distinct shingles.
+probability ``RECALL``.  A text that holds the share ``CONTAINMENT`` of a template holds that share of one
+section at least, so its template is retrieved; then all distinct shingles of the template are
+counted in the whole text, so the containment is exact.
 
 Defined cases.  Null or empty text: no license.  Text or template of one to four words: one
 shingle, all its words; templates without words are ignored.  Repeated documents: one row
-each.  Ties between templates: all are reported.  Other columns are ignored.
+each, with the greatest containment
+of its texts.  Ties between templates: all are reported.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ CONTAINMENT = 0.8
 RECALL = 0.999
 BROADCAST_SHINGLES = 1_000_000  # of all templates, with repeats; beyond, the join shuffles
 
-# License notice lines to scan for.
+# License notice lines to scan for.  The license texts beside them are in license_texts/.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -38,7 +40,10 @@ TEMPLATES = [
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "license string, text string")
+    """The notice lines, and the license texts as ``<name> text``."""
+    files = sorted((resources.files(__package__) / "license_texts").iterdir(), key=lambda f: f.name)
+    texts = [(f.name.removesuffix(".txt") + " text", f.read_text("utf-8")) for f in files if f.name.endswith(".txt")]
+    return spark.createDataFrame(TEMPLATES + texts, "license string, text string")
 
 
 def layout(size: int, containment: float = CONTAINMENT, recall: float = RECALL) -> tuple[int, int, int]:
@@ -144,40 +149,37 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
     counted shingles are at most ``BROADCAST_SHINGLES``.  Only the counts of the section sizes in use
     (1 to ``SECTION``) are read by the driver.
     """
-    cut = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("all") - 1) / SECTION).cast("int")),
-        lambda i: F.struct((i * SECTION).alias("offset"), F.slice("all", i * SECTION + 1, SECTION).alias("sh")),
-    )
-    listed = (
-        templates.select("license", F.array_distinct(shingles(F.col("text"))).alias("all"))
-        .filter(F.size("all") > 0)
-        .select("license", F.size("all").alias("total"), F.inline(cut))
-        .withColumn("size", F.size("sh"))
-    )
+    # Four full sections and more hold the share by themselves, whatever the rest holds.
+    n = F.size("all")
+    sections = F.when(n >= 4 * SECTION, F.floor(n / SECTION)).otherwise(F.ceil(n / SECTION)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), sections - 1), lambda i: F.struct(F.slice("all", i * SECTION + 1, SECTION).alias("sh")))
+    whole = templates.select("license", F.array_distinct(shingles(F.col("text"))).alias("all")).filter(F.size("all") > 0)
+    # Dealt out, so that the sections read the shingles and don't make them anew, each for itself.
+    whole = whole.repartition("license")
+    listed = whole.select("license", F.inline(cut)).withColumn("size", F.size("sh"))
     counted = listed.groupBy("size").agg(F.sum("size").alias("n")).collect()
     sizes = sorted(int(r["size"]) for r in counted)
     ids = docs.select("doc_id")
     if not sizes:
         return ids.select("doc_id", F.array().cast("array<string>").alias("licenses"), F.array().cast("array<double>").alias("containment"))
     probes = _probes(sizes)
-    windows = F.create_map(*[F.lit(x) for size in sizes for x in (size, layout(size)[0])])
-    wanted = _band_keys(listed, probes, F.lit(0), F.col("size")).select(
-        F.col("key").alias("wanted_key"), "license", "offset", "total", F.col("sh").alias("section"), windows[F.col("size")].alias("window")
-    )
+    wanted = _band_keys(listed, probes, F.lit(0), F.col("size")).select(F.col("key").alias("wanted_key"), "license").distinct()
+    wanted_whole = whole.select(F.col("license").alias("of"), F.col("all").alias("template"))
     if sum(r["n"] for r in counted) <= BROADCAST_SHINGLES:
-        wanted = F.broadcast(wanted)
+        wanted, wanted_whole = F.broadcast(wanted), F.broadcast(wanted_whole)
     # The probe's number is hashed into the key, so one long is the whole join key.
     keyed = _band_keys(_positions(docs, max(layout(x)[0] for x in sizes)), probes, F.col("at"))
     hits = keyed.join(wanted, F.col("key") == F.col("wanted_key"))
-    around = F.slice("sh", F.greatest(F.col("at") - SECTION, F.lit(0)) + 1, F.col("window") + 2 * SECTION)
-    # A lambda function, so that the few hits are verified outside the generated code of the probes.
-    held = F.filter("section", lambda x: F.array_contains(around, x))
+    retrieved = hits.select(F.col("doc_id").alias("found_in"), "license").groupBy("found_in").agg(F.collect_set("license").alias("retrieved"))
     found = (
-        hits.select("doc_id", "license", "offset", "total", F.size(held).alias("held"))
-        .groupBy("doc_id", "license", "total", "offset")
-        .agg(F.max("held").alias("held"))
-        .groupBy("doc_id", "license", "total")
-        .agg((F.sum("held") / F.col("total")).alias("share"))
+        docs.select("doc_id", "text")
+        .join(retrieved, F.col("doc_id") == F.col("found_in"))
+        .select("doc_id", F.array_distinct(shingles(F.col("text"))).alias("all"), "retrieved")
+        .select("doc_id", "all", F.explode("retrieved").alias("license"))
+        .join(wanted_whole, F.col("license") == F.col("of"))
+        .select("doc_id", "license", (F.size(F.array_intersect("all", "template")) / F.size("template")).alias("share"))
+        .groupBy("doc_id", "license")
+        .agg(F.max("share").alias("share"))
         .filter(F.col("share") >= containment)
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("license", "share"))).alias("found"))

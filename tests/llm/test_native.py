@@ -1,6 +1,8 @@
 """Chat formatting, license scans and URL filters: DataFrame functions only."""
 
 import math
+import random
+import re
 
 import pytest
 
@@ -62,6 +64,27 @@ def test_long_templates_are_found_by_section(spark):
     assert got == {1: ["long"], 2: [], 3: ["short"]}
 
 
+def test_license_texts_are_counted_exactly(spark):
+    texts = {r.license: r.text for r in licenses.default_templates(spark).collect() if r.license.endswith(" text")}
+    assert {"MIT text", "BSD-3-Clause text", "MPL-2.0 text", "Apache-2.0 text", "GPL-3.0 text"} <= set(texts)
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    sets = lambda t: {tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)}
+    rng = random.Random(8)
+    rows, name_of = [], {}
+    for i, (name, text) in enumerate(sorted(texts.items())):
+        for j, share in enumerate((0.0, 0.02, 0.03, 0.2)):
+            edited = " ".join("edit" if rng.random() < share else w for w in words(text))
+            rows.append((10 * i + j, "some words before it " + edited + " and after"))
+            name_of[10 * i + j] = name
+    got = {r.doc_id: dict(zip(r.licenses, r.containment)) for r in licenses.scan_licenses(docs(spark, rows), licenses.default_templates(spark)).collect()}
+    found = 0
+    for doc, text in rows:
+        want = len(sets(text) & sets(texts[name_of[doc]])) / len(sets(texts[name_of[doc]]))
+        assert got[doc].get(name_of[doc]) == (pytest.approx(want) if want >= licenses.CONTAINMENT else None)
+        found += want >= licenses.CONTAINMENT
+    assert len(rows) > found > 2 * len(texts)
+
+
 @pytest.mark.parametrize("size", range(1, licenses.SECTION + 1))
 def test_band_settings(size):
     window, stride, bands = licenses.layout(size)
