@@ -124,3 +124,88 @@ found AS (
 per_doc AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses, count(*) AS n FROM found GROUP BY doc_id)
 SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_licenses FROM documents LEFT JOIN per_doc USING (doc_id)
 """
+
+# Rows without a null vector, null component or non-finite component.
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """One pair of relations (assignment, next codebook) for each round."""
+    steps = []
+    for k in range(rounds + 1):
+        # Smallest distance first, then the lower entry; distances are whole numbers.
+        steps.append(f"""
+a{k} AS (
+  SELECT rid, pos, v // 256 AS d, v % 256 AS e
+  FROM (
+    SELECT rid, p.pos, min(CAST(norm - 2 * list_inner_product(p.part, c.part) + list_inner_product(c.part, c.part) AS BIGINT) * 256 + e) AS v
+    FROM p JOIN c{k} c USING (pos) GROUP BY rid, p.pos
+  )
+)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} AS (
+  SELECT pos, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS part
+  FROM (
+    SELECT pos, e, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+    FROM (SELECT pos, e, unnest(part) AS x, unnest(range(len(part))) AS j FROM a{k} JOIN p USING (rid, pos)) GROUP BY ALL
+  ) GROUP BY pos, e
+),
+c{k + 1} AS (SELECT pos, e, coalesce(m.part, c.part) AS part FROM c{k} c LEFT JOIN m{k} m USING (pos, e))""")
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE {_FINITE}
+),
+q AS (SELECT rid, unnest(range(4)) AS pos, v FROM k),
+p AS (
+  SELECT rid, pos, part, list_inner_product(part, part) AS norm
+  FROM (SELECT rid, pos, v[pos * len(v) // 4 + 1 : (pos + 1) * len(v) // 4] AS part FROM q)
+),
+c0 AS (SELECT pos, rid - 1 AS e, part FROM p WHERE rid <= 256),{','.join(steps)},
+done AS (
+  SELECT rid, string_agg(lpad(to_hex(CAST(e AS BIGINT)), 2, '0'), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY rid
+),
+books AS (
+  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY pos, e, j)) AS h
+  FROM (SELECT pos, e, unnest(part) AS x, unnest(range(len(part))) AS j FROM c{rounds})
+)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT h FROM books) AS codebooks_sha256
+FROM k JOIN done USING (rid)
+"""
+
+
+VECTOR_CODES = _vector_codes()
+
+ARCHIVES = """
+WITH r AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id) AS nth, first(page_id) OVER (PARTITION BY html ORDER BY page_id) AS first_id FROM r
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN n >= 100 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND nth > 1 THEN first_id END AS refers_to
+FROM f
+"""
+
+HARD_NEGATIVES = f"""
+WITH k AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM k a JOIN k b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+),
+pos AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+neg AS (
+  SELECT anchor_id, pos.vec_id AS positive_id, s.vec_id AS negative_id, pos.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, pos.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM pos JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * pos.score <= 100 * s.score AND 100 * s.score <= 95 * pos.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
+"""

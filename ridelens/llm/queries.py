@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, licenses, neardup, oracle, pii, substrings, tokens, urls, vectors
-from .common import table
+from ..session import shared_path
+from . import (
+    archives,
+    chat,
+    codes,
+    decontaminate,
+    hardneg,
+    language,
+    licenses,
+    neardup,
+    oracle,
+    pii,
+    substrings,
+    tokens,
+    urls,
+    vectors,
+)
+from .common import delete_path, table
 
 # The URL rules of the registered query.
 URL_RULES = [
@@ -70,6 +86,34 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("licenses").cast("long").alias("n_licenses"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    digest = F.lit(codes.books_digest(books)).alias("codebooks_sha256")
+    return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest)
+
+
+def op12_archive_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as ARC archives of both versions, converted to WARC, and read back."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("source_id"), "url", F.col("html").alias("payload"), (F.pmod(F.hash("url"), F.lit(2)) + 1).alias("version")
+    )
+    arcs = archives.write_arc(pages, shared_path(spark, "arc", "archives"))
+    warcs = archives.convert(spark, arcs, shared_path(spark, "warc"))
+    delete_path(spark, arcs)
+    records = archives.read_warc(spark, warcs).filter(F.col("record_type").isin("response", "revisit"))
+    return records.select(
+        F.col("source_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to_source").cast("long").alias("refers_to"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vec_id has a wrong label; every fiftieth is an anchor."""
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", wrong.alias("label"))
+    return hardneg.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +127,9 @@ QUERIES = {
         op8_url_filter,
         op9_decontamination,
         op10_license_scan,
+        op11_vector_codes,
+        op12_archive_converter,
+        op13_hard_negatives,
     )
 }
 #: Tests hold the other queries against brute force, exact round trips or held-out labels.
@@ -92,4 +139,7 @@ ORACLE_SQL_BY_QUERY = {
     "op7_preference_format": oracle.PREFERENCE_FORMAT,
     "op8_url_filter": oracle.URL_FILTER,
     "op10_license_scan": oracle.LICENSE_SCAN,
+    "op11_vector_codes": oracle.VECTOR_CODES,
+    "op12_archive_converter": oracle.ARCHIVES,
+    "op13_hard_negatives": oracle.HARD_NEGATIVES,
 }
