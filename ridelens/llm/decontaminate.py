@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import text_blocks
+from .common import sliced, text_blocks
 
 Q = 10
 EDIT_SHARE = 0.05
@@ -194,7 +194,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], keep_clean: bool) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             found = _scan_batch(index, batch["text"].to_pylist())
             if keep_clean:
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import sliced, text_blocks
 
 DIMENSIONS = 1024
 NGRAM = 3
@@ -219,7 +219,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = _classifier(json.loads(model))
-        for batch in batches:
+        for batch in sliced(batches):
             found = classify(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
@@ -235,7 +235,7 @@ def keep_known(docs: DataFrame, prototypes: dict[str, list[float]], least: float
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = _classifier(json.loads(model))
-        for batch in batches:
+        for batch in sliced(batches):
             found = classify(batch["text"].to_pylist())
             yield batch.filter(pa.array([k != UNKNOWN and x >= cut(n, least, per_ngram, most) for k, x, n in found], pa.bool_()))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import SHINGLE_WORDS, WordHashes, mix, shingle_set
+from .common import SHINGLE_WORDS, WordHashes, mix, shingle_set, sliced
 
 THRESHOLD = 0.8
 RECALL = 0.9999
@@ -72,7 +72,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         import xxhash
 
         hashes, signer = WordHashes(), Signer(bands, rows)
-        for batch in batches:
+        for batch in sliced(batches):
             digests, keys = [], []
             for x in batch["text"]:
                 grams = shingle_set(hashes.of(hashes.words(x.as_py())))
@@ -257,9 +257,25 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one row of each group of near copies: that of its smallest doc_id.
 
-    Of rows that repeat a doc_id, or have none and equal texts, one stays.
+    Of equal texts with the same doc_id, or with none, one row stays, by the hash of its columns.  Where a doc_id
+    repeats with different texts, the text of the smallest hash is the one that the join judged and that
+    may go; the others stay.
     """
-    gone = jaccard_join(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").withColumn("_text_key", key)
-    return kept.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    text_hash, of, judged = (_unused(docs, name) for name in ("text_hash", "gone_id", "judged_hash"))
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    first = hashed.groupBy(F.col("doc_id").alias(of)).agg(F.min(text_hash).alias(judged))
+    gone = jaccard_join(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias(of)).join(first, of)
+    kept = hashed.join(gone, (F.col("doc_id") == F.col(of)) & (F.col(text_hash) == F.col(judged)), "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    comparable = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    row = _unused(docs, "row")
+    one = kept.groupBy("doc_id", text_hash).agg(F.min_by(F.struct(*columns), F.xxhash64(*comparable)).alias(row))
+    return one.select(*[F.col(row)[c].alias(c) for c in docs.columns])
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

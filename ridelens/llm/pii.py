@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, sliced
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
@@ -414,7 +414,7 @@ def find(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = _finder(packed)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, digests, spans = [[] for _ in KINDS], [], []
             for x in batch["text"]:
                 base, added = search(x.as_py())
@@ -444,7 +444,7 @@ def redact(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = _finder(packed)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch["text"].to_pylist()
             new = [_masked(t, search(t)) if t else t for t in texts]
             columns = {name: batch[name] for name in batch.schema.names}

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 BLANK = "▁"
 CHUNK = 32_768
 ROOM = 64  # characters around a chunk that its states may need: twice the longest piece
@@ -67,6 +69,11 @@ class Codec:
         """Ids of a piece of escaped text, as it stands inside a document."""
         return self.sp.encode(self._wall + text.replace(BLANK, " "))[self._skip :] if text else []
 
+    def surface(self, ids: list[int]) -> str:
+        """The text that pieces inside a document stand for."""
+        lead = self.sp.encode(self._wall)
+        return self.sp.decode(lead + ids)[len(self.sp.decode(lead)) :]
+
     def stands(self, a: str, b: str) -> bool:
         """True if the two pieces next to each other encode to themselves."""
         key = (a, b)
@@ -179,47 +186,59 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     """``(doc_id, tokens, round_trip, scan_ok)`` for each row of ``docs(doc_id, text)``."""
     content = docs.sparkSession.sparkContext.broadcast(_model_bytes(docs.sparkSession, model))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    result = f"doc_id {id_type}, tokens array<int>, round_trip boolean, scan_ok boolean"
+    result = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tokens array<int>, round_trip boolean, scan_ok boolean"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(content.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = part["text"].to_pylist()
-                ids = codec.encode(texts)
-                same = [a == b for a, b in zip(codec.decode(ids), texts)]
+        for part in sliced(batches, most=1 << 20):
+            texts = part["text"].to_pylist()
+            ids = codec.encode(texts)
+            same = [a == b for a, b in zip(codec.decode(ids), texts)]
+            yield pa.RecordBatch.from_arrays(
+                [part["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_()), pa.array([True] * len(ids), pa.bool_())],
+                ["doc_id", "tokens", "round_trip", "scan_ok"],
+            )
+
+    short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, result)
+    return short.unionByName(_encode_giant(rows.filter(F.length("text") > chunk), content, chunk, result))
+
+
+#: A document's text by its id and hash; equal rows share their chunks.
+_KEY = ["doc_key", "text_hash"]
+
+
+def _chunks(keyed: DataFrame, chunk: int) -> DataFrame:
+    """``doc_key, text_hash, no, n, body``: the chunks of every text, cut out in one pass over it."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, most=1):
+            text = batch["text"][0].as_py()
+            n = -(-len(text) // chunk)
+            for some in range(0, n, 64):
+                here = range(some, min(some + 64, n))
+                bodies = [text[k * chunk - (ROOM if k else 0) : (k + 1) * chunk + ROOM] for k in here]
+                again = pa.array([0] * len(here))
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_()), pa.array([True] * len(ids), pa.bool_())],
-                    ["doc_id", "tokens", "round_trip", "scan_ok"],
+                    [*[batch[c].take(again) for c in _KEY], pa.array(here, pa.int32()), pa.array([n] * len(here), pa.int32()), pa.array(bodies, pa.string())],
+                    [*_KEY, "no", "n", "body"],
                 )
 
-    short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, result)
-    return short.unionByName(_encode_giant(rows.filter(F.length("text") > chunk), content, chunk, id_type))
-
-
-def _encode_giant(rows: DataFrame, content, chunk: int, id_type: str) -> DataFrame:
-    room = ROOM
-    n = F.ceil(F.length("text") / chunk).cast("int")
-    numbered = rows.distinct().select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), "text", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("no")
-    )
-    before = F.when(F.col("no") == 0, F.lit(0)).otherwise(F.lit(room))
-    chunks = numbered.select(
-        "doc_id", "text_hash", "no", "n",
-        F.substring("text", F.col("no") * chunk + 1 - before, before + chunk + room).alias("body"),
-        before.alias("before"),
-    )
-    key = ["doc_id", "text_hash"]
+    return keyed.select(*_KEY, "text").mapInArrow(cut, "doc_key string, text_hash long, no int, n int, body string").dropDuplicates([*_KEY, "no"])
+
+
+def _encode_giant(rows: DataFrame, content, chunk: int, result: str) -> DataFrame:
+    # Never null, so that joins on it keep documents without an id.
+    key = F.when(F.col("doc_id").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col("doc_id").cast("string")))
+    keyed = rows.select("doc_id", key.alias("doc_key"), F.xxhash64("text").alias("text_hash"), "text")
+    chunks = _chunks(keyed, chunk)
 
     def chunk_of(r) -> tuple:
         first, last = r["no"] == 0, r["no"] == r["n"] - 1
-        return _chunk((r["body"], r["before"], first, last, chunk))
+        return _chunk((r["body"], 0 if first else ROOM, first, last, chunk))
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(content.value)
-        for batch in batches:
+        for batch in sliced(batches, "body", 1 << 20):
             matrices = []
             for r in batch.to_pylist():
                 text, low, high, first, last = chunk_of(r)
@@ -233,8 +252,8 @@ def _encode_giant(rows: DataFrame, content, chunk: int, id_type: str) -> DataFra
                             m[i, j] = 0.0
                 matrices.append((m.shape[0], m.ravel().tolist()))
             yield pa.RecordBatch.from_arrays(
-                [*[batch[c] for c in (*key, "no")], pa.array([m[0] for m in matrices], pa.int32()), pa.array([m[1] for m in matrices], pa.list_(pa.float64()))],
-                [*key, "no", "states", "matrix"],
+                [*[batch[c] for c in (*_KEY, "no")], pa.array([m[0] for m in matrices], pa.int32()), pa.array([m[1] for m in matrices], pa.list_(pa.float64()))],
+                [*_KEY, "no", "states", "matrix"],
             )
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -249,54 +268,54 @@ def _encode_giant(rows: DataFrame, content, chunk: int, id_type: str) -> DataFra
         on = [np.flatnonzero((f.ravel() + b.ravel()) > NEVER) for f, b in zip(forward, backward[::-1])]
         ok = all(len(x) == 1 for x in on)
         state = [int(x[0]) if ok else -1 for x in on]
-        return pd.DataFrame({**{k: pdf[k] for k in (*key, "no")}, "begin": state[:-1], "end": state[1:]})
+        return pd.DataFrame({**{k: pdf[k] for k in (*_KEY, "no")}, "begin": state[:-1], "end": state[1:]})
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of the pieces that begin in a chunk and whether they decode to their text; of a
+        document without one path the chunk's own text instead."""
         codec = Codec(content.value)
-        for batch in batches:
-            ids = []
+        for batch in sliced(batches, "body", 1 << 20):
+            ids, same, bodies = [], [], []
             for r in batch.to_pylist():
+                text, low, high, first, last = chunk_of(r)
+                body = r["body"][(0 if first else ROOM) :][:chunk]
                 if r["begin"] < 0:
-                    ids.append(None)
+                    ids.append(None), same.append(None), bodies.append(body)
                     continue
-                text, low, high, first, last = chunk_of(r)
                 begin, end = _states(codec, text, low, first)[r["begin"]], _states(codec, text, high, last)[r["end"]]
                 paths = _chunk_paths(codec, text, low, high, begin)
-                ids.append(next(p for s, p in paths.items() if s == end or last and s[0] + len(s[1]) == high))
+                state, path = next((s, p) for s, p in paths.items() if s == end or last and s[0] + len(s[1]) == high)
+                covered = text[begin[0] + len(begin[1]) : state[0] + len(state[1])]
+                ids.append(path), bodies.append(None)
+                same.append(BLANK not in body and codec.surface(path) == covered.replace(BLANK, " "))
             yield pa.RecordBatch.from_arrays(
-                [*[batch[c] for c in (*key, "no")], pa.array(ids, pa.list_(pa.int32()))], [*key, "no", "ids"]
+                [*[batch[c] for c in (*_KEY, "no")], pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_()), pa.array(bodies, pa.string())],
+                [*_KEY, "no", "ids", "same", "body"],
             )
 
-    fixed = f"doc_id {id_type}, text_hash long, no int"
+    fixed = "doc_key string, text_hash long, no int"
     matrices = chunks.mapInArrow(transfer, f"{fixed}, states int, matrix array<double>")
-    chosen = matrices.groupBy(*key).applyInPandas(choose, f"{fixed}, begin int, end int")
-    on = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*key, "no")]
-    traced = (
-        chunks.alias("c").join(chosen.alias("s"), on).select("c.*", "s.begin", "s.end").mapInArrow(trace, f"{fixed}, ids array<int>")
-    )
-    gathered = traced.groupBy(*key).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids")
-    )
-    whole_texts = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    on = [F.col(f"t.{c}").eqNullSafe(F.col(f"g.{c}")) for c in key]
-    joined = whole_texts.alias("t").join(gathered.alias("g"), on).select("t.doc_id", "t.text", "g.ids")
+    chosen = matrices.groupBy(*_KEY).applyInPandas(choose, f"{fixed}, begin int, end int")
+    traced = chunks.join(chosen, [*_KEY, "no"]).mapInArrow(trace, f"{fixed}, ids array<int>, same boolean, body string")
+    in_order = F.array_sort(F.collect_list(F.struct("no", "ids", "body")))
+    gathered = traced.groupBy(*_KEY).agg(in_order.alias("parts"), F.bool_and("same").alias("same")).select(
+        *_KEY, "same", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"), F.array_join(F.transform("parts", lambda x: x["body"]), "").alias("text")
+    )
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(content.value)
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = r["ids"] if r["ids"] is not None else codec.encode([r["text"]])[0]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r["doc_id"]], batch["doc_id"].type),
-                        pa.array([ids], pa.list_(pa.int32())),
-                        pa.array([codec.decode([ids])[0] == r["text"]], pa.bool_()),
-                        pa.array([r["ids"] is not None], pa.bool_()),
-                    ],
-                    ["doc_id", "tokens", "round_trip", "scan_ok"],
-                )
+        codec = None
+        for batch in sliced(batches, "text"):
+            if batch["ids"].null_count:  # never seen; such a document is encoded whole
+                codec = codec or Codec(content.value)
+                ids = [codec.encode([r["text"]])[0] if r["ids"] is None else r["ids"] for r in batch.to_pylist()]
+                same = [codec.decode([i])[0] == r["text"] if r["ids"] is None else r["same"] for i, r in zip(ids, batch.to_pylist())]
+                found = [pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+            else:
+                found = [batch["ids"], batch["same"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *found, batch["ids"].is_valid()], ["doc_id", "tokens", "round_trip", "scan_ok"])
 
-    return joined.mapInArrow(finish, f"doc_id {id_type}, tokens array<int>, round_trip boolean, scan_ok boolean")
+    joined = keyed.select("doc_id", *_KEY).join(gathered, _KEY).select("doc_id", "ids", "same", "text")
+    return joined.mapInArrow(finish, result)
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ridelens.llm import neardup
 from tests.llm.helpers import docs, hard_rows
@@ -92,3 +93,16 @@ def test_components(spark, seed):
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     joined = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: top(x) for x in joined}
+
+
+def test_keep_one_with_clashing_names_and_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w59", "x")
+    rows = [(1, long, 7, "a"), (2, near, 8, "b"), (3, "another text here", 9, "c"), (3, "another text here", 9, "c"), (3, "a third one", 10, "d"), (None, "n", 1, "e"), (None, "n", 1, "e"), (4, None, 2, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_id int, `text_hash` string")
+    df = df.withColumn("_text_key", F.lit(7)).withColumn("row", F.create_map(F.lit("k"), F.lit(1))).withColumn("a.b", F.lit(3))
+    kept = neardup.keep_one(df.repartition(3))
+    assert kept.dtypes == df.dtypes
+    got = sorted(((r.doc_id, r.text, r.gone_id, r.text_hash) for r in kept.collect()), key=str)
+    assert got == sorted({r for r in rows if r[0] != 2}, key=str)
+    assert {(r["_text_key"], r["row"]["k"], r["a.b"]) for r in kept.collect()} == {(7, 1, 3)}

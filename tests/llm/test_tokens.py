@@ -52,3 +52,18 @@ def test_product_is_associative():
     left, right = tokens.product(tokens.product(a, b), c), tokens.product(a, tokens.product(b, c))
     assert np.array_equal(np.isfinite(left), np.isfinite(right))
     assert np.allclose(np.where(np.isfinite(left), left, 0), np.where(np.isfinite(right), right, 0))
+
+
+def test_giant_rows_that_repeat_or_have_no_id(spark, model):
+    long, other = "ab cd\n" * 300, "xy " * 400
+    rows = [(1, long), (1, long), (None, long), (None, other), (1, other), (2, long)]
+    got = sorted(((r.doc_id, r.tokens, r.round_trip, r.scan_ok) for r in tokens.encode(docs(spark, rows), chunk=200).collect()), key=str)
+    assert got == sorted(((d, model.encode(t), True, True) for d, t in rows), key=str)
+
+
+def test_a_scan_without_one_path_is_encoded_whole(spark, model, monkeypatch):
+    monkeypatch.setattr(tokens, "product", lambda a, b: np.full((a.shape[0], b.shape[1]), -np.inf))
+    rows = [(1, "ab cd\n" * 300), (2, "a▁b " * 300), (3, "short")]
+    got = {r.doc_id: r for r in tokens.encode(docs(spark, rows), chunk=200).collect()}
+    assert [got[d].tokens for d in (1, 2, 3)] == [model.encode(t) for _, t in rows]
+    assert [(got[d].round_trip, got[d].scan_ok) for d in (1, 2, 3)] == [(True, False), (False, False), (True, True)]
