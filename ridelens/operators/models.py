@@ -14,8 +14,6 @@ independent SQL engine can select the very same rows.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -310,34 +308,55 @@ def tree_depth_sweep(
     cohort: DataFrame,
     depths: list[int] | None = None,
     fraction: float = TREE_SAMPLE_FRACTION,
-    parallelism: int = 2,
     max_train_rows: int = MAX_TRAIN_ROWS,
 ) -> DataFrame:
-    """Test RMSE for each max depth (0..30 by default).
+    """Test RMSE and number of nodes for each max depth (0..30 by default), from one fit.
 
-    The sampled rows are checkpointed once (reliable files in the shared ``spark.checkpoint.dir``).
-    The indexers are fitted once on the training rows and the transformed rows are persisted; each depth
-    fits only the tree.  The driver holds ``parallelism`` trees at a time, each with at most
-    ``max_train_rows`` leaves.  The test side is never thinned.
+    The tree of a smaller depth is the top of the deepest one, so that one is fitted, its test
+    rows are summed up by leaf in one pass, and each cut's errors follow from its nodes
+    (``trees.NodeTable``).  The sampled rows are checkpointed (reliable files in the shared
+    ``spark.checkpoint.dir``).  The driver holds one tree of at most ``max_train_rows`` leaves.  The test side is
+    never thinned.
     """
     from ..session import ensure_checkpoint_dir
+    from .trees import NodeTable
 
     ensure_checkpoint_dir(cohort.sparkSession)
     depths = TREE_MAX_DEPTHS if depths is None else list(depths)
+    schema = "maxDepth int, rmse double, numNodes int"
+    if not depths:
+        return spark.createDataFrame([], schema)
     sampled = sample_trips(tree_inputs(cohort), fraction).checkpoint(eager=True)
     train, test = train_test_split(sampled)
-    train = bounded_train_rows(train, max_train_rows)
+    train = rows_for_depth(train, max(depths), max_train_rows)
     features: PipelineModel = Pipeline(stages=feature_stages()).fit(train)
-    train = features.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
-    test = features.transform(test).persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = features.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        def one(d: int):
-            m = tree_stages(d)[-1].fit(train)
-            return d, float(evaluate_rmse(m, test)), int(m.numNodes)
-
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            rows = list(pool.map(one, depths))
+        model = tree_stages(max(depths))[-1].fit(fitted)
     finally:
-        train.unpersist()
-        test.unpersist()
-    return spark.createDataFrame(rows, "maxDepth int, rmse double, numNodes int")
+        fitted.unpersist()
+    off = F.col("label") - F.col("prediction")
+    sums = (
+        model.setLeafCol("leaf").transform(features.transform(test)).groupBy(F.col("leaf").cast("int").alias("leaf"))
+        .agg(F.count("label").alias("n"), F.sum(off).alias("off"), F.sum(off * off).alias("off_squared")).toPandas()
+    )  # at most one row for each leaf
+    table = NodeTable(spark, model)
+    errors = table.squared_errors(*(sums[c].to_numpy() for c in ("leaf", "n", "off", "off_squared")), depths)
+    n = int(sums["n"].sum())
+    rows = [(d, float((max(e, 0.0) / n) ** 0.5) if n else None, table.size(d)) for d, e in zip(depths, errors)]
+    return spark.createDataFrame(rows, schema)
+
+
+def rows_for_depth(train: DataFrame, depth: int, most: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """The rows that fit a tree: all, unless it could have more than ``most`` leaves."""
+    return train if depth < 63 and 2**depth <= most else bounded_train_rows(train, most)
+
+
+def save_pipeline(model: PipelineModel, path: str) -> str:
+    """Write a fitted pipeline to shared storage; an existing folder is an error."""
+    model.write().save(path)
+    return path
+
+
+def load_pipeline(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -392,28 +392,38 @@ def _q_train_test_split(spark, sf):
     return models.split_sizes(cohort(spark, sf))
 
 
-def _tree_rows(spark, sf):
-    """The sampled rows of both sides, persisted for the passes of a fit and its evaluation."""
-    from ..operators import models
+class _Fitted:
+    """A tree pipeline fitted for a query; the sampled rows are persisted while it is in use."""
 
-    rows = models.sample_trips(models.tree_inputs(cohort(spark, sf)), models.TREE_SAMPLE_FRACTION)
-    return rows.persist()
+    def __init__(self, spark, sf, depth):
+        from ..operators import models
+
+        self.rows = models.sample_trips(models.tree_inputs(cohort(spark, sf)), models.TREE_SAMPLE_FRACTION).persist()
+        self.train, self.test = models.train_test_split(self.rows)
+        self.depth = depth
+
+    def __enter__(self):
+        from ..operators import models
+
+        try:
+            self.pipeline = models.fit_duration_tree(models.rows_for_depth(self.train, self.depth), self.depth)
+        except BaseException:
+            self.rows.unpersist()
+            raise
+        self.tree = self.pipeline.stages[-1]
+        return self
+
+    def __exit__(self, *_):
+        self.rows.unpersist()
 
 
 def _tree_by_depth(spark, sf, depth):
     """(maxDepth, rmse, numNodes) of one tree, the RMSE on the held-out side."""
     from ..operators import models
 
-    rows = _tree_rows(spark, sf)
-    try:
-        train, test = models.train_test_split(rows)
-        m = models.fit_duration_tree(models.bounded_train_rows(train), depth)
-        return spark.createDataFrame(
-            [(depth, float(models.evaluate_rmse(m, test)), int(m.stages[-1].numNodes))],
-            "maxDepth int, rmse double, numNodes int",
-        )
-    finally:
-        rows.unpersist()
+    with _Fitted(spark, sf, depth) as fit:
+        row = (depth, float(models.evaluate_rmse(fit.pipeline, fit.test)), int(fit.tree.numNodes))
+    return spark.createDataFrame([row], "maxDepth int, rmse double, numNodes int")
 
 
 @register("duration_tree_depth0")
@@ -438,13 +448,10 @@ def _q_duration_tree_rmse(spark, sf):
     """Held-out RMSE by the evaluator and recomputed as a SQL aggregate."""
     from ..operators import models
 
-    rows = _tree_rows(spark, sf)
-    train, test = models.train_test_split(rows)
-    m = models.fit_duration_tree(models.bounded_train_rows(train), TREE_DEPTH)
-    ev = models.evaluate_rmse(m, test)
-    return m.transform(test).agg(
-        F.lit(float(ev)).alias("rmseEvaluator"), models.rmse_sql().alias("rmseSql")
-    )
+    with _Fitted(spark, sf, TREE_DEPTH) as fit:
+        by_sql = fit.pipeline.transform(fit.test).agg(models.rmse_sql()).first()[0]
+        row = (float(models.evaluate_rmse(fit.pipeline, fit.test)), float(by_sql))
+    return spark.createDataFrame([row], "rmseEvaluator double, rmseSql double")
 
 
 @register("tree_feature_importances")
@@ -452,15 +459,44 @@ def _q_tree_feature_importances(spark, sf):
     """Which inputs the depth-5 tree splits on (the fitted model, inspected)."""
     from ..operators import models
 
-    rows = _tree_rows(spark, sf)
-    try:
-        train, _ = models.train_test_split(rows)
-        _, imp = models.describe_tree(models.fit_duration_tree(models.bounded_train_rows(train), TREE_DEPTH))
-    finally:
-        rows.unpersist()
+    with _Fitted(spark, sf, TREE_DEPTH) as fit:
+        _, imp = models.describe_tree(fit.pipeline)
     return spark.createDataFrame(imp, "feature string, importance double")
 
 
+@register("tree_rules")
+def _q_tree_rules(spark, sf):
+    """The depth-5 tree as text, a rule for each leaf, and how the held-out rows that meet it fare; these are
+    matched by a join with the rules, not by the model."""
+    from ..operators import models, trees
+
+    with _Fitted(spark, sf, TREE_DEPTH) as fit:
+        labels = trees.labels_of(fit.pipeline)
+        rules = trees.leaf_rules(spark, trees.NodeTable(spark, fit.tree), labels)
+        met = trees.score_by_rules(fit.test, rules, labels).groupBy("leaf").agg(
+            F.count(F.lit(1)).alias("testRows"), models.rmse_sql().alias("testRmse")
+        )
+        rows = rules.join(met, "leaf", "left").select(
+            "leaf", "depth", "rule", "prediction", "trainRows", F.coalesce("testRows", F.lit(0)).alias("testRows"), "testRmse"
+        )
+        out = rows.collect()  # at most 2 ** TREE_DEPTH rows
+        schema = rows.schema
+    return spark.createDataFrame(out, schema)
+
+
+@register("tree_feature_kinds")
+def _q_tree_feature_kinds(spark, sf):
+    """Which features of the training rows are categories, and the number of each of their values."""
+    from pyspark.ml import Pipeline
+
+    from ..operators import models, trees
+
+    rows = models.sample_trips(models.tree_inputs(cohort(spark, sf)), models.TREE_SAMPLE_FRACTION)
+    train, _ = models.train_test_split(rows)
+    indexed = Pipeline(stages=models.feature_stages()[:1]).fit(train).transform(train)
+    return trees.feature_kinds(indexed, models.TREE_FEATURES, models.VECTOR_MAX_CATEGORIES)
+
+
 @register("tree_depth_sweep")
 def _q_tree_depth_sweep(spark, sf):
     from ..operators import models
@@ -662,6 +698,29 @@ def _q_stream_ingest(spark, sf):
     )
 
 
+@register("stream_predictions")
+def _q_stream_predictions(spark, sf):
+    """The depth-5 tree written to shared storage, loaded again, and applied to the streamed trip files;
+    trips, mean prediction and RMSE by month."""
+    from ..operators import models
+    from ..session import shared_path
+    from ..streaming.ingest import start_scoring
+
+    path = shared_path(spark, "tree-pipeline")
+    with _Fitted(spark, sf, TREE_DEPTH) as fit:
+        models.save_pipeline(fit.pipeline, path)
+    scored = shared_path(spark, "scored-trips")
+    q = start_scoring(spark, staged_trip_files(spark, sf), scored, shared_path(spark, "scored-trips-ckpt"), path)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return (
+        spark.read.parquet(scored)
+        .groupBy(F.date_format("startTime", "yyyyMM").alias("month"))
+        .agg(F.count(F.lit(1)).alias("Num"), F.avg("prediction").alias("meanPrediction"), models.rmse_sql().alias("rmse"))
+    )
+
+
 def all_queries() -> dict[str, QueryFn]:
     """Every registered query."""
     return dict(QUERIES)

@@ -410,54 +410,133 @@ SELECT (SELECT count(*) FROM trips) AS rawRows, (SELECT count(*) FROM cohort) AS
 }
 
 
-# --- trees of depth 0 and 1 -----------------------------------------------------------
-# Values of the text features are ordered by the mean label of the training side, and ages by number; a
-# split lies between neighbours, and values that the training side does not have go right.
-_TREE = f"""
-, s AS (
-  SELECT startStationName AS "start", endStationName AS "end", CAST(duration AS DOUBLE) AS y, age,
-         gender, userType, {_unit_hash(7)} < 0.7 AS train
-  FROM cohort WHERE {_unit_hash(42)} < 0.1
+# --- trees ---------------------------------------------------------------------------
+# Grown level by level by recursion.  A node's categories are ordered by their mean label in it (ties: the more
+# frequent on the training side, then the name), ages by number; a cut lies between neighbours and, for
+# ages, half way to the next age of the whole training side.  The best cut has the largest drop in variance
+# (ties: the first feature, the first cut).  Values that a node has not seen go right.
+_FEATURE = ["start", "end", "age", "gender", "userType"]
+_INDEX = ["startIndex", "endIndex", "age", "genderIndex", "userTypeIndex"]
+
+
+def _named(names: list[str], f: str) -> str:
+    return f"list_extract([{', '.join(repr(n) for n in names)}], {f} + 1)"
+
+
+def _grown(depth: int, rest: bool = False) -> str:
+    """``t``: every sampled trip (with ``rest``, every trip) in each node on its way, down to ``depth``."""
+    return f"""
+, s AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, startTime, startStationName AS "start", endStationName AS "end", CAST(age AS DOUBLE) AS age,
+         gender, userType, CAST(duration AS DOUBLE) AS y,
+         CASE WHEN {_unit_hash(42)} >= 0.1 THEN 'rest' WHEN {_unit_hash(7)} < 0.7 THEN 'train' ELSE 'test' END AS side
+  FROM cohort {'' if rest else f'WHERE {_unit_hash(42)} < 0.1'}
 ),
-long AS (
-  SELECT row_number() OVER () AS id, * FROM s
+vals AS MATERIALIZED (
+  SELECT id, side, y, unnest([0, 1, 3, 4]) AS f, unnest(["start", "end", gender, userType]) AS v, CAST(NULL AS DOUBLE) AS x FROM s
+  UNION ALL SELECT id, side, y, 2, NULL, age FROM s
 ),
-f AS (
-  SELECT id, train, y, unnest(['start', 'end', 'gender', 'userType']) AS feature,
-         unnest(["start", "end", gender, userType]) AS value FROM long
+category AS MATERIALIZED (
+  SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY count(*) DESC, v) AS c FROM vals WHERE side = 'train' AND f <> 2 GROUP BY f, v
 ),
-ranked AS (SELECT feature, value, avg(y) AS mean FROM f WHERE train GROUP BY feature, value),
-numbered AS (
-  SELECT id, train, y, f.feature,
-         coalesce(mean, CAST('infinity' AS DOUBLE)) AS x
-  FROM f LEFT JOIN ranked USING (feature, value)
-  UNION ALL SELECT id, train, y, 'age', age FROM long
+ages AS MATERIALIZED (
+  SELECT x, (x + lead(x) OVER (ORDER BY x)) / 2 AS cut FROM (SELECT DISTINCT x FROM vals WHERE side = 'train' AND f = 2)
 ),
-values_ AS (
-  SELECT feature, x, count(*) AS n, sum(y) AS sy FROM numbered WHERE train GROUP BY feature, x
+known AS MATERIALIZED (
+  SELECT vals.id, vals.side, vals.y, vals.f, vals.v, vals.x, c, cut
+  FROM vals LEFT JOIN category USING (f, v) LEFT JOIN ages ON vals.f = 2 AND ages.x = vals.x
 ),
-cuts AS (
-  SELECT feature, x, lead(x) OVER w AS next_x,
-         sum(n) OVER w AS nl, sum(sy) OVER w AS sl,
-         sum(n) OVER (PARTITION BY feature) AS n, sum(sy) OVER (PARTITION BY feature) AS sy
-  FROM values_ WINDOW w AS (PARTITION BY feature ORDER BY x)
+t AS (
+  SELECT id, side, y, 0 AS depth, CAST(1 AS BIGINT) AS node, -1 AS "by", '' AS rule FROM s
+  UNION ALL
+  SELECT * FROM (
+    WITH per AS (
+      SELECT t.node, f, v, c, cut, count(*) AS n, sum(k.y) AS sy, sum(k.y * k.y) AS syy
+      FROM t JOIN known k ON k.id = t.id WHERE k.side = 'train' GROUP BY ALL
+    ),
+    ordered AS (
+      SELECT *, row_number() OVER (PARTITION BY node, f ORDER BY CASE WHEN f = 2 THEN cut ELSE sy / n END NULLS LAST, c) AS k FROM per
+    ),
+    sums AS (
+      SELECT node, f, k, cut, sum(n) OVER w AS nl, sum(sy) OVER w AS sl, sum(syy) OVER w AS ql, list(v) OVER w AS vs,
+             sum(n) OVER a AS n, sum(sy) OVER a AS s, sum(syy) OVER a AS q
+      FROM ordered WINDOW w AS (PARTITION BY node, f ORDER BY k), a AS (PARTITION BY node, f)
+    ),
+    gains AS (
+      SELECT *, (q - s * s / n) / n - nl / n * ((ql - sl * sl / nl) / nl)
+                - (n - nl) / n * ((q - ql - (s - sl) * (s - sl) / (n - nl)) / (n - nl)) AS gain
+      FROM sums WHERE nl < n
+    ),
+    best AS (SELECT node, f, cut, vs FROM gains WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, k) = 1),
+    sent AS (
+      SELECT t.*, best.f, best.cut, best.vs,
+             CASE WHEN best.f = 2 THEN k.x <= best.cut ELSE coalesce(list_contains(best.vs, k.v), false) END AS l
+      FROM t JOIN best USING (node) JOIN known k ON k.id = t.id AND k.f = best.f WHERE depth < {depth}
+    )
+    SELECT id, side, y, depth + 1, node * 2 + CASE WHEN l THEN 0 ELSE 1 END, f,
+           rule || CASE WHEN rule = '' THEN '' ELSE ' and ' END || {_named(_FEATURE, 'f')} ||
+           CASE WHEN f = 2 THEN CASE WHEN l THEN ' <= ' ELSE ' > ' END || CAST(cut AS VARCHAR)
+                ELSE CASE WHEN l THEN ' in {{' ELSE ' not in {{' END || array_to_string(list_sort(vs), '|') || '}}' END
+    FROM sent
+  )
 ),
-split AS (
-  SELECT feature, (x + next_x) / 2 AS cut, sl / nl AS left_mean, (sy - sl) / (n - nl) AS right_mean
-  FROM cuts WHERE next_x IS NOT NULL
-  ORDER BY sl * sl / nl + (sy - sl) * (sy - sl) / (n - nl) DESC LIMIT 1
-)"""
+stats AS MATERIALIZED (
+  SELECT depth, node, any_value("by") AS "by", any_value(rule) AS rule, avg(y) AS p, count(*) AS n, count(*) * var_pop(y) AS loss
+  FROM t WHERE side = 'train' GROUP BY depth, node
+),
+leaf AS MATERIALIZED (SELECT id, side, y, depth, node FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth DESC) = 1)"""
+
 
-BODIES["duration_tree_depth0"] = f"""{_TREE}
-SELECT CAST(0 AS INTEGER) AS maxDepth,
-       {_r('(SELECT sqrt(avg(pow(y - m, 2))) FROM s, (SELECT avg(y) AS m FROM s WHERE train) WHERE NOT train)')} AS rmse,
-       CAST(1 AS INTEGER) AS numNodes"""
-BODIES["duration_tree_depth1"] = f"""{_TREE}
-SELECT CAST(1 AS INTEGER) AS maxDepth,
-       {_r('sqrt(avg(pow(y - CASE WHEN x <= cut THEN left_mean ELSE right_mean END, 2)))')} AS rmse,
-       CAST(3 AS INTEGER) AS numNodes
-FROM numbered JOIN split USING (feature) WHERE NOT train"""
+def _errors(depths: str) -> str:
+    return f"""
+, wide AS (SELECT unnest({depths}) AS m),
+tests AS (
+  SELECT m AS maxDepth, sqrt(avg(pow(t.y - p, 2))) AS rmse
+  FROM leaf JOIN wide ON leaf.side = 'test' JOIN t ON t.id = leaf.id AND t.depth = least(leaf.depth, m) JOIN stats ON stats.node = t.node
+  GROUP BY m
+)
+SELECT CAST(maxDepth AS INTEGER) AS maxDepth, {_r('rmse')} AS rmse,
+       (SELECT CAST(count(*) AS INTEGER) FROM stats WHERE depth <= maxDepth) AS numNodes
+FROM tests"""
+
+
+TREE_BODIES = {
+    "duration_tree_depth0": _grown(0) + _errors("[0]"),
+    "duration_tree_depth1": _grown(1) + _errors("[1]"),
+    "duration_tree": _grown(5) + _errors("[5]"),
+    "tree_depth_sweep": _grown(30) + _errors("range(0, 31)"),
+    "duration_tree_rmse": f"""{_grown(5)}
+SELECT {_r('sqrt(avg(pow(y - p, 2)))')} AS rmseEvaluator, {_r('sqrt(avg(pow(y - p, 2)))')} AS rmseSql
+FROM leaf JOIN stats USING (node) WHERE side = 'test'""",
+    "tree_feature_importances": f"""{_grown(5)}
+, won AS (
+  SELECT c."by" AS f, any_value(p.loss) - sum(c.loss) AS gain FROM stats c JOIN stats p ON p.node = c.node // 2 WHERE c.depth > 0 GROUP BY p.node, c."by"
+)
+SELECT {_named(_INDEX, 'f')} AS feature, {_r('coalesce(sum(gain) / (SELECT sum(gain) FROM won), 0)')} AS importance
+FROM (SELECT unnest(range(5)) AS f) LEFT JOIN won USING (f) GROUP BY f""",
+    "tree_rules": f"""{_grown(5)}
+SELECT leaf.node AS leaf, CAST(any_value(stats.depth) AS INTEGER) AS depth, any_value(rule) AS rule, {_r('any_value(p)')} AS prediction,
+       count(*) FILTER (side = 'train') AS trainRows, count(*) FILTER (side = 'test') AS testRows,
+       {_r("sqrt(avg(pow(y - p, 2)) FILTER (side = 'test'))")} AS testRmse
+FROM leaf JOIN stats USING (node) GROUP BY leaf.node""",
+    "tree_feature_kinds": f"""{_grown(0)}
+, many AS (
+  SELECT f, CAST(CASE WHEN f = 2 THEN count(DISTINCT x) ELSE count(DISTINCT v) END AS INTEGER) AS n FROM vals WHERE side = 'train' GROUP BY f
+),
+number AS (
+  SELECT f, c - 1 AS i, CAST(c - 1 AS DOUBLE) AS x FROM category
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY x <> 0, x) - 1, x FROM ages
+)
+SELECT {_named(_INDEX, 'f')} AS feature, CASE WHEN n <= 20 THEN 'categorical' ELSE 'continuous' END AS kind,
+       CASE WHEN n <= 20 THEN n END AS categories,
+       CASE WHEN n <= 20 THEN (SELECT string_agg(x || ':' || i, ',' ORDER BY i) FROM number WHERE number.f = many.f) END AS map
+FROM many""",
+    "stream_predictions": f"""{_grown(5, rest=True)}
+SELECT strftime(startTime, '%Y%m') AS month, count(*) AS Num, {_r('avg(p)')} AS meanPrediction, {_r('sqrt(avg(pow(s.y - p, 2)))')} AS rmse
+FROM s JOIN leaf USING (id) JOIN stats USING (node) GROUP BY ALL""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _PREFIX + body for name, body in BODIES.items()}
+    recursive = _PREFIX.replace("WITH", "WITH RECURSIVE", 1)
+    return {name: _PREFIX + body for name, body in BODIES.items()} | {name: recursive + body for name, body in TREE_BODIES.items()}

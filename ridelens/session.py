@@ -126,6 +126,14 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at))
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one folder of ``shared_path`` that nothing reads any more."""
+    at, fs = _hadoop(spark, path)
+    fs.delete(at, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
 def remove_staged(spark: SparkSession) -> int:
     """Delete every folder handed out by ``shared_path`` so far; returns how many.
 

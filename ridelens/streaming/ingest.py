@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import columns as C
 from ..operators.cohort import clean_cohort
+from ..operators.models import TRIP_KEY, load_pipeline, tree_inputs
 from ..schema import CORRUPT_COLUMN, RAW_TIME_FORMAT, TRIP_COLUMNS, with_corrupt_column
 from ..sources.files import MONTH_COLUMN, MONTH_FORMAT, rejected_lines
 
@@ -77,9 +78,42 @@ def start_cohort_ingest(
             rows.unpersist()
 
     stream = trip_stream(spark, landing_dir, max_files_per_trigger)
-    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
+    return _started(stream.writeStream.foreachBatch(write), checkpoint_dir, available_now, processing_time)
+
+
+def _started(writer, checkpoint_dir: str, available_now: bool, processing_time: str | None) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint_dir)
     if available_now:
-        w = w.trigger(availableNow=True)
+        writer = writer.trigger(availableNow=True)
     elif processing_time:
-        w = w.trigger(processingTime=processing_time)
-    return w.start()
+        writer = writer.trigger(processingTime=processing_time)
+    return writer.start()
+
+
+def start_scoring(
+    spark: SparkSession,
+    landing_dir: str,
+    scored_dir: str,
+    checkpoint_dir: str,
+    model_dir: str,
+    as_of_year: int = C.DEFAULT_AS_OF_YEAR,
+    available_now: bool = True,
+    processing_time: str | None = None,
+    max_files_per_trigger: int | None = None,
+) -> StreamingQuery:
+    """Add the cohort rows of new trip files, with the duration that the pipeline stored in ``model_dir``
+    predicts, to ``scored_dir`` (parquet by batch, exactly once as in ``start_cohort_ingest``).
+
+    The pipeline is loaded once, when the query starts; a new model takes a restart.  Columns: the
+    trip's key, ``label`` (its duration) and ``prediction``.  Lines that do not parse are left to the ingest.
+    """
+    model = load_pipeline(model_dir)
+
+    def write(batch: DataFrame, number: int) -> None:
+        good = batch.filter(F.col(CORRUPT_COLUMN).isNull()).select(*TRIP_COLUMNS)
+        scored = model.transform(tree_inputs(clean_cohort(good, as_of_year))).select(*TRIP_KEY, "label", "prediction")
+        scored.write.mode("overwrite").parquet(f"{scored_dir.rstrip('/')}/{BATCH_COLUMN}={number}")
+
+    # Parsed in full before the filter, so that a bad field of any column rejects its line.
+    stream = trip_stream(spark, landing_dir, max_files_per_trigger).select(*TRIP_COLUMNS, CORRUPT_COLUMN)
+    return _started(stream.writeStream.foreachBatch(write), checkpoint_dir, available_now, processing_time)

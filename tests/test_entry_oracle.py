@@ -27,11 +27,7 @@ def test_entry_has_every_catalogued_query():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    missing = set(QUERIES) - set(ORACLE)
-    # only the decision-tree models are left without an SQL oracle
-    assert missing <= {
-        "duration_tree", "duration_tree_rmse", "tree_depth_sweep", "tree_feature_importances",
-    }
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.fixture(scope="module")
