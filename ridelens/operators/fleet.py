@@ -65,6 +65,26 @@ def distinct_bikes(cohort: DataFrame, approximate: bool = False, rsd: float = 0.
     return cohort.agg(F.count_distinct("bikeID").alias("NumBikes"))
 
 
+#: Base-2 logarithm of the sketch's registers; the relative standard error is 1.04 / sqrt(2 ** SKETCH_BITS).
+SKETCH_BITS = 14
+
+
+def bike_sketches(cohort: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """``month, sketch``: a mergeable sketch of the bikes in use in each start month.
+
+    A sketch has a bounded size, whatever the number of bikes; new months add rows, and any set of
+    months merges without reading a trip again.
+    """
+    month = F.date_format("startTime", "yyyyMM").alias("month")
+    return cohort.groupBy(month).agg(F.hll_sketch_agg("bikeID", F.lit(bits)).alias("sketch"))
+
+
+def distinct_bikes_of(sketches: DataFrame) -> DataFrame:
+    """Estimated number of distinct bikes (``NumBikes``) of all the sketches' months together; 0 for none."""
+    merged = sketches.agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select(F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).cast("long").alias("NumBikes"))
+
+
 def bikes_in_both_top(cohort: DataFrame, k: int = 10) -> DataFrame:
     """Bikes in both the top-k by trips and the top-k by hours (semi join)."""
     by_hours = most_hours_bikes(cohort, k).select("bikeID")

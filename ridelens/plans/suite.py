@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import cohort as CO
 from ..operators import demand, distance, fleet, riders
-from ..sources.files import MONTH_COLUMN, MONTH_FORMAT
+from ..schema import TRIP_COLUMNS
+from ..sources.files import MONTH_COLUMN, MONTH_FORMAT, recover
 from ..sources.tables import trips_from_tables
 
 
@@ -69,6 +70,49 @@ def materialize_cohort(
     return spark.read.parquet(path)
 
 
+def refresh_cohort(spark: SparkSession, trip_dir: str, table_dir: str, as_of_year: int = C.DEFAULT_AS_OF_YEAR) -> list[str]:
+    """Bring the cohort table (by start month) up to the trip files below ``trip_dir/month=yyyyMM/``;
+    returns the months that were cleaned again or removed.
+
+    A manifest beside the table (``<table_dir>.manifest``) lists the files and sizes that each month was built from.  Only months
+    whose files differ are read; their partitions are replaced (dynamic partition overwrite), the others stay as they
+    are.  The manifest is replaced last, so a run that is cut off does the same months again.
+    """
+    from ..session import listing, path_exists, remove
+    from ..sources.files import export_csv, month_paths, read_trip_csv
+
+    manifest_dir = f"{table_dir.rstrip('/')}.manifest"
+    schema = "month string, file string, bytes long, changed long, asOfYear int"
+    now = set()
+    for file, size, changed in listing(spark, trip_dir):
+        month = [p[len(MONTH_COLUMN) + 1 :] for p in file.split("/") if p.startswith(f"{MONTH_COLUMN}=")]
+        if not month:
+            raise ValueError(f"{file} is in no folder {MONTH_COLUMN}=yyyyMM")
+        now.add((month[-1], file, size, changed, as_of_year))
+    recover(spark, manifest_dir)
+    before = {tuple(r) for r in spark.read.schema(schema).option("header", True).csv(manifest_dir).collect()} if path_exists(spark, manifest_dir) else set()
+    changed_months = sorted({m for m, *_ in now ^ before})
+    present = sorted({m for m, *_ in now} & set(changed_months))
+    if present:
+        trips = read_trip_csv(spark, month_paths(trip_dir, present))
+        rows = CO.clean_cohort(trips.select(*TRIP_COLUMNS), as_of_year).withColumn(MONTH_COLUMN, F.date_format("startTime", MONTH_FORMAT))
+        (
+            rows.hint("rebalance", MONTH_COLUMN)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(MONTH_COLUMN)
+            .parquet(table_dir)
+        )
+    held = {r[0] for r in spark.read.parquet(table_dir).filter(F.col(MONTH_COLUMN).isin([int(m) for m in present])).select(F.col(MONTH_COLUMN).cast("string")).distinct().collect()} if present else set()
+    for month in changed_months:
+        stale = month not in present
+        if stale or month not in held:  # no file left, or none of its trips passes the cleaning
+            remove(spark, f"{table_dir.rstrip('/')}/{MONTH_COLUMN}={month}")
+    if changed_months:
+        export_csv(spark.createDataFrame(sorted(now), schema), manifest_dir, mode="overwrite", single_file=True)
+    return changed_months
+
+
 def run_all(
     spark: SparkSession,
     sf_dir: str,

@@ -7,9 +7,11 @@ is left alone.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -126,14 +128,67 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at))
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder or file; False if there was none."""
+    at, fs = _hadoop(spark, path)
+    return bool(fs.delete(at, True))
+
+
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename on one file system; False if ``path`` is missing or ``to`` exists."""
+    at, fs = _hadoop(spark, path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(to)
+    return not fs.exists(there) and bool(fs.exists(at)) and bool(fs.rename(at, there))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete one folder of ``shared_path`` that nothing reads any more."""
-    at, fs = _hadoop(spark, path)
-    fs.delete(at, True)
+    remove(spark, path)
     if path in _MADE:
         _MADE.remove(path)
 
 
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """``(file, bytes, time of change)`` of the files at or below ``path``, without hidden ones."""
+    at, fs = _hadoop(spark, path)
+    if not fs.exists(at):
+        return []
+    out, files = [], fs.listFiles(at, True)
+    root = at.toUri().getPath().rstrip("/")
+    while files.hasNext():
+        s = files.next()
+        below = s.getPath().toUri().getPath()[len(root) :].strip("/")
+        if not any(part[:1] in "._" for part in below.split("/") if part):
+            out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(out)
+
+
+def made_once(spark: SparkSession, name: str, sources: list[str], make: Callable[[str], object]) -> str:
+    """The folder that ``make(path)`` writes from the files of ``sources``; made once for each state of them.
+
+    The folder's name is a digest of the sources' files (name, size, time of change), so changed sources have another
+    one.  It is written aside and renamed when complete: readers and other sessions never see a part
+    of it, and of two writers at once one copy stays.  It is kept until ``remove_made`` deletes it.
+    """
+    state = repr([listing(spark, s) for s in sources])
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/ridelens/made/{name}-{hashlib.sha256(state.encode()).hexdigest()[:24]}"
+    if not path_exists(spark, path):
+        draft = f"{root}/ridelens/made/.{name}-{uuid.uuid4().hex[:12]}"
+        try:
+            make(draft)
+            if not rename(spark, draft, path) and not path_exists(spark, path):
+                raise OSError(f"could not put {path} in place")
+        finally:
+            remove(spark, draft)
+    return path
+
+
+def remove_made(spark: SparkSession) -> bool:
+    """Delete all folders of ``made_once`` below the shared checkpoint folder."""
+    return remove(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/ridelens/made")
+
+
 def remove_staged(spark: SparkSession) -> int:
     """Delete every folder handed out by ``shared_path`` so far; returns how many.
 

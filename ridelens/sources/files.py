@@ -10,12 +10,16 @@ PERMISSIVE mode: a malformed line becomes a row with nulls plus its raw text in
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..schema import CORRUPT_COLUMN, RAW_TIME_FORMAT, TRIP_COLUMNS, TRIP_SCHEMA, with_corrupt_column
+from ..session import path_exists, remove, rename
+from . import headers as H
 
 MONTH_COLUMN = "month"
 MONTH_FORMAT = "yyyyMM"
@@ -67,9 +71,45 @@ def read_trip_csv(
     Reading the staging root also yields the ``month`` partition column, so a
     month predicate prunes whole directories.  With ``rejects=True`` the
     ``_corrupt_record`` column holds the text of lines that did not parse.
+
+    Columns go by the names in each file's header (``headers.layout``): files that order or call them
+    otherwise are read in their own layout, and files whose header does not name every trip column
+    are left out (``headers.file_ledger`` lists them).  ``header=False``: by position.
     """
     schema = with_corrupt_column(TRIP_SCHEMA) if rejects else TRIP_SCHEMA
-    return _reader(spark, schema, rejects, header).csv(paths)
+    if not header:
+        return _reader(spark, schema, rejects, False).csv(paths)
+    layouts: dict[tuple, list[str]] = {}
+    found = H.headers(spark, paths)
+    for file, status, columns, _ in found:
+        if status in (H.STANDARD, H.BY_NAME):
+            layouts.setdefault(tuple(columns), []).append(file)
+    standard = tuple(TRIP_COLUMNS)
+    if all(status in (H.STANDARD, H.EMPTY) for _, status, _, _ in found):
+        return _reader(spark, schema, rejects).csv(paths)
+    types = {f.name: f.dataType for f in TRIP_SCHEMA.fields}
+    roots = [paths] if isinstance(paths, str) else paths
+    parts = []
+    for columns, files in sorted(layouts.items(), key=lambda x: x[0] != standard):
+        # Other fields are read as text and dropped.
+        fields = [T.StructField(c, types[c]) if c else T.StructField(f"_other{i}", T.StringType()) for i, c in enumerate(columns)]
+        own = T.StructType(fields + ([T.StructField(CORRUPT_COLUMN, T.StringType())] if rejects else []))
+        reader = _reader(spark, own, rejects)
+        if len(roots) == 1 and not files_match(files, roots[0]):
+            reader = reader.option("basePath", roots[0])
+        rows = reader.csv(files)
+        parts.append(rows.select(*schema.names, *[c for c in rows.columns if c not in own.names]))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def files_match(files: list[str], root: str) -> bool:
+    """True if ``root`` is itself one of the files, or a pattern, so that it has no folders below it."""
+    return any(c in root for c in "*?[{") or any(f.rstrip("/").endswith(root.rstrip("/")) for f in files)
 
 
 def read_trip_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -117,11 +157,14 @@ def rejected_lines(rows: DataFrame) -> DataFrame:
 def export_csv(
     df: DataFrame,
     path: str,
-    mode: str = "overwrite",
+    mode: str = "errorifexists",
     single_file: bool = False,
     quote: str | None = None,
 ) -> str:
-    """Headered CSV extract.
+    """Headered CSV extract, written aside and published in one step.
+
+    ``mode``: ``errorifexists`` (the default), ``overwrite`` or ``ignore``.  Readers see the old extract until the
+    new one is complete; a write that fails or is interrupted leaves the old one as it is (``publish``).
 
     ``single_file=True`` coalesces to one part file - meant for bounded results
     (top-k lists, per-age tables), never for row-level data.  ``quote="\\u0000"``
@@ -129,16 +172,64 @@ def export_csv(
     rather than ``coalesce(1)``: coalesce would pull the single-task limit up into
     the stage that computes ``df``; the extra exchange moves only the final rows.
     """
+    if mode not in ("errorifexists", "overwrite", "ignore"):
+        raise ValueError(f"unknown mode {mode!r}")
+    spark = df.sparkSession
+    recover(spark, path)
+    if path_exists(spark, path):
+        if mode == "ignore":
+            return path
+        if mode == "errorifexists":
+            raise FileExistsError(f"{path} exists already; pass mode='overwrite' to replace it")
+    staged = _beside(path, f"new-{uuid.uuid4().hex[:12]}")
     out = df.repartition(1) if single_file else df
-    w = out.write.mode(mode).option("header", True)
+    w = out.write.mode("errorifexists").option("header", True)
     if quote is not None:
         w = w.option("quote", quote)
-    w.csv(path)
+    try:
+        w.csv(staged)
+        publish(spark, staged, path, replace=mode == "overwrite")
+    finally:
+        remove(spark, staged)
     return path
 
 
+def _beside(path: str, what: str) -> str:
+    """A hidden sibling of ``path``: on the same storage, and skipped by readers of the parent folder."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return f"{parent}/.{name}.{what}" if parent else f".{name}.{what}"
+
+
+def publish(spark: SparkSession, staged: str, path: str, replace: bool = False) -> None:
+    """Put the complete folder ``staged`` in the place of ``path`` by renames.
+
+    The old folder is set aside first and deleted last; should the process die in between, ``recover`` (and so the next
+    ``export_csv`` or ``read_extract``) puts it back.
+    """
+    old = _beside(path, "old")
+    if replace and path_exists(spark, path):
+        remove(spark, old)
+        if not rename(spark, path, old):
+            raise OSError(f"could not set {path} aside")
+    if not rename(spark, staged, path):
+        recover(spark, path)
+        raise OSError(f"could not publish {path}")
+    remove(spark, old)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Undo or finish a publication of ``path`` that was cut off."""
+    old = _beside(path, "old")
+    if path_exists(spark, old):
+        if path_exists(spark, path):
+            remove(spark, old)
+        else:
+            rename(spark, old, path)
+
+
 def read_extract(spark: SparkSession, path: str) -> DataFrame:
     """Read an extract back with inferred types (header row, one inference pass)."""
+    recover(spark, path)
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 

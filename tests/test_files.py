@@ -105,5 +105,5 @@ def test_export_single_file(spark, cohort_small):
     assert back.columns == ["bikeID", "Num"]
     assert [tuple(r) for r in files.column_types(back).collect()] == [(0, "bikeID", "int"), (1, "Num", "int")]
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, top.collect()))
-    # default mode overwrites instead of failing on a re-run
-    files.export_csv(top, path, single_file=True)
+    # an existing extract is replaced only on request
+    files.export_csv(top, path, mode="overwrite", single_file=True)
