@@ -259,7 +259,7 @@ def unpacked(content: bytes) -> bytes:
 def _write_archives(archives: DataFrame, path: str, end: str) -> str:
     """A gzip file for each row of ``archive``; ``end`` follows the last record."""
     writer = archives.select(F.col("archive").cast("string")).write.option("lineSep", end)
-    writer.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    writer.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
     return path
 
 
