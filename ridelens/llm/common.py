@@ -157,6 +157,16 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     release_memory()
 
 
+def runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Slices of sorted batches in which the ``columns`` (whole numbers) are constant, with their values in front."""
+    for batch in batches:
+        values = [batch[c].to_numpy() for c in columns]
+        turns = np.flatnonzero(np.logical_or.reduce([np.diff(v) != 0 for v in values])) + 1
+        for a, b in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
+            if a < b:
+                yield (*(v[a].item() for v in values), batch.slice(a, b - a))
+
+
 def release_memory() -> None:
     """Give freed memory of this process back to the machine."""
     gc.collect()

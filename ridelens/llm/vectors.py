@@ -23,19 +23,21 @@ smaller vec_id.  Empty table: no rows.  Other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import runs
+
 TREES = 32
 BITS = 64
 RECALL = 0.985
 #: Rows ranked for a query in each shard before its ascent may end.
 LEAST_RANKED = 500
 SHARD_ROWS = 20_000
-QUERY_BLOCK = 2_000
 SEED = 41
 
 
@@ -50,6 +52,7 @@ class Forest:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, trees: int = TREES):
         self.ids, self.rows, self.trees = ids, rows, trees
+        self.ranked = 0  # rows whose distance from a query was computed
         rng = np.random.Generator(np.random.Philox(SEED))
         self.center = rows.mean(axis=0)
         moved = rows - self.center
@@ -116,6 +119,7 @@ class Forest:
                 break
             if ranked >= LEAST_RANKED and len(found) == k and self.share_found(nearest, own, rest[depth]) >= recall:
                 break
+        self.ranked += ranked
         return list(zip(found.tolist(), self.ids[nearest].tolist()))
 
 
@@ -123,40 +127,53 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, recall:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows found for each query, by Euclidean
     distance.  ``rows`` and ``queries`` have ``vec_id, embedding``; a query's own vec_id is left out.
 
-    Each task holds one shard and one block of queries.  ``rows`` are counted first, for the
-    number of shards.
+    A task gets a shard's rows and, sorted behind them, the queries in batches: the forest of a shard is
+    built once, no row is copied for the queries, and a task holds one shard and one batch.  ``rows`` are
+    counted first, for the number of shards.
     """
+    # Of rows that repeat a vec_id the smallest vector; merged before the shuffle, so that no shard takes them all.
     columns = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
-    rows, queries = usable(rows).select(*columns), usable(queries).select(*columns)
+    rows, queries = (usable(x).select(*columns).groupBy("vec_id").agg(F.min("embedding").alias("embedding")) for x in (rows, queries))
     shards = max(1, math.ceil(rows.count() / SHARD_ROWS))
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    indexed = rows.select("vec_id", "embedding", deal(shards).alias("shard"), each(blocks).alias("block"))
-    asked = queries.select("vec_id", "embedding", each(shards).alias("shard"), deal(blocks).alias("block"))
-
-    def search(of: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        of, ask = _one_each(of), _one_each(ask)
-        for size, own in ask.groupby(ask["embedding"].map(len)):
-            here = of[of["embedding"].map(len) == size]
-            if len(here):
-                forest = Forest(here["vec_id"].to_numpy(), np.stack(here["embedding"].to_list()))
-                for q, v in zip(own["vec_id"], own["embedding"]):
-                    out += [(q, i, d) for d, i in forest.nearest(int(q), np.asarray(v), k, recall)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = (
-        indexed.groupBy("shard", "block")
-        .cogroup(asked.groupBy("shard", "block"))
-        .applyInPandas(search, "query_id long, vec_id long, score double")
+    deal = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    both = rows.select(deal.alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding").unionByName(
+        queries.select(everywhere.alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding")
     )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, forests = None, [], {}
+        for at, kind, part in runs(batches, "shard", "kind"):
+            if at != shard:
+                shard, held, forests = at, [], {}
+            if kind == 0:
+                held.append(_by_length(part))
+                continue
+            if held:
+                for size in {s for h in held for s in h}:
+                    ids, vectors = zip(*[h[size] for h in held if size in h])
+                    forests[size] = Forest(np.concatenate(ids), np.concatenate(vectors))
+                held = []
+            out = []
+            for size, (ids, vectors) in _by_length(part).items():
+                if size in forests:
+                    for q, v in zip(ids.tolist(), vectors):
+                        out += [(q, i, d) for d, i in forests[size].nearest(q, v, k, recall)]
+            q, i, d = zip(*out) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "score"])
+
+    placed = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    found = placed.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _one_each(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row for each vec_id: of repeated ones the smallest vector."""
-    if rows["vec_id"].is_unique:
-        return rows
-    return rows.assign(key=rows["embedding"].map(tuple)).sort_values(["vec_id", "key"]).drop_duplicates("vec_id")
+def _by_length(part: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """``{length: (ids, vectors)}`` of the rows of a batch."""
+    ids, lengths = part["vec_id"].to_numpy(), np.asarray(part["embedding"].value_lengths())
+    flat, ends = part["embedding"].flatten().to_numpy(), np.cumsum(lengths)
+    out = {}
+    for size in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == size)
+        out[size] = ids[own], flat[(ends[own] - size)[:, None] + np.arange(size)]
+    return out

@@ -13,7 +13,9 @@ def exact(data, q, k=10):
 
 def test_recall_and_exact_scores(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD_ROWS", 200)
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 20)
+    # Small batches, so that a shard's rows and its queries come in several.
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     rows = table(spark, SF001, "embeddings")
     data = {r.vec_id: r.embedding for r in rows.collect()}
     got = {}
@@ -29,6 +31,7 @@ def test_recall_and_exact_scores(spark, monkeypatch):
         want = {i for _, i in exact(data, q)}
         found += len(want & {i for _, i, _ in own})
         total += len(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(got) == 50 and found / total >= 0.9
 
 
@@ -68,3 +71,23 @@ def test_recall_with_uneven_norms():
     by_norm = np.argsort((data**2).sum(axis=1))
     assert recall(data, by_norm[:1500:75]) >= 0.9
     assert recall(data, by_norm[1500::225]) >= 0.9
+
+
+def test_few_rows_are_ranked_on_clustered_data():
+    rng = np.random.default_rng(7)
+    centers = rng.standard_normal((80, 64))
+    data = centers[rng.integers(0, 80, 8000)] + 0.05 * rng.standard_normal((8000, 64))
+    forest = vectors.Forest(np.arange(len(data)), data)
+    queries, found = range(0, 8000, 200), 0
+    for q in queries:
+        d = np.sqrt(((data - data[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        found += len({i for _, i in forest.nearest(q, data[q], 10)} & set(np.argsort(d)[:10].tolist()))
+    assert found / 400 >= 0.9 and forest.ranked < 0.3 * len(queries) * len(data), forest.ranked / len(queries) / len(data)
+
+
+def test_repeated_ids_are_merged_before_they_are_dealt(spark):
+    rows = [(1, [0.0, float(1 + i % 7)]) for i in range(300)] + [(2, [0.0, 2.0]), (3, [0.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(r) for r in vectors.nearest_neighbours(df, df.filter("vec_id = 1")).orderBy("rank").collect()]
+    assert got == [(1, 1, 2, 1.0), (1, 2, 3, 4.0)]
