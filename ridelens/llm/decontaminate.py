@@ -38,6 +38,11 @@ STEP = 4
 #: Characters of benchmark items that one pass over the documents broadcasts; a larger benchmark
 #: is split by hash of the item into several passes.
 SHARD_CHARACTERS = 500_000
+#: Matches of q-grams, and bands, that are looked at together.
+MATCHES = 1_000_000
+BANDS = 4_000
+#: Characters at the end of a segment that a band is tried on first.
+TAIL = 20
 _SEPARATOR = 0x10FFFF
 
 
@@ -64,9 +69,11 @@ class Index:
     """The q-grams of the segments of some items."""
 
     def __init__(self, items: list[tuple[int, str]]):
+        #: Equal segments are stored and verified once; ``items`` are those that hold each.
         self.segments: list[np.ndarray] = []
-        self.item: list[int] = []
+        self.items: list[list[int]] = []
         self.short: dict[bytes, set[int]] = {}
+        number: dict[bytes, int] = {}
         for item, text in sorted(set(items)):
             p = _points(text.lower().strip())
             if len(p) < Q:
@@ -77,8 +84,16 @@ class Index:
             if len(p) > SEGMENT and starts[-1] + SEGMENT < len(p):
                 starts.append(len(p) - SEGMENT)
             for s in starts:
-                self.segments.append(p[s : s + SEGMENT])
-                self.item.append(item)
+                own = number.setdefault(p[s : s + SEGMENT].tobytes(), len(self.segments))
+                if own == len(self.segments):
+                    self.segments.append(p[s : s + SEGMENT])
+                    self.items.append([])
+                if not self.items[own] or self.items[own][-1] != item:
+                    self.items[own].append(item)
+        self.length = np.array([len(s) for s in self.segments], np.int64)
+        self.points = np.zeros((len(self.segments), SEGMENT), np.uint32)
+        for s, own in enumerate(self.segments):
+            self.points[s, : len(own)] = own
         self.budget = np.array([int(len(s) * EDIT_SHARE) for s in self.segments], np.int64)
         self.bound = np.array([len(s) + 1 - Q * (k + 1) for s, k in zip(self.segments, self.budget)], np.int64)
         hashes = [_gram_hashes(s) for s in self.segments]
@@ -103,12 +118,18 @@ class Index:
             starts.append(at)
             at += len(p) + Q
         points = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        held: set[tuple[int, int]] = set()
         for segment, low, high in self._bands(points):
+            # A band that holds a segment holds its last characters; most that share a line with it don't.
+            near = np.flatnonzero(self._align(points, segment, low, high, np.maximum(self.length[segment] - TAIL, 0)) <= self.budget[segment])
+            segment, low, high = segment[near], low[near], high[near]
             distance = self._align(points, segment, low, high)
-            for k in np.flatnonzero(distance <= self.budget[segment]):
-                # The last text that starts at or before the band's middle.
-                place = int(low[k] + high[k]) // 2 + len(self.segments[segment[k]]) // 2
-                out[int(np.searchsorted(starts, place, side="right")) - 1].add(self.item[segment[k]])
+            fits = np.flatnonzero(distance <= self.budget[segment])
+            # The last text that starts at or before the band's middle.
+            place = (low[fits] + high[fits]) // 2 + self.length[segment[fits]] // 2
+            held |= set(zip((np.searchsorted(starts, place, side="right") - 1).tolist(), segment[fits].tolist()))
+        for text, segment in held:
+            out[text].update(self.items[segment])
         return [sorted(x) for x in out]
 
     def _short(self, text: str | None) -> set[int]:
@@ -128,54 +149,69 @@ class Index:
         hit = self.grams[g] == h[place]
         place, g = place[hit], g[hit]
         n = self.first[g + 1] - self.first[g]
-        where = np.repeat(self.first[g], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        segment = self.segment_of[where].astype(np.int64)
-        diagonal = np.repeat(place, n) - self.place_of[where] + SEGMENT
-        # Half a band holds the k + 1 diagonals of an occurrence, wherever they begin.
-        half = self.budget[segment] + 1
-        cell = diagonal // half
         width = (len(points) + 2 * SEGMENT) + 2
-        key = np.concatenate([segment * width + cell, segment * width + cell - 1])
-        found, count = np.unique(key, return_counts=True)
-        segment, cell = found // width, found % width
-        enough = count >= np.maximum(self.bound[segment], 1)
-        segment, cell = segment[enough], cell[enough]
-        half = self.budget[segment] + 1
-        low = cell * half - SEGMENT
-        for at in range(0, len(segment), 2000):
-            s = slice(at, at + 2000)
-            yield segment[s], low[s], low[s] + 2 * half[s] - 1
-
-    def _align(self, points: np.ndarray, segment: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Least edits between each segment and any piece of the text inside its band."""
+        # Bounded groups of matches; cells that the next group may still add to are carried over.
+        groups = np.unique(np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), MATCHES), side="left"))
+        kept, kept_count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for begin, end in zip(groups, [*groups[1:], len(place)]):
+            p, m = place[begin:end], n[begin:end]
+            where = np.repeat(self.first[g[begin:end]], m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
+            segment = self.segment_of[where].astype(np.int64)
+            diagonal = np.repeat(p, m) - self.place_of[where] + SEGMENT
+            # Half a band holds the k + 1 diagonals of an occurrence, wherever they begin.
+            key = segment * width + diagonal // (self.budget[segment] + 1)
+            found, count = np.unique(key, return_counts=True)
+            found, back = np.unique(np.concatenate([kept, found, found - 1]), return_inverse=True)
+            count = np.bincount(back, np.concatenate([kept_count, count, count]), len(found)).astype(np.int64)
+            segment, cell = found // width, found % width
+            last = (cell + 2) * (self.budget[segment] + 1) - Q  # place of the last match that a cell can get
+            done = last < place[end] if end < len(place) else np.ones(len(found), bool)
+            kept, kept_count = found[~done], count[~done]
+            enough = done & (count >= np.maximum(self.bound[segment], 1))
+            segment, cell = segment[enough], cell[enough]
+            half = self.budget[segment] + 1
+            low = cell * half - SEGMENT
+            for at in range(0, len(segment), BANDS):
+                s = slice(at, at + BANDS)
+                yield segment[s], low[s], low[s] + 2 * half[s] - 1
+
+    def _align(self, points: np.ndarray, segment: np.ndarray, low: np.ndarray, high: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
+        """Least edits between each segment, from its character ``begin`` on, and any piece of the text inside its
+        band; some number above its budget where there are more."""
+        far = 1 << 20
+        out = np.full(len(segment), far, np.int64)
         if not len(segment):
-            return np.zeros(0, np.int64)
-        length = np.array([len(self.segments[s]) for s in segment])
-        rows, band = int(length.max()), int((high - low).max()) + 1
-        pattern = np.zeros((len(segment), rows), np.uint32)
-        for i, s in enumerate(segment):
-            pattern[i, : length[i]] = self.segments[s]
-        column = np.arange(band)
+            return out
+        line = np.arange(len(segment))
+        row = np.zeros(len(segment), np.int64) if begin is None else begin.copy()
+        length, budget, pattern = self.length[segment], self.budget[segment], self.points[segment]
+        column = np.arange(int((high - low).max()) + 1)
         wide = column[None, :] <= (high - low)[:, None]
-        far = 1 << 20
         best = np.where(wide, 0, far)  # any place of the text inside the band may come first
-        out = np.zeros(len(segment), np.int64)
-        for i in range(rows):
-            at = low[:, None] + column + i  # place in the text of column c in row i
+        step = 0
+        while len(line):
+            at = (low + row)[:, None] + column  # place in the text of each column
             inside = (at >= 0) & (at < len(points))
             char = points[np.clip(at, 0, len(points) - 1)]
-            same = inside & (char == pattern[:, i, None])
+            same = inside & (char == pattern[np.arange(len(line)), row][:, None])
             down = np.concatenate([best[:, 1:], np.full((len(best), 1), far)], axis=1) + 1
             now = np.minimum(best + np.where(same, 0, np.where(inside, 1, far)), down)
             now = np.minimum.accumulate(np.where(wide, now, far) - column, axis=1) + column
-            best = np.where((i < length)[:, None], np.where(wide, now, far), best)
-        out[:] = best.min(axis=1)
+            best = np.where(wide, now, far)
+            row, step = row + 1, step + 1
+            ended = row == length
+            if ended.any() or step % 4 == 0:
+                least = best.min(axis=1)
+                out[line[ended]] = least[ended]
+                on = ~ended & (least <= budget)
+                line, row, length, budget, pattern = line[on], row[on], length[on], budget[on], pattern[on]
+                low, wide, best = low[on], wide[on], best[on]
         return out
 
 
 def _shards(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     """Items by shard; each has about ``SHARD_CHARACTERS`` characters and is read when its pass begins."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna().distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // SHARD_CHARACTERS))
     for k in range(n):

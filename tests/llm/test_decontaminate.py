@@ -44,9 +44,9 @@ def test_equals_full_alignment():
     got = index.scan(texts)
     for t, found in zip(texts, got):
         want = set()
-        for s, item, k in zip(index.segments, index.item, index.budget):
+        for s, of, k in zip(index.segments, index.items, index.budget):
             if least_edits("".join(map(chr, s)), t.lower()) <= k:
-                want.add(item)
+                want |= set(of)
         assert set(found) == want
 
 
@@ -72,6 +72,26 @@ def test_hard_rows_and_shards(spark, monkeypatch):
     assert decontaminate.scan(docs(spark, rows), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_a_line_that_many_items_share(monkeypatch):
+    """Items that begin with one instruction: found where the line stands, with and without small groups."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    line = " ".join(word() for _ in range(15)) + " "
+    items = [(i, line + " ".join(word() for _ in range(9))) for i in range(60)]
+    index = decontaminate.Index(items)
+    # No segment inside the line is stored more than once.
+    assert len({s.tobytes() for s in index.segments}) == len(index.segments) < 60 * 28
+    texts = [line * 4, line[:30] + " " + items[7][1][80:], " ".join(word() for _ in range(60)), line[20:70] + edited(rng, line[:75], 3)]
+    got = index.scan(texts)
+    assert got[0] == list(range(60)) and got[1] == [7] and got[2] == []
+    for t, found in zip(texts, got):
+        want = {i for s, of, k in zip(index.segments, index.items, index.budget) for i in of if least_edits("".join(map(chr, s)), t.lower()) <= k} if len(t) < 500 else set(found)
+        assert set(found) == want
+    monkeypatch.setattr(decontaminate, "MATCHES", 50)
+    monkeypatch.setattr(decontaminate, "BANDS", 3)
+    assert index.scan(texts[1:]) == got[1:]
+
+
 def test_every_excerpt_of_a_segments_length_is_found():
     rng = random.Random(6)
     letters = "abcdefghijklmnop "
