@@ -4,7 +4,8 @@ The rules find e-mail addresses, IP addresses, card and phone numbers as pattern
 The random field labels words by their shape (letters, digits and marks, runs merged) and the
 shapes of their neighbours; Viterbi decoding runs in numpy over a batch's words.  Runs of words that it
 labels alike and that touch no rule span become further spans: numbers and addresses written
-in ways that the patterns miss.
+in ways that the patterns miss (``joe(at)mail.org``), or that a pattern swallows whole with
+its neighbour and drops (a phone number before a card number).  The span is the value alone (``trimmed``).
 
 It is trained on a small labelled table, the words around rule spans in a bounded sample of
 documents, with each span also written in other ways (``_variants``), so that it learns shapes
@@ -39,6 +40,10 @@ LABELS = ["none", *KINDS]
 BUCKETS = 1 << 12  # of word shapes, by hash
 #: Documents that training reads at most (in expectation, by hash of doc_id).
 TRAIN_DOCUMENTS = 400
+#: Rule spans and places of other marks that a training document gives at most, and words of a training text.
+TRAIN_SPANS = 20
+TRAIN_PLAIN = 4
+TRAIN_WORDS = 48
 CONTEXT_WORDS = 6
 EPOCHS = 80
 
@@ -94,16 +99,34 @@ def _part(digits: str) -> bool:
     return len(d) < 3 or len(d) == 3 and d <= "255"
 
 
+# Forms in which the field's words may write a value; a span is the form inside the words labelled alike.
+_AT = r"\s?(?:@|[\[(]\s?at\s?[\])])\s?"
+_DOT = r"\s?(?:\.|[\[(]\s?dot\s?[\])])\s?"
+_FORMS = {
+    "email": re.compile(rf"{_LOCAL}++{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I),
+    "ip": _IP,
+    "card": re.compile(r"(?<![0-9])[0-9](?:[ ./_-]?[0-9])+"),
+    "phone": re.compile(r"(?:\+|(?<![0-9])00)?\(?[0-9][0-9 ()./-]*[0-9]"),
+}
+
+
+def trimmed(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The value inside the words from ``a`` to ``b``, without words of context; None if there is none."""
+    found = [m.span() for m in _FORMS[kind].finditer(text, a, b) if plausible(kind, m.group())]
+    return max(found, key=lambda s: s[1] - s[0], default=None)
+
+
 def plausible(kind: str, value: str) -> bool:
     """The check that a span of the field must pass, as a rule span must."""
     digits = "".join(c for c in value if c in "0123456789")
     if kind == "card":
         return 16 <= len(digits) <= 19 and _luhn(digits)
     if kind == "phone":
-        return 8 <= len(digits) <= 15
+        # Without a country sign, dates and other numbers look alike.
+        return 8 <= len(digits) <= 15 if value[:1] == "+" or value[:2] == "00" else 10 <= len(digits) <= 11
     if kind == "ip":
-        return bool(_IP.search(value)) and all(_part(x) for x in _IP.search(value).group().split("."))
-    return bool(re.search(r"[A-Za-z0-9].*(@|\bat\b).*[A-Za-z0-9-]\.[A-Za-z]", value))
+        return all(_part(x) for x in value.split("."))
+    return "." in value or "dot" in value.lower()
 
 
 # --- word shapes ---------------------------------------------------------------------
@@ -307,9 +330,10 @@ class Field:
             j = i
             while j + 1 < len(at) and at[j + 1] == at[j] + 1 and labels[at[j + 1]] == labels[at[i]]:
                 j += 1
-            kind, a, b = LABELS[labels[at[i]]], places[at[i]][0], places[at[j]][1]
-            if plausible(kind, text[a:b]):
-                found.append((kind, a, b))
+            kind = LABELS[labels[at[i]]]
+            span = trimmed(kind, text, places[at[i]][0], places[at[j]][1])
+            if span:
+                found.append((kind, *span))
             i = j + 1
         return found
 
@@ -328,13 +352,24 @@ def labelled_words(text: str, spans: dict[str, list[tuple[int, int]]]) -> tuple[
 
 def _variants(kind: str, value: str) -> list[str]:
     """Other ways to write a value of this kind, which the patterns miss."""
+    digits = re.sub(r"[^0-9]", "", value)
     if kind == "email":
-        return [value.replace("@", "[at]"), value.replace("@", "(at)")]
+        local, _, domain = value.partition("@")
+        plain = re.sub(r"[^A-Za-z.]", "", local).strip(".") or "info"
+        bare = re.sub(r"[0-9]", "", domain)
+        return [f"{x}{at}{y}" for at, x, y in (("[at]", local, domain), ("(at)", plain, bare), (" [at] ", plain, domain), (" (at) ", local, bare), ("(at)", local, domain), ("[at]", plain, bare))]
     if kind == "ip":
-        return [value + ":8080"]
+        return [value + ":8080", f"[{value}]", value + "/24"]
     if kind == "phone":
-        return [value.replace("+", "00", 1), value.replace("+", "tel:", 1)]
-    return [value.replace(" ", "."), ".".join(re.findall(".{1,4}", value))]
+        a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+        return [value.replace("+", "00", 1), value.replace("+", "tel:", 1), f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}"]
+    return [".".join(re.findall(".{1,4}", digits)), "/".join(re.findall(".{1,4}", digits)), value.replace(" ", ".")]
+
+
+def _some(variants: list[str], value: str, most: int = 3) -> list[str]:
+    """``most`` of the variants, others for other values."""
+    at = zlib.crc32(value.encode("utf-8", "surrogatepass"))
+    return [variants[(at + k) % len(variants)] for k in range(min(most, len(variants)))]
 
 
 def training_table(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
@@ -349,8 +384,8 @@ def training_table(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
             words, labels = [], []
             for x in batch["text"]:
                 for w, y in _sentences(x.as_py()):
-                    words.append(w)
-                    labels.append(y)
+                    words.append(w[:TRAIN_WORDS])
+                    labels.append(y[:TRAIN_WORDS])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.list_(pa.string())), pa.array(labels, pa.list_(pa.int32()))], ["words", "labels"]
             )
@@ -362,10 +397,10 @@ def _sentences(text: str) -> Iterator[tuple[list[str], list[int]]]:
     """Short labelled texts around each rule span and its variants, and some words without any."""
     spans = rule_spans(text)
     flat = [(k, a, b) for k, own in spans.items() for a, b in own]
-    for k, a, b in flat[:20]:
+    for k, a, b in flat[:TRAIN_SPANS]:
         before = " ".join(re.findall(WORD, text[max(0, a - 120) : a])[-CONTEXT_WORDS:])
         after = " ".join(re.findall(WORD, text[b : b + 120])[:CONTEXT_WORDS])
-        for value in [text[a:b], *_variants(k, text[a:b])]:
+        for value in [text[a:b], *_some(_variants(k, text[a:b]), text[a:b])]:
             left, right = (before + " ", " " + after) if before else ("", " " + after)
             whole = left + value + right
             others = rule_spans(whole)
@@ -374,7 +409,7 @@ def _sentences(text: str) -> Iterator[tuple[list[str], list[int]]]:
             yield labelled_words(whole, others)
     # Words without personal data, those with other marks and digits among them.
     odd = [m.start() for m in re.finditer(r"[0-9]|[^\w\s.,]", text)]
-    for at in [*odd[:: max(1, len(odd) // 3)][:4], len(text) // 2]:
+    for at in [*odd[:: max(1, len(odd) // 3)][:TRAIN_PLAIN], len(text) // 2]:
         piece = " ".join(re.findall(WORD, text[max(0, at - 80) : at + 80])[1:-1])
         if piece:
             yield labelled_words(piece, rule_spans(piece))
