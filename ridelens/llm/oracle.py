@@ -51,7 +51,7 @@ FROM w LEFT JOIN kept USING (doc_id)
 
 PREFERENCE_FORMAT = """
 WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side,
+  SELECT (conv_id - ((conv_id % 2) + 2) % 2) // 2 AS pair_id, ((conv_id % 2) + 2) % 2 AS side,
          list(DISTINCT {'turn': turn, 'role': role, 'text': text}) AS raw
   FROM conversations GROUP BY ALL
 ),

@@ -67,7 +67,7 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k+1 (rejected) of the whole table are pair k."""
     turns = table(spark, sf_dir, "conversations").select(
-        F.expr("conv_id div 2").alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text"
+        F.shiftright("conv_id", 1).alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text"
     )
     return chat.format_preferences(turns.filter("side = 0"), turns.filter("side = 1"))
 
