@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from .common import WORD, TextHasher, delete_path, mix, runs_hash
+from .common import WORD, TextHasher, delete_path, mix, runs_hash, sliced
 
 WINDOW = 13
 RUN = 5
@@ -146,7 +147,7 @@ def _document_keys(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TextHasher()
-        for batch in batches:
+        for batch in sliced(batches):
             keys, ids = [], []
             for doc, x in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 k = window_keys(hashes(x.as_py()))
@@ -161,62 +162,71 @@ def _document_keys(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long")
 
 
-def _pieces(text: str, hashes: TextHasher, listed: list[int], hot: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """``(key, first window, number of windows, hash of the words)`` of each region of a text whose
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, flat, and where each row's begin (null: none)."""
+    lengths = np.asarray(column.value_lengths().fill_null(0))
+    return column.flatten(), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def _numbers(column: pa.Array) -> list[np.ndarray]:
+    """Each row's numbers of a list column."""
+    flat, at = _lists(column)
+    flat = flat.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def _pieces(text: str, hashes: TextHasher, listed: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, first window, number of windows, hash of the words)``, as arrays, of the regions of a text whose
     key is listed; a hot region gives each of its windows alone, under a key of its own."""
     own = hashes(text)
     keys = window_keys(own)
     first, n = regions(keys)
-    if not len(first):
-        return
-    chosen = np.isin(keys[first], np.array(listed, np.int64))
-    split = set(hot)
-    first, n = first[chosen], n[chosen]
-    for i, c, key, h in zip(first.tolist(), n.tolist(), keys[first].tolist(), hashes.spans(own, first, first + n + WINDOW - 1).tolist()):
-        if key in split:
-            alone = runs_hash(mix(own[i : i + c + WINDOW - 1]), WINDOW).view(np.int64).tolist()
-            at = np.arange(i, i + c)
-            yield from zip(alone, at.tolist(), [1] * c, hashes.spans(own, at, at + WINDOW).tolist())
-        else:
-            yield key, i, c, h
+    key = keys[first]
+    chosen = np.isin(key, listed)
+    first, n, key = first[chosen], n[chosen], key[chosen]
+    split = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
+    if split.any():
+        wide = n[split]
+        at = np.repeat(first[split], wide) + np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+        alone = runs_hash(mix(own), WINDOW).view(np.int64)
+        first, n = np.concatenate([first[~split], at]), np.concatenate([n[~split], np.ones(len(at), np.int64)])
+        key = np.concatenate([key[~split], alone[at]])
+    return key, first, n, hashes.spans(own, first, first + n + WINDOW - 1)
 
 
 def _occurrences(keyed: DataFrame) -> DataFrame:
-    """``(doc_id, key, words_hash)`` of the regions of ``keyed(doc_id, text, keys, hot)``."""
+    """``(doc_id, text_hash, key, words_hash, first, n)`` of the regions of ``keyed(doc_id, text_hash, text, keys, hot)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TextHasher()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                out = []
-                for r in batch.slice(at, 500).to_pylist():
-                    found = {(k, h) for k, _, _, h in _pieces(r["text"], hashes, r["keys"], r["hot"])}
-                    out += [(r["doc_id"], k, h) for k, h in found]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "key", "words_hash"])
+        for batch in sliced(batches):
+            found = [_pieces(x.as_py(), hashes, listed, hot) for x, listed, hot in zip(batch["text"], _numbers(batch["keys"]), _numbers(batch["hot"]))]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(key) for key, *_ in found]))
+            key, first, n, h = (np.concatenate(c) for c in zip(*found))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"].take(at), batch["text_hash"].take(at), pa.array(key), pa.array(h), pa.array(first, pa.int32()), pa.array(n, pa.int32())],
+                ["doc_id", "text_hash", "key", "words_hash", "first", "n"],
+            )
 
-    return keyed.mapInArrow(run, "doc_id long, key long, words_hash long")
+    return keyed.mapInArrow(run, "doc_id long, text_hash long, key long, words_hash long, first int, n int")
 
 
-def _texts(keyed: DataFrame) -> DataFrame:
-    """``(key, words_hash, words, doc_id)`` of the regions whose hash is among the row's ``wanted``."""
+def _texts(holders: DataFrame) -> DataFrame:
+    """``(key, words_hash, words, doc_id)`` of the regions at the places ``wanted`` of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = TextHasher()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                out = set()
-                for r in batch.slice(at, 200).to_pylist():
-                    wanted, found = set(r["wanted"]), words(r["text"])
-                    for k, start, n, h in _pieces(r["text"], hashes, r["keys"], r["hot"]):
-                        if h in wanted:
-                            out.add((k, h, " ".join(found[start : start + n + WINDOW - 1]), r["doc_id"]))
-                if out:
-                    k, h, text, doc = zip(*out)
-                    columns = [pa.array(k, pa.int64()), pa.array(h, pa.int64()), pa.array(text, pa.string()), pa.array(doc, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "words_hash", "words", "doc_id"])
-
-    return keyed.mapInArrow(run, "key long, words_hash long, words string, doc_id long")
+        for batch in sliced(batches):
+            wanted, at = _lists(batch["wanted"])
+            first, n = (wanted.field(c).to_numpy(zero_copy_only=False) for c in ("first", "n"))
+            end = (first + n + WINDOW - 1).tolist()
+            texts = []
+            for x, a, b in zip(batch["text"], at[:-1].tolist(), at[1:].tolist()):
+                found = words(x.as_py())
+                texts += [" ".join(found[i:j]) for i, j in zip(first[a:b].tolist(), end[a:b])]
+            docs = batch["doc_id"].take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(at))))
+            yield pa.RecordBatch.from_arrays([wanted.field("key"), wanted.field("words_hash"), pa.array(texts, pa.string()), docs], ["key", "words_hash", "words", "doc_id"])
+
+    return holders.mapInArrow(run, "key long, words_hash long, words string, doc_id long")
 
 
 def _stream_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,35 +260,37 @@ def _stream_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def repeated_regions(docs: DataFrame) -> DataFrame:
-    """``(listed_id, keys, hot, repeats)`` of each document with shared keys: what to look for in its
-    text, and its repeated regions (``key, words_hash, earlier``: the windows that repeat, null for all)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    """``(of_id, of_hash, repeats)`` of each text with repeated regions: their places (``first, n``, in windows) and
+    ``earlier``, the windows of the region that repeat (null for all).  ``docs`` have ``doc_id, text_hash, text``."""
+    rows = docs.filter("doc_id is not null and text is not null")
     # Tables with several readers are written, so that they are computed once.
-    keys, keys_path = _written(_document_keys(rows))
+    keys, keys_path = _written(_document_keys(rows.select("doc_id", "text")))
     shared = (
         keys.groupBy("key")
         .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
         .filter("low < high")
         .select("key", (F.col("n") > HOT_DOCUMENTS).alias("is_hot"))
     )
-    listed, _ = _written(
+    listed = (
         keys.join(shared, "key")
         .groupBy("doc_id")
         .agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("is_hot"), F.col("key"))).alias("hot"))
         .withColumnRenamed("doc_id", "listed_id")
     )
-    delete_path(docs.sparkSession, keys_path)
-    keyed = rows.join(listed, F.col("doc_id") == F.col("listed_id")).select("doc_id", "text", "keys", "hot")
+    keyed = rows.join(listed, F.col("doc_id") == F.col("listed_id")).select("doc_id", "text_hash", "text", "keys", "hot")
     occurrences, _ = _written(_occurrences(keyed))
-    firsts = occurrences.groupBy("key", "words_hash").agg(F.min("doc_id").alias("first_doc"))
+    delete_path(docs.sparkSession, keys_path)
+    # One place of the smallest document; the three columns follow the same comparisons, so they are of one row.
+    place = [F.min_by(c, "doc_id").alias(c) for c in ("text_hash", "first", "n")]
+    firsts, _ = _written(occurrences.groupBy("key", "words_hash").agg(F.min("doc_id").alias("first_doc"), *place))
     # A key with one region only needs no automaton: its windows begin in the region's first document.
-    mixed = firsts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    mixed = firsts.groupBy("key").agg(F.count("*").alias("regions")).filter("regions > 1").select("key")
     wanted = (
         firsts.join(mixed, "key")
-        .groupBy("first_doc")
-        .agg(F.collect_list("words_hash").alias("wanted"))
+        .groupBy(F.col("first_doc").alias("of_id"), F.col("text_hash").alias("of_hash"))
+        .agg(F.collect_list(F.struct("key", "words_hash", "first", "n")).alias("wanted"))
     )
-    holders = keyed.join(wanted, F.col("doc_id") == F.col("first_doc")).select("doc_id", "text", "keys", "hot", "wanted")
+    holders = rows.join(wanted, (F.col("doc_id") == F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))).select("doc_id", "text", "wanted")
     reference, _ = _written(_texts(holders))
     judged = (
         reference.repartition(_shuffle_partitions(docs), "key")
@@ -287,14 +299,13 @@ def repeated_regions(docs: DataFrame) -> DataFrame:
         .filter(F.size("earlier") > 0)
     )
     later = F.col("first_doc") < F.col("doc_id")
-    repeats = (
-        occurrences.join(firsts, ["key", "words_hash"])
+    return (
+        occurrences.join(firsts.select("key", "words_hash", "first_doc"), ["key", "words_hash"])
         .join(judged.dropDuplicates(["key", "words_hash"]), ["key", "words_hash"], "left")
         .filter(later | F.col("earlier").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("key", "words_hash", F.when(~later, F.col("earlier")).alias("earlier"))).alias("repeats"))
+        .groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+        .agg(F.collect_list(F.struct("first", "n", F.when(~later, F.col("earlier")).alias("earlier"))).alias("repeats"))
     )
-    return listed.join(repeats, F.col("listed_id") == F.col("doc_id")).select("listed_id", "keys", "hot", "repeats")
 
 
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
@@ -321,42 +332,50 @@ def _shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _kept(row: dict, hashes: TextHasher) -> tuple[int, list[str]]:
-    """Number of words, and the words that no repeated window covers."""
-    found = words(row["text"] or "")
-    if not row["repeats"]:
-        return len(found), found
-    repeats = {(r["key"], r["words_hash"]): r["earlier"] for r in row["repeats"]}
-    edge = np.zeros(len(found) + 1, np.int64)
-    for key, start, n, h in _pieces(row["text"], hashes, row["keys"], row["hot"]):
-        if (key, h) in repeats:
-            some = repeats[key, h]
-            for first, last in [(start, start + n - 1)] if some is None else [(start + i, start + i) for i in some]:
-                edge[first] += 1
-                edge[last + WINDOW] -= 1
-    return len(found), [w for w, c in zip(found, np.cumsum(edge).tolist()) if not c]
+class _Repeats:
+    """The repeated regions of the rows of a batch."""
+
+    def __init__(self, column: pa.Array):
+        flat, self.at = _lists(column)
+        self.first, self.n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "n"))
+        earlier = flat.field("earlier")
+        self.whole = np.asarray(earlier.is_null())
+        self.earlier, self.start = _lists(earlier)
+        self.earlier = self.earlier.to_numpy(zero_copy_only=False)
+
+    def covered(self, row: int, n_words: int) -> np.ndarray:
+        """True for each word of a row's text that a repeated window covers."""
+        own = slice(self.at[row], self.at[row + 1])
+        first, n, whole = self.first[own], self.n[own], self.whole[own]
+        some = np.flatnonzero(~whole)
+        windows = [self.earlier[self.start[r] : self.start[r + 1]] + f for r, f in zip((some + own.start).tolist(), first[some].tolist())]
+        single = np.concatenate(windows).astype(np.int64) if windows else np.zeros(0, np.int64)
+        begin = np.concatenate([first[whole], single])
+        end = np.concatenate([(first + n)[whole], single + 1]) + WINDOW - 1
+        edge = np.bincount(begin, minlength=n_words + 1) - np.bincount(end, minlength=n_words + 1)
+        return np.cumsum(edge[:n_words]) > 0
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` for each row of ``docs(doc_id, text)``; ``kept`` has the
     remaining words joined by one blank."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = rows.join(repeated_regions(docs), F.col("doc_id") == F.col("listed_id"), "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    found = repeated_regions(rows)
+    joined = rows.join(found, (F.col("doc_id") == F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = TextHasher()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                done = [_kept(r, hashes) for r in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part["doc_id"],
-                        pa.array([n for n, _ in done], pa.int64()),
-                        pa.array([n - len(k) for n, k in done], pa.int64()),
-                        pa.array([" ".join(k) for _, k in done], pa.string()),
-                    ],
-                    ["doc_id", "n_words", "n_removed", "kept"],
-                )
-
-    return joined.select("doc_id", "text", "keys", "hot", "repeats").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+        for batch in sliced(batches):
+            repeats, removed, kept, sizes = _Repeats(batch["repeats"]), [], [], []
+            for row, x in enumerate(batch["text"]):
+                found = words(x.as_py() or "")
+                sizes.append(len(found))
+                if repeats.at[row] < repeats.at[row + 1]:
+                    found = list(compress(found, ~repeats.covered(row, len(found))))
+                removed.append(sizes[-1] - len(found))
+                kept.append(" ".join(found))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept"],
+            )
+
+    return joined.select("doc_id", "text", "repeats").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")

@@ -71,3 +71,15 @@ def test_automaton_finds_the_smallest_document():
             holds = [d for w, d in texts for j in range(len(w) - 3) if w[j : j + 4] == window]
             want.append(min(holds) if holds else None)
         assert automaton.first_documents(probe, 4) == want
+
+
+def test_rows_in_slices_of_batches(spark, monkeypatch):
+    """The same result whether a task takes its rows in one slice or in many."""
+    rng = random.Random(3)
+    part = [" ".join(rng.choices(["a", "b", "c", "d"], k=40)) for _ in range(12)]
+    rows = [(i, " ".join(rng.sample(part, 3) + [f"u{i}"])) for i in range(60)]
+    want = sorted(map(tuple, substrings.remove_repeats(docs(spark, rows).coalesce(1)).collect()))
+    whole = substrings.sliced
+    monkeypatch.setattr(substrings, "sliced", lambda batches, *a: whole(batches, "text", 500))
+    assert sorted(map(tuple, substrings.remove_repeats(docs(spark, rows).coalesce(1)).collect())) == want
+    assert any(r[2] for r in want)
