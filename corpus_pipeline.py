@@ -3,6 +3,11 @@
 Stages write Parquet tables into the shared folder of ``spark.checkpoint.dir`` and read them again;
 a lost executor costs the running stage's tasks only.  A stage's table is deleted once the next
 stage has written its own; the last stage's table stays for the returned DataFrame.
+
+Defined cases.  Null, empty and letterless texts have no language and go.  Rows without a doc_id are judged like others; equal
+ones are near copies of each other.  Rows that repeat a doc_id with one text: one stays; with different texts: see
+``neardup.keep_one``.  No document with a label: no language is known and all go.  Empty ``documents``: no rows.  Empty ``benchmark``:
+all clean.  Very long texts are read whole.  Further columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
