@@ -120,3 +120,13 @@ def test_urls(spark):
     assert got == {i: u[1:] for i, u in enumerate(URLS * 2)}
     assert urls.filter_urls(pages.limit(0), rules).collect() == []
     assert urls.filter_urls(pages, rules.limit(0)).filter("rule is null and verdict = 'allow'").count() == len(URLS) * 2
+
+
+def test_conversations_pair_by_rounding_down(spark, tmp_path):
+    """-2 and -1 are a pair, as 0 and 1 are."""
+    from ridelens.llm.queries import op7_preference_format
+
+    rows = [(c, t, "user" if t == 0 else "assistant", f"text {t} of {c if t else 0}") for c in (-2, -1, 0, 1) for t in (0, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.pair_id: (r.prompt_turns, "of -2" in r.chosen, "of -1" in r.rejected) for r in op7_preference_format(spark, str(tmp_path)).collect()}
+    assert got == {-1: (1, True, True), 0: (1, False, False)}
