@@ -6,9 +6,14 @@ one band agree; the number of bands follows from the similarity and the target r
 links its members to its smallest one only, so a bucket gives as many rows as it has members, and the
 connected groups of these links hold every pair that shares a bucket.  Inside a group, blocks of
 documents are compared on their full n-gram sets: a pair is a link if the exact Jaccard similarity
-reaches the threshold.  Large groups are split into pairs of blocks of bounded size, each a task
-of its own; links are counted where they are found and never written out, and what leaves a block
-is the count of each document and a spanning forest of the links.
+reaches the threshold.  Links are counted where they are found and never written out, and what leaves a
+block is the count of each document and a spanning forest of the links.
+
+A group of several blocks is not compared text by text.  Its core is the set of shingles that more than half
+of its documents hold, at most twice as many as a document has on average.  A document becomes its difference from
+the core, and the symmetric difference of two documents is that of their differences.  Documents so near the core that
+any two of them must be links are only counted.  The others (far ones) meet all documents of their group whose number of
+shingles allows a link, as pairs of blocks of differences, each a task of its own.
 
 Defined cases.  Null text or text without words: empty set; such a document is alone in its class
 and has no links.  One to four words: one shingle, all the words.  Of rows that repeat a doc_id, the one
@@ -34,9 +39,12 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 ROWS = 6
 BLOCK_DOCUMENTS = 1000
-BLOCK_CHARACTERS = 4_000_000
+BLOCK_SHINGLES = 600_000
+SALTS = 256
 SEED = 29
 
+_FOUND = "doc_id long, links long, a long, b long"
+
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
     """Bands of ``rows`` values with which a pair at ``threshold`` collides with probability ``recall``."""
@@ -65,26 +73,27 @@ class Signer:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``(doc_id, text_hash, digest, keys)`` of each row: the digest of its n-gram set, and a key for
-    each band."""
+    """``(doc_id, text_hash, size, digest, keys)`` of each row: size and digest of its n-gram set, and a key
+    for each band."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes, signer = WordHashes(), Signer(bands, rows)
         for batch in sliced(batches):
-            digests, keys = [], []
+            sizes, digests, keys = [], [], []
             for x in batch["text"]:
                 grams = shingle_set(hashes.of(hashes.words(x.as_py())))
+                sizes.append(len(grams))
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
                 keys.append(signer.keys(grams) if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_hash"], pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "digest", "keys"],
+                [batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "size", "digest", "keys"],
             )
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return texts.mapInArrow(sign, "doc_id long, text_hash long, digest binary, keys array<long>")
+    return texts.mapInArrow(sign, "doc_id long, text_hash long, size long, digest binary, keys array<long>")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -152,23 +161,152 @@ def _shared(sets: list[np.ndarray], first: int) -> np.ndarray:
     return shared
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links (i, j) of n documents."""
-    parent = list(range(n))
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links, a symmetric matrix."""
+    unseen, out = np.ones(len(linked), bool), []
+    for start in range(len(linked)):
+        if not unseen[start]:
+            continue
+        unseen[start], todo = False, [start]
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(linked[x] & unseen)
+            unseen[new] = False
+            out += [(x, y) for y in new.tolist()]
+            todo += new.tolist()
+    return out
 
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    out = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        x, y = top(a), top(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+def _found(ids: np.ndarray, copies: np.ndarray, linked: np.ndarray, first: int) -> pd.DataFrame:
+    """Counts and spanning forest of a block (``first`` 0: all with all), or of the documents before
+    ``first`` with the others."""
+    if first:
+        counts = np.concatenate([linked @ copies[first:], linked.T @ copies[:first]])
+        both = np.zeros((len(ids), len(ids)), bool)
+        both[:first, first:], both[first:, :first] = linked, linked.T
+    else:
+        np.fill_diagonal(linked, False)
+        counts, both = linked @ copies, linked
+    tree = np.array(_forest(both), np.int64).reshape(-1, 2)
+    has = counts > 0
+    out = pd.DataFrame({"doc_id": ids[has], "links": counts[has].astype(np.int64), "a": -1, "b": -1})
+    edges = pd.DataFrame({"doc_id": -1, "links": 0, "a": ids[tree.max(axis=1)], "b": ids[tree.min(axis=1)]})
+    return pd.concat([out, edges]).astype("int64")
+
+
+def _with_totals(rows: DataFrame, keys: list[str], parts: list, totals: list) -> DataFrame:
+    """``rows`` with ``totals`` over ``parts`` of their keys (null for null keys).  Both are dealt by the keys and a salt
+    of the doc_id, so a hot key is the work of many tasks."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    merged = salted.groupBy(*keys, "salt").agg(*parts).groupBy(*keys).agg(*totals, F.collect_list("salt").alias("salts"))
+    return salted.join(merged.withColumn("salt", F.explode("salts")).drop("salts"), [*keys, "salt"], "left").drop("salt")
+
+
+def _blocks(documents: str, shingles: str) -> F.Column:
+    return F.greatest(F.ceil(F.col(documents) / BLOCK_DOCUMENTS), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _inside_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links of groups of one block, ``rows`` of ``(root, doc_id, copies, text)``."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes = WordHashes()
+        pdf = pdf.sort_values("doc_id").drop_duplicates(["doc_id"])
+        sets = [shingle_set(hashes.of(hashes.words(t))) for t in pdf["text"]]
+        size = np.array([len(s) for s in sets], np.float64)
+        shared = _shared(sets, 0).astype(np.float64)
+        linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
+        return _found(pdf["doc_id"].to_numpy(), pdf["copies"].to_numpy(), linked, 0)
+
+    return rows.select("root", "doc_id", "copies", "text").groupBy("root").applyInPandas(compare, _FOUND)
+
+
+def _differences(rows: DataFrame, threshold: float) -> DataFrame:
+    """``(root, doc_id, copies, size, bin, far, differs)`` of the documents of groups of several blocks, ``rows`` of
+    ``(root, doc_id, copies, n, blocks, text)``: the shingles in which a document and its group's core differ, whether they are too many
+    for a link with every near one, and a bin of sizes (links are in the same or in neighbouring bins)."""
+    step = max(math.log(1 / threshold) * (1 + 1e-6), 1e-6)
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in sliced(batches):
+            sets = [shingle_set(hashes.of(hashes.words(x.as_py()))).view(np.int64) for x in batch["text"]]
+            columns = [batch[c] for c in ("root", "doc_id", "copies", "n", "blocks")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int64()))], ["root", "doc_id", "copies", "n", "blocks", "grams"])
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, bins, far, differs = [], [], [], []
+            for grams, core in zip(batch["grams"], batch["core"]):
+                own = grams.values.to_numpy()
+                diff = np.setxor1d(own, core.values.to_numpy(), assume_unique=True) if core.is_valid else own
+                sizes.append(len(own))
+                bins.append(int(math.log(len(own)) / step))
+                far.append(len(diff) * (1 + threshold) > len(own) * (1 - threshold))
+                differs.append(diff)
+            columns = [batch["root"], batch["doc_id"], batch["copies"], pa.array(sizes, pa.int64()), pa.array(bins, pa.int64())]
+            columns += [pa.array(far, pa.bool_()), pa.array(differs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["root", "doc_id", "copies", "size", "bin", "far", "differs"])
+
+    # Equal rows of one doc_id are one; the join before has dealt the rows by doc_id and text_hash.
+    one = rows.groupBy("doc_id", "text_hash").agg(*[F.first(c).alias(c) for c in ("root", "copies", "n", "blocks", "text")])
+    sets = one.select("root", "doc_id", "copies", "n", "blocks", "text").mapInArrow(shingle, "root long, doc_id long, copies long, n long, blocks int, grams array<long>").checkpoint()
+    held = sets.select("root", "n", "blocks", F.explode("grams").alias("gram")).groupBy("root", "gram")
+    frequent = held.agg(F.count("*").alias("holders"), F.first("n").alias("n"), F.first("blocks").alias("blocks")).filter("2 * holders > n")
+    cores = frequent.groupBy("root").agg(F.collect_list("gram").alias("core"), F.first("blocks").alias("blocks"))
+    # A copy of the core for each block of the group.
+    cores = cores.select("root", "core", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+    joined = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).join(cores, ["root", "salt"], "left")
+    return joined.select("root", "doc_id", "copies", "grams", "core").mapInArrow(
+        differ, "root long, doc_id long, copies long, size long, bin long, far boolean, differs array<long>"
+    ).checkpoint()
+
+
+def _near_core(rows: DataFrame) -> DataFrame:
+    """Links among the documents near the core of their group: each with each, so they are counted."""
+    near = _with_totals(
+        rows.filter("not far").select("root", "doc_id", "copies"),
+        ["root"],
+        [F.sum("copies").alias("weight"), F.min("doc_id").alias("hub")],
+        [F.sum("weight").alias("weight"), F.min("hub").alias("hub")],
+    )
+    none = F.lit(-1).cast("long")
+    counts = near.select("doc_id", (F.col("weight") - F.col("copies")).alias("links"), none.alias("a"), none.alias("b")).filter("links > 0")
+    edges = near.filter("doc_id <> hub").select(none.alias("doc_id"), F.lit(0).cast("long").alias("links"), F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    return counts.unionByName(edges)
+
+
+def _far_from_core(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links of the far documents with each other and with the near ones."""
+    kind = ["root", "bin", "far"]
+    dealt = _with_totals(
+        rows,
+        kind,
+        [F.count("*").alias("m"), F.sum(F.size("differs")).alias("e")],
+        [F.sum("m").alias("m"), F.sum("e").alias("e")],
+    ).withColumn("units", _blocks("m", "e"))
+    name = F.shiftleft(F.col("bin") * 2 + F.col("far").cast("long"), 32)
+    dealt = dealt.withColumn("unit", name + F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("units")))
+    units = dealt.groupBy("root", "unit").agg(F.first("bin").alias("bin"), F.first("far").alias("far"))
+    far = units.filter("far").select("root", F.col("unit").alias("x"), F.explode(F.expr("sequence(bin - 1, bin + 1)")).alias("bin"))
+    pairs = far.join(units, ["root", "bin"]).filter("not far or x <= unit").select("root", "x", F.col("unit").alias("y"))
+    roles = pairs.withColumn("unit", F.explode(F.array_distinct(F.array("x", "y"))))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+        pdf = pd.concat([part.sort_values("doc_id") for part in (pdf[pdf["unit"] == x], pdf[pdf["unit"] != x])])
+        first = 0 if x == y else int((pdf["unit"] == x).sum())
+        sets = [np.asarray(d, np.int64) for d in pdf["differs"]]
+        size, n = pdf["size"].to_numpy(np.float64), np.array([len(s) for s in sets], np.float64)
+        left, right = (slice(None, first), slice(first, None)) if first else (slice(None), slice(None))
+        apart = n[left][:, None] + n[right][None, :] - 2 * _shared(sets, first)
+        together = size[left][:, None] + size[right][None, :]
+        shared = (together - apart) / 2
+        linked = shared >= threshold * (together - shared) - 1e-9
+        return _found(pdf["doc_id"].to_numpy(), pdf["copies"].to_numpy(), linked, first)
+
+    paired = dealt.select("root", "unit", "doc_id", "copies", "size", "differs").join(roles, ["root", "unit"])
+    return paired.groupBy("root", "x", "y").applyInPandas(compare, _FOUND)
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -177,60 +315,36 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     ensure_checkpoint_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     signed = signatures(docs, bands_for(threshold, recall, rows), rows).checkpoint()
-    own = signed.groupBy("doc_id").agg(F.min_by("digest", "text_hash").alias("digest"))
-    classes = own.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    members = (
-        own.join(classes, "digest", "left")
-        .select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
-        .checkpoint()
+    own = signed.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.min_by(F.struct("digest", "size"), "text_hash").alias("set"))
+    own = own.select("doc_id", "text_hash", "set.digest", "set.size")
+    classes = _with_totals(
+        own,
+        ["digest"],
+        [F.min("doc_id").alias("rep"), F.count("*").alias("copies")],
+        [F.min("rep").alias("rep"), F.sum("copies").alias("copies")],
     )
-    reps = members.filter("doc_id = rep").select("doc_id", "copies")
+    members = classes.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"), "text_hash", "size").checkpoint()
+    reps = members.filter("doc_id = rep").select("doc_id", "copies", "text_hash", "size")
     keyed = signed.filter("digest is not null").join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("key", "hub")
     near = components(keyed.join(hubs, "key").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
 
-    inside = docs.join(near, F.col("doc_id") == F.col("node")).join(reps.withColumnRenamed("doc_id", "r"), F.col("node") == F.col("r")).select("root", "doc_id", "copies", "text", F.xxhash64("text").alias("text_hash"))
-    inside = inside.withColumn("text", F.coalesce("text", F.lit("")))
-    sizes = inside.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    blocks = sizes.select(
-        F.col("root").alias("of"),
-        F.greatest(F.ceil(F.col("n") / BLOCK_DOCUMENTS), F.ceil(F.col("chars") / BLOCK_CHARACTERS)).cast("int").alias("blocks"),
-    )
-    # Block b meets block c in the task (min, max); a group of one block is one task.
-    dealt = (
-        inside.join(blocks, F.col("root") == F.col("of"))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "copies", "text_hash", "text")
+    placed = _with_totals(
+        near.join(reps, F.col("node") == F.col("doc_id")).select("root", "doc_id", "copies", "text_hash", "size"),
+        ["root"],
+        [F.count("*").alias("n"), F.sum("size").alias("shingles")],
+        [F.sum("n").alias("n"), F.sum("shingles").alias("shingles")],
     )
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = WordHashes()
-        pdf = pdf.sort_values(["block", "doc_id", "text_hash"]).drop_duplicates(["doc_id"])
-        ids, copies = pdf["doc_id"].to_numpy(), pdf["copies"].to_numpy()
-        sets = [shingle_set(hashes.of(hashes.words(t))) for t in pdf["text"]]
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        first = 0 if x == y else int((pdf["block"] == x).sum())
-        if len(ids) < 2 or (x != y and not 0 < first < len(ids)):
-            return pd.DataFrame({"doc_id": [], "links": [], "a": [], "b": []}).astype("int64")
-        size = np.array([len(s) for s in sets], np.float64)
-        shared = _shared(sets, first).astype(np.float64)
-        left, right = (slice(None, first), slice(first, None)) if first else (slice(None), slice(None))
-        linked = shared >= threshold * (size[left][:, None] + size[right][None, :] - shared) - 1e-9
-        if not first:
-            np.fill_diagonal(linked, False)
-        n_left, n_right = linked @ copies[right], linked.T @ copies[left]
-        i, j = np.nonzero(linked)
-        tree = _forest(i, j + first, len(ids))
-        counts = np.concatenate([n_left, n_right]) if first else n_left
-        has = counts > 0
-        edge = pd.DataFrame({"a": [ids[max(p)] for p in tree], "b": [ids[min(p)] for p in tree]}, dtype="int64")
-        out = pd.DataFrame({"doc_id": ids[has], "links": counts[has].astype(np.int64), "a": -1, "b": -1})
-        return pd.concat([out, pd.DataFrame({"doc_id": -1, "links": 0, "a": edge["a"], "b": edge["b"]})]).astype("int64")
-
-    found = dealt.groupBy("root", "x", "y").applyInPandas(compare, "doc_id long, links long, a long, b long").checkpoint()
+    placed = placed.select("root", "doc_id", "copies", "text_hash", "n", _blocks("n", "shingles").alias("blocks")).checkpoint()
+    texts = docs.withColumn("text_hash", F.xxhash64("text"))
+    found = _inside_blocks(texts.join(placed.filter("blocks = 1"), ["doc_id", "text_hash"]), threshold)
+    large = placed.filter("blocks > 1")
+    if not large.isEmpty():
+        apart = _differences(texts.join(large, ["doc_id", "text_hash"]), threshold)
+        found = found.unionByName(_near_core(apart)).unionByName(_far_from_core(apart, threshold))
+    found = found.checkpoint()
     counts = found.filter("links > 0").groupBy("doc_id").agg(F.sum("links").alias("links"))
-    return members, counts, found.filter("links = 0").select("a", "b")
+    return members.select("doc_id", "rep", "copies"), counts, found.filter("links = 0").select("a", "b")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:

@@ -106,3 +106,34 @@ def test_keep_one_with_clashing_names_and_repeated_ids(spark):
     got = sorted(((r.doc_id, r.text, r.gone_id, r.text_hash) for r in kept.collect()), key=str)
     assert got == sorted({r for r in rows if r[0] != 2}, key=str)
     assert {(r["_text_key"], r["row"]["k"], r["a.b"]) for r in kept.collect()} == {(7, 1, 3)}
+
+
+@pytest.mark.parametrize("block", [5, 9])
+def test_large_groups_by_differences_from_their_core(spark, monkeypatch, block):
+    """Groups with a core whose documents are near it, far from it, of other lengths, repeated, or chained without any core."""
+    monkeypatch.setattr(neardup, "BLOCK_DOCUMENTS", block)
+    rng = random.Random(block)
+    base = [f"c{i}" for i in range(80)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 4])):
+            w[rng.randrange(80)] = f"e{rng.randrange(30)}"
+        rows.append((i, " ".join(w[: rng.choice([80, 80, 72, 66])])))
+    rows += [(200 + i, " ".join(f"s{j}" for j in range(4 * i, 4 * i + 60))) for i in range(25)]
+    expected = brute(rows)
+    assert max(v[2] for v in expected.values()) > 20 and len({v[1] for v in expected.values()}) < 60
+    assert result(neardup.jaccard_join(docs(spark, rows + rows[:4]))) == expected
+
+
+def test_documents_near_a_core_are_not_paired(spark, monkeypatch):
+    """Of light edits of one text no pair of blocks is made: their links are counted."""
+    monkeypatch.setattr(neardup, "BLOCK_DOCUMENTS", 10)
+    rows = [(i, " ".join([*(f"c{j}" for j in range(120)), f"u{i}"])) for i in range(90)]
+    inside = docs(spark, rows).select(
+        F.lit(0).cast("long").alias("root"), "doc_id", F.lit(1).cast("long").alias("copies"), F.lit(90).cast("long").alias("n"), F.lit(9).alias("blocks"), "text", F.xxhash64("text").alias("text_hash")
+    )
+    apart = neardup._differences(inside, 0.8)
+    assert apart.filter("far").count() == 0 and neardup._far_from_core(apart, 0.8).count() == 0
+    assert {r.links for r in neardup._near_core(apart).filter("links > 0").collect()} == {89}
+    assert result(neardup.jaccard_join(docs(spark, rows))) == brute(rows)
