@@ -107,9 +107,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        large = large.unionByName(low.filter("m < a").select("a", F.col("m").alias("b"))).distinct()
+        low = _with_totals(both, ["a"], [F.min("b").alias("m")], [F.min("m").alias("m")], of="b").withColumn("m", F.least("a", "m"))
+        larger = F.when(F.col("b") > F.col("a"), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        own = F.when(F.col("m") < F.col("a"), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))
+        large = low.select(F.inline(F.array(larger, own))).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         edges = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
@@ -194,10 +195,10 @@ def _found(ids: np.ndarray, copies: np.ndarray, linked: np.ndarray, first: int)
     return pd.concat([out, edges]).astype("int64")
 
 
-def _with_totals(rows: DataFrame, keys: list[str], parts: list, totals: list) -> DataFrame:
+def _with_totals(rows: DataFrame, keys: list[str], parts: list, totals: list, of: str = "doc_id") -> DataFrame:
     """``rows`` with ``totals`` over ``parts`` of their keys (null for null keys).  Both are dealt by the keys and a salt
-    of the doc_id, so a hot key is the work of many tasks."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    from the column ``of``, so a hot key is the work of many tasks."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(of), F.lit(SALTS)))
     merged = salted.groupBy(*keys, "salt").agg(*parts).groupBy(*keys).agg(*totals, F.collect_list("salt").alias("salts"))
     return salted.join(merged.withColumn("salt", F.explode("salts")).drop("salts"), [*keys, "salt"], "left").drop("salt")
 
