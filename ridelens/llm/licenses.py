@@ -12,7 +12,7 @@ counted in the whole text, so the containment is exact.
 Defined cases.  Null or empty text: no license.  Text or template of one to four words: one
 shingle, all its words; templates without words are ignored.  Repeated documents: one row
 each, with the greatest containment
-of its texts.  Ties between templates: all are reported.  Other columns are ignored.
+of its texts; a null doc_id is a doc_id like others.  Ties between templates: all are reported.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -173,7 +173,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
     retrieved = hits.select(F.col("doc_id").alias("found_in"), "license").groupBy("found_in").agg(F.collect_set("license").alias("retrieved"))
     found = (
         docs.select("doc_id", "text")
-        .join(retrieved, F.col("doc_id") == F.col("found_in"))
+        .join(retrieved, F.col("doc_id").eqNullSafe(F.col("found_in")))
         .select("doc_id", F.array_distinct(shingles(F.col("text"))).alias("all"), "retrieved")
         .select("doc_id", "all", F.explode("retrieved").alias("license"))
         .join(wanted_whole, F.col("license") == F.col("of"))
@@ -185,7 +185,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
         .agg(F.array_sort(F.collect_list(F.struct("license", "share"))).alias("found"))
     )
     none = F.array().cast("array<struct<license:string,share:double>>")
-    return ids.join(found.withColumnRenamed("doc_id", "found_in"), F.col("doc_id") == F.col("found_in"), "left").select(
+    return ids.join(found.withColumnRenamed("doc_id", "found_in"), F.col("doc_id").eqNullSafe(F.col("found_in")), "left").select(
         "doc_id",
         F.coalesce("found", none).getField("license").alias("licenses"),
         F.coalesce("found", none).getField("share").alias("containment"),

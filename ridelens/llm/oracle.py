@@ -3,6 +3,8 @@ query's definition alone; constants are written out here once more."""
 
 from __future__ import annotations
 
+from importlib import resources
+
 # Words are runs of characters other than blank and \x09-\x0D.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -107,24 +109,37 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN best USING (k)
 """
 
-LICENSE_SCAN = r"""
+_TEXTS = resources.files(__package__) / "license_texts"
+
+
+def _license_scan() -> str:
+    """The four notice lines, and the license texts of ``license_texts/`` as ``<name> text``."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    texts = [(f.name, f.read_text("utf-8")) for f in _TEXTS.iterdir() if f.name.endswith(".txt")]
+    values = ",\n  ".join(f"({quoted(name[:-4] + ' text')}, {quoted(text)})" for name, text in sorted(texts))
+    return rf"""
 WITH lines(license, text) AS (VALUES
   ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
   ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
   ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
-  ('MIT', 'Released under the MIT License.')),
-lw AS (SELECT license, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM lines),
+  ('MIT', 'Released under the MIT License.'),
+  {values}),
+lw AS (SELECT license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM lines),
 ls AS (SELECT DISTINCT license, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT license, ws, unnest(range(1, len(ws) - 3)) AS i FROM lw)),
 total AS (SELECT license, count(*) AS n FROM ls GROUP BY license),
-dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
 ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM dw WHERE len(ws) > 4)),
 found AS (
   SELECT doc_id, license FROM ds JOIN ls USING (s) JOIN total USING (license) GROUP BY doc_id, license, n HAVING count(*) >= 0.8 * n
 ),
 per_doc AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses, count(*) AS n FROM found GROUP BY doc_id)
-SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_licenses FROM documents LEFT JOIN per_doc USING (doc_id)
+SELECT d.doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_licenses
+FROM documents d LEFT JOIN per_doc p ON d.doc_id IS NOT DISTINCT FROM p.doc_id
 """
 
+
+LICENSE_SCAN = _license_scan()
+
 # Rows without a null vector, null component or non-finite component.
 _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 

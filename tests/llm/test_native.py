@@ -4,9 +4,10 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 
-from ridelens.llm import chat, licenses, urls
+from ridelens.llm import chat, licenses, oracle, urls
 from tests.llm.helpers import docs, hard_rows
 
 TURN = "pair_id long, turn long, role string, text string, n long"
@@ -68,7 +69,7 @@ def test_license_texts_are_counted_exactly(spark):
     texts = {r.license: r.text for r in licenses.default_templates(spark).collect() if r.license.endswith(" text")}
     assert {"MIT text", "BSD-3-Clause text", "MPL-2.0 text", "Apache-2.0 text", "GPL-3.0 text"} <= set(texts)
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
-    sets = lambda t: {tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)}
+    sets = lambda t: set(zip(*[words(t)[i:] for i in range(5)]))
     rng = random.Random(8)
     rows, name_of = [], {}
     for i, (name, text) in enumerate(sorted(texts.items())):
@@ -85,6 +86,23 @@ def test_license_texts_are_counted_exactly(spark):
     assert len(rows) > found > 2 * len(texts)
 
 
+def test_license_sql_and_documents_without_doc_id(spark):
+    """The SQL counts the license texts too, and finds what documents without a doc_id hold."""
+    templates = {r.license: r.text for r in licenses.default_templates(spark).collect()}
+    rng = random.Random(5)
+    rows = [(None, "notes\n" + templates["MIT text"]), (None, "clean words only, six of them"), (50, templates["MIT"] + " " + templates["BSD-3-Clause text"])]
+    for i, name in enumerate(sorted(templates)):
+        rows += [(i, "x y " + templates[name]), (20 + i, " ".join("edit" if rng.random() < 0.05 else w for w in templates[name].split()))]
+    found = licenses.scan_licenses(docs(spark, rows), licenses.default_templates(spark)).collect()
+    got = sorted((str(r.doc_id), ",".join(r.licenses), len(r.licenses)) for r in found)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == sorted((str(d), n, c) for d, n, c in con.execute(oracle.LICENSE_SCAN).fetchall())
+    by_id = {r.doc_id: r.licenses for r in found}
+    assert by_id[None] == ["MIT text"] and by_id[50] == ["BSD-3-Clause text", "MIT"]
+
+
 @pytest.mark.parametrize("size", range(1, licenses.SECTION + 1))
 def test_band_settings(size):
     window, stride, bands = licenses.layout(size)
