@@ -79,8 +79,13 @@ def read_trip_csv(
     schema = with_corrupt_column(TRIP_SCHEMA) if rejects else TRIP_SCHEMA
     if not header:
         return _reader(spark, schema, rejects, False).csv(paths)
+    return read_layouts(spark, paths, H.headers(spark, paths), rejects)
+
+
+def read_layouts(spark: SparkSession, paths: str | list[str], found: list[tuple], rejects: bool = False) -> DataFrame:
+    """``read_trip_csv`` of ``paths`` whose files and headers were ``found`` by ``headers.headers``."""
+    schema = with_corrupt_column(TRIP_SCHEMA) if rejects else TRIP_SCHEMA
     layouts: dict[tuple, list[str]] = {}
-    found = H.headers(spark, paths)
     for file, status, columns, _ in found:
         if status in (H.STANDARD, H.BY_NAME):
             layouts.setdefault(tuple(columns), []).append(file)
@@ -154,6 +159,20 @@ def rejected_lines(rows: DataFrame) -> DataFrame:
     )
 
 
+def unread_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The lines below the headers of files that ``read_layouts`` leaves out, as ``rejected_lines`` gives lines: no field parsed."""
+    # One field a line; a line that holds the separator is malformed and kept whole.
+    rows = (
+        spark.read.schema(f"line string, {CORRUPT_COLUMN} string")
+        .option("header", True)
+        .option("sep", "\u0001")
+        .option("quote", "")
+        .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
+        .csv(files)
+    )
+    return rows.select(F.coalesce(CORRUPT_COLUMN, "line").alias("line"), *[F.lit(False).alias(f"{c}_ok") for c in TRIP_COLUMNS])
+
+
 def export_csv(
     df: DataFrame,
     path: str,

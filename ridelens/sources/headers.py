@@ -92,5 +92,10 @@ def headers(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, str,
 
 def file_ledger(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``file, status, header`` of every file: read as it stands, by name, or not at all."""
-    rows = [(file, status, header) for file, status, _, header in headers(spark, paths)]
+    return ledger(spark, headers(spark, paths))
+
+
+def ledger(spark: SparkSession, found: list[tuple]) -> DataFrame:
+    """``file_ledger`` of what ``headers`` found."""
+    rows = [(file, status, header) for file, status, _, header in found]
     return spark.createDataFrame(rows, "file string, status string, header string")

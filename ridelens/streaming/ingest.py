@@ -7,6 +7,9 @@ path and overwrites it when the batch is run again, so a restarted job neither s
 nor duplicates a file.  Inside a batch rows are rebalanced by month: few files for each month,
 a hot month split.  Lines that do not parse go to the rejects path, as text, and not
 into the cohort.
+
+The stream carries the names of new files only; each batch reads its files by the names in their headers, as
+``read_trip_csv`` does.  All lines of a file whose header does not name every trip column are rejects.
 """
 
 from __future__ import annotations
@@ -19,25 +22,34 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import columns as C
 from ..operators.cohort import clean_cohort
 from ..operators.models import TRIP_KEY, load_pipeline, tree_inputs
-from ..schema import CORRUPT_COLUMN, RAW_TIME_FORMAT, TRIP_COLUMNS, with_corrupt_column
-from ..sources.files import MONTH_COLUMN, MONTH_FORMAT, rejected_lines
+from ..schema import CORRUPT_COLUMN, TRIP_COLUMNS
+from ..sources import headers as H
+from ..sources.files import MONTH_COLUMN, MONTH_FORMAT, read_layouts, rejected_lines, unread_lines
 
 BATCH_COLUMN = "batch"
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def trip_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of trip rows, with the text of lines that did not parse."""
-    reader = (
-        spark.readStream.schema(with_corrupt_column())
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
-        .option("timestampNTZFormat", RAW_TIME_FORMAT)
-        .option("recursiveFileLookup", True)
-    )
+def file_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming DataFrame of the paths of new files; their bytes are not read."""
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return reader.csv(landing_dir)
+    return reader.load(landing_dir).select("path")
+
+
+def batch_files(spark: SparkSession, batch: DataFrame) -> list[tuple]:
+    """``headers.headers`` of a batch's files, whose names are all that the driver takes."""
+    paths = [r.path for r in batch.collect()]
+    found = H.headers(spark, paths)
+    if len(found) != len(paths):
+        raise FileNotFoundError(f"gone, or named like a pattern: {sorted(set(paths) - {f[0] for f in found})[:5]}")
+    return found
+
+
+def batch_rows(spark: SparkSession, found: list[tuple]) -> DataFrame:
+    """Trip rows of a batch's files, with the text of lines that did not parse."""
+    return read_layouts(spark, [f[0] for f in found], found, rejects=True).select(*TRIP_COLUMNS, CORRUPT_COLUMN)
 
 
 def start_cohort_ingest(
@@ -50,9 +62,10 @@ def start_cohort_ingest(
     available_now: bool = True,
     processing_time: str | None = None,
     max_files_per_trigger: int | None = None,
+    ledger_dir: str | None = None,
 ) -> StreamingQuery:
-    """Add cleaned rows to ``table_dir`` (parquet by batch and start month) and bad lines to
-    ``rejects_dir`` (parquet by batch).
+    """Add cleaned rows to ``table_dir`` (parquet by batch and start month), bad lines to
+    ``rejects_dir`` (parquet by batch) and, if given, the files' ``file, status, header`` to ``ledger_dir``.
 
     ``available_now=True`` processes everything present and stops (batch-style
     catch-up, still incremental across runs; with ``max_files_per_trigger`` the
@@ -61,8 +74,10 @@ def start_cohort_ingest(
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        found = batch_files(spark, batch)
+        unread = [file for file, status, _, _ in found if status == H.UNKNOWN]
         # All fields are kept, so that every bad field rejects its line, in both outputs alike.
-        rows = batch.select(*TRIP_COLUMNS, CORRUPT_COLUMN).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = batch_rows(spark, found).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good = rows.filter(F.col(CORRUPT_COLUMN).isNull()).select(*TRIP_COLUMNS)
             (
@@ -73,11 +88,16 @@ def start_cohort_ingest(
                 .partitionBy(MONTH_COLUMN)
                 .parquet(f"{table_dir.rstrip('/')}/{BATCH_COLUMN}={number}")
             )
-            rejected_lines(rows).write.mode("overwrite").parquet(f"{rejects_dir.rstrip('/')}/{BATCH_COLUMN}={number}")
+            bad = rejected_lines(rows)
+            if unread:
+                bad = bad.unionByName(unread_lines(spark, unread))
+            bad.write.mode("overwrite").parquet(f"{rejects_dir.rstrip('/')}/{BATCH_COLUMN}={number}")
+            if ledger_dir:
+                H.ledger(spark, found).write.mode("overwrite").parquet(f"{ledger_dir.rstrip('/')}/{BATCH_COLUMN}={number}")
         finally:
             rows.unpersist()
 
-    stream = trip_stream(spark, landing_dir, max_files_per_trigger)
+    stream = file_stream(spark, landing_dir, max_files_per_trigger)
     return _started(stream.writeStream.foreachBatch(write), checkpoint_dir, available_now, processing_time)
 
 
@@ -110,10 +130,14 @@ def start_scoring(
     model = load_pipeline(model_dir)
 
     def write(batch: DataFrame, number: int) -> None:
-        good = batch.filter(F.col(CORRUPT_COLUMN).isNull()).select(*TRIP_COLUMNS)
+        # Kept, so that a bad field of any column rejects its line.
+        rows = batch_rows(spark, batch_files(spark, batch)).persist(StorageLevel.MEMORY_AND_DISK)
+        good = rows.filter(F.col(CORRUPT_COLUMN).isNull()).select(*TRIP_COLUMNS)
         scored = model.transform(tree_inputs(clean_cohort(good, as_of_year))).select(*TRIP_KEY, "label", "prediction")
-        scored.write.mode("overwrite").parquet(f"{scored_dir.rstrip('/')}/{BATCH_COLUMN}={number}")
+        try:
+            scored.write.mode("overwrite").parquet(f"{scored_dir.rstrip('/')}/{BATCH_COLUMN}={number}")
+        finally:
+            rows.unpersist()
 
-    # Parsed in full before the filter, so that a bad field of any column rejects its line.
-    stream = trip_stream(spark, landing_dir, max_files_per_trigger).select(*TRIP_COLUMNS, CORRUPT_COLUMN)
+    stream = file_stream(spark, landing_dir, max_files_per_trigger)
     return _started(stream.writeStream.foreachBatch(write), checkpoint_dir, available_now, processing_time)
