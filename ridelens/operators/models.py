@@ -36,6 +36,8 @@ VECTOR_MAX_CATEGORIES = 20  # VectorIndexer default
 # fitted trees, and a tree has at most one leaf for each row that fitted it.
 MAX_TRAIN_ROWS = 1_000_000
 TRIP_KEY = ["bikeID", "startTime", "endTime"]
+# From the start of year 1 to that of 1970.
+SECONDS_TO_1970 = 62_135_596_800
 
 
 # --- ridge regression -------------------------------------------------------------
@@ -146,10 +148,15 @@ def ridge_predictions(
 
 
 def epoch_seconds(ts) -> Column:
-    """Seconds since 1970-01-01 00:00 of a TIMESTAMP_NTZ, without any time zone."""
+    """Whole seconds since 1970-01-01 00:00 of a TIMESTAMP_NTZ, rounded down, without any time zone.
+
+    ``ts`` is named once: it is often itself an expression, and a filter that repeats it by day, hour, minute and
+    second for two fields and two samples compiles to a method that the JVM only interprets.
+    """
     ts = F.col(ts) if isinstance(ts, str) else ts
-    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
-    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    # From year 1, so that the cut to whole seconds rounds down before 1970 too.
+    since = ts - F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+    return since.cast("interval second").cast("long") - F.lit(SECONDS_TO_1970)
 
 
 def _int_fields(cols: list[str]) -> list[Column]:

@@ -507,9 +507,13 @@ def _q_tree_feature_kinds(spark, sf):
     from ..operators import models, trees
 
     rows = models.sample_trips(models.tree_inputs(cohort(spark, sf)), models.TREE_SAMPLE_FRACTION)
-    train, _ = models.train_test_split(rows)
-    indexed = Pipeline(stages=models.feature_stages()[:1]).fit(train).transform(train)
-    return trees.feature_kinds(indexed, models.TREE_FEATURES, models.VECTOR_MAX_CATEGORIES)
+    # Kept for the indexers and both passes over the features: one join and one sampling of the trips.
+    train = models.train_test_split(rows)[0].persist()
+    try:
+        indexed = Pipeline(stages=models.feature_stages()[:1]).fit(train).transform(train)
+        return trees.feature_kinds(indexed, models.TREE_FEATURES, models.VECTOR_MAX_CATEGORIES)
+    finally:
+        train.unpersist()
 
 
 @register("tree_depth_sweep")

@@ -165,3 +165,17 @@ def test_station_index_query_equals_the_indexer(cohort_small):
 def test_one_scan_of_trips(spark, cohort_small, query):
     plan = getattr(models, query)(cohort_small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("l_orderkey") and plan.split("== Initial")[0].count("lineitem.parquet") == 1
+
+
+def test_epoch_seconds_name_the_time_once_and_round_down(spark):
+    # Once: four times a field, the sample's and the split's filter became a method that the JVM does not compile.
+    assert str(models._unit_hash(1, models.TRIP_KEY)).count("startTime") == 1
+    seconds = {
+        "1970-01-01 00:00:00": 0,
+        "1969-12-31 23:59:59.5": -1,
+        "1900-03-01 00:00:00.25": -2_203_891_200,
+        "2018-03-11 02:30:00.999999": 1_520_735_400,
+        None: None,
+    }
+    rows = spark.createDataFrame([(t,) for t in seconds], "t string").select("t", models.epoch_seconds(F.col("t").cast("timestamp_ntz")).alias("s"))
+    assert {r.t: r.s for r in rows.collect()} == seconds

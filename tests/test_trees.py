@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ridelens.operators import models, trees
 from ridelens.operators.cohort import clean_cohort
+from ridelens.plans import catalog
 from ridelens.sources.files import write_trip_files
 from ridelens.streaming.ingest import start_scoring
 
@@ -117,3 +118,11 @@ def test_stream_predictions_equal_batch_predictions_after_a_reload(spark, trips_
     got, want = spark.read.parquet(f"{d}/scored").select(*columns), fitted.transform(models.tree_inputs(cohort)).select(*columns)
     assert got.count() == want.count() > 100
     assert got.exceptAll(want).count() == 0
+
+
+def test_feature_kinds_query_reads_the_trips_once(spark, monkeypatch):
+    plans, kinds = [], trees.feature_kinds
+    monkeypatch.setattr(trees, "feature_kinds", lambda rows, *a: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or kinds(rows, *a))
+    assert catalog.QUERIES["tree_feature_kinds"](spark, "/root/testdata/sf0.001").count() == 5
+    assert "InMemoryTableScan" in plans[0]
+    assert not spark._jsc.sc().getPersistentRDDs().size()
