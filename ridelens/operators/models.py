@@ -339,7 +339,8 @@ def tree_depth_sweep(
     features: PipelineModel = Pipeline(stages=feature_stages()).fit(train)
     fitted = features.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = tree_stages(max(depths))[-1].fit(fitted)
+        # Each row's node is kept from level to level; else every task of a level gets the tree so far and walks it.
+        model = tree_stages(max(depths))[-1].setCacheNodeIds(True).fit(fitted)
     finally:
         fitted.unpersist()
     off = F.col("label") - F.col("prediction")

@@ -126,3 +126,10 @@ def test_feature_kinds_query_reads_the_trips_once(spark, monkeypatch):
     assert catalog.QUERIES["tree_feature_kinds"](spark, "/root/testdata/sf0.001").count() == 5
     assert "InMemoryTableScan" in plans[0]
     assert not spark._jsc.sc().getPersistentRDDs().size()
+
+
+def test_the_sweep_keeps_node_ids_instead_of_sending_the_tree(spark, cohort_small, monkeypatch):
+    kept, whole = [], DecisionTreeRegressor._fit
+    monkeypatch.setattr(DecisionTreeRegressor, "_fit", lambda self, data: kept.append(self.getCacheNodeIds()) or whole(self, data))
+    assert models.tree_depth_sweep(spark, cohort_small, [0, 12], fraction=0.5).count() == 2
+    assert kept == [True]
