@@ -540,7 +540,7 @@ def staged_trip_files(spark: SparkSession, sf_dir: str) -> str:
     from ..session import made_once
     from ..sources import files
 
-    return made_once(spark, "trip-files", _trip_tables(sf_dir), lambda path: files.write_trip_files(trips(spark, sf_dir), path))
+    return made_once(spark, "trip-files", _trip_tables(sf_dir), lambda path: files.write_trip_files(trips_from_tables(spark, sf_dir, by_month=True), path, by_month=True))
 
 
 # Fixed rule of the files in several layouts: bikeID mod 3 names the folder; 2 has a header that is not a trip's.

@@ -23,28 +23,36 @@ from . import headers as H
 
 MONTH_COLUMN = "month"
 MONTH_FORMAT = "yyyyMM"
+#: Rows of a trip file that is written here, at most: about 200 MB of text.
+MAX_FILE_ROWS = 1_000_000
 
 
-def write_trip_files(trips: DataFrame, out_dir: str, mode: str = "overwrite") -> str:
-    """Write raw trips as monthly CSV directories ``<out_dir>/month=yyyyMM/``.
+def write_trip_files(trips: DataFrame, out_dir: str, mode: str = "overwrite", by_month: bool = False) -> str:
+    """Write raw trips as monthly CSV directories ``<out_dir>/month=yyyyMM/``, gzipped.
 
     The ``rebalance`` hint shuffles rows by month once and lets AQE size the
     partitions: small months are coalesced and a hot month (say a third of all
     trips) is split across tasks, so the output is a few right-sized files per
-    month instead of one small file per (scan task, month).
+    month instead of one small file per (scan task, month).  ``by_month``: the rows come
+    so already (``trips_from_tables``), and are not shuffled again.
     """
+    rows = trips.select(*TRIP_COLUMNS).withColumn(MONTH_COLUMN, F.date_format("startTime", MONTH_FORMAT))
+    write_trip_csv(rows if by_month else rows.hint("rebalance", MONTH_COLUMN), out_dir, mode, [MONTH_COLUMN])
+    return out_dir
+
+
+def write_trip_csv(rows: DataFrame, path: str, mode: str = "errorifexists", partitions: list[str] | None = None) -> None:
+    """Headered, quoted and gzipped CSV text of trips.  A gzipped file is read by one task, so its rows are bounded."""
     (
-        trips.select(*TRIP_COLUMNS)
-        .withColumn(MONTH_COLUMN, F.date_format("startTime", MONTH_FORMAT))
-        .hint("rebalance", MONTH_COLUMN)
-        .write.mode(mode)
-        .partitionBy(MONTH_COLUMN)
+        rows.write.mode(mode)
+        .partitionBy(*partitions or [])
         .option("header", True)
         .option("quoteAll", True)
         .option("timestampNTZFormat", RAW_TIME_FORMAT)
-        .csv(out_dir)
+        .option("compression", "gzip")
+        .option("maxRecordsPerFile", MAX_FILE_ROWS)
+        .csv(path)
     )
-    return out_dir
 
 
 def month_paths(root: str, months: list[str]) -> list[str]:

@@ -81,8 +81,12 @@ def _long(station_id):
     return (F.lit(LONG_ORIGIN) + F.floor(station_id / 10) * F.lit(GRID_STEP_DEG)).cast("float")
 
 
-def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw trips (the 15-field trip record) derived from lineitem/orders/customer."""
+def trips_from_tables(spark: SparkSession, sf_dir: str, by_month: bool = False) -> DataFrame:
+    """Raw trips (the 15-field trip record) derived from lineitem/orders/customer.
+
+    ``by_month`` brings the trips of a start month together (``rebalance``: hot months are split) before the columns
+    are derived, so that the exchange carries nine narrow fields instead of the whole record.
+    """
     lineitem = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders")
     customer = read_table(spark, sf_dir, "customer")
@@ -123,7 +127,11 @@ def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         pk.alias("bikeID"),
     )
     ship, off = F.col("l_shipdate"), F.col("offset")
-    return legs.join(riders, legs.l_orderkey == riders.o_orderkey, "inner").select(
+    joined = legs.join(riders, legs.l_orderkey == riders.o_orderkey, "inner")
+    if by_month:
+        start = F.timestamp_add("SECOND", off, ship)
+        joined = joined.drop("l_orderkey", "o_orderkey").withColumn("inMonth", F.year(start) * 12 + F.month(start)).hint("rebalance", "inMonth")
+    return joined.select(
         "duration",
         F.timestamp_add("SECOND", off, ship).alias("startTime"),
         F.timestamp_add("SECOND", off + F.col("duration"), ship).alias("endTime"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import glob
+import gzip
 import os
 import tempfile
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from ridelens.plans.inspect import plan_text
 from ridelens.schema import TRIP_COLUMNS
 from ridelens.sources import files
+from ridelens.sources.tables import trips_from_tables
+
+from .conftest import SF0001, trip
 
 HEADER = ",".join(f'"{c}"' for c in TRIP_COLUMNS)
 
@@ -107,3 +111,25 @@ def test_export_single_file(spark, cohort_small):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, top.collect()))
     # an existing extract is replaced only on request
     files.export_csv(top, path, mode="overwrite", single_file=True)
+
+
+def test_staged_months_are_compressed_bounded_and_shuffled_narrow(spark, monkeypatch):
+    d = tempfile.mkdtemp(prefix="ridelens-test-")
+    whole, moved = trips_from_tables(spark, SF0001), trips_from_tables(spark, SF0001, by_month=True)
+    # The exchange by month comes before the record is derived: stations are numbers there.
+    exchanged = plan_text(moved).split("REBALANCE_PARTITIONS_BY_COL")[0].rsplit("Input [", 1)[1]
+    assert "inMonth" in exchanged and "Station" not in exchanged
+    monkeypatch.setattr(files, "MAX_FILE_ROWS", 50)
+    files.write_trip_files(moved, d, by_month=True)
+    made = glob.glob(f"{d}/month=*/part-*")
+    assert made and all(p.endswith(".csv.gz") for p in made)
+    assert {len(gzip.open(p, "rt").readlines()) <= 51 for p in made} == {True}
+    back = files.read_trip_csv(spark, d)
+    assert back.drop("month").exceptAll(whole).count() == 0 and back.count() == whole.count()
+    assert back.filter(F.col("month").cast("string") != F.date_format("startTime", "yyyyMM")).count() == 0
+
+
+def test_trips_without_a_start_are_staged(spark, make_trips):
+    d = tempfile.mkdtemp(prefix="ridelens-test-")
+    files.write_trip_files(make_trips([trip(bikeID=1), trip(bikeID=2, startTime=None)]), d)
+    assert {(r.bikeID, r.month) for r in files.read_trip_csv(spark, d).collect()} == {(1, 201806), (2, None)}
