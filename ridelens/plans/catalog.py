@@ -550,8 +550,9 @@ LAYOUT_FOLDERS = ["standard", "renamed", "unknown"]
 def files_in_layouts(spark: SparkSession, sf_dir: str) -> str:
     """All trips as CSV in three layouts: the usual one, one with other names in the opposite order and a further
     column, and one whose header lacks a trip column; written once for a state of the tables."""
-    from ..schema import RAW_TIME_FORMAT, TRIP_COLUMNS
+    from ..schema import TRIP_COLUMNS
     from ..session import made_once
+    from ..sources import files
     from ..sources.headers import OTHER_NAMES
 
     other = {column: name for name, column in OTHER_NAMES.items()}
@@ -564,7 +565,7 @@ def files_in_layouts(spark: SparkSession, sf_dir: str) -> str:
     def write(path: str) -> None:
         for k, folder in enumerate(LAYOUT_FOLDERS):
             part = trips(spark, sf_dir).filter(F.pmod("bikeID", F.lit(3)) == k).select(*columns[folder])
-            part.write.option("header", True).option("quoteAll", True).option("timestampNTZFormat", RAW_TIME_FORMAT).csv(f"{path}/{folder}")
+            files.write_trip_csv(part, f"{path}/{folder}")
 
     return made_once(spark, "layouts", _trip_tables(sf_dir), write)
 

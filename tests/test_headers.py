@@ -158,3 +158,11 @@ def test_sketches_merge(spark, cohort_small):
     want = fleet.distinct_bikes(cohort_small.filter("startTime >= '1996-01-01'")).first()[0]
     assert abs(fleet.distinct_bikes_of(some).first()[0] - want) <= 0.03 * want + 1
     assert fleet.distinct_bikes_of(sketches.limit(0)).first()[0] == 0
+
+
+def test_layouts_are_compressed_and_hold_all_trips(spark):
+    root = catalog.files_in_layouts(spark, SF0001)
+    parts = [p for p in headers.data_files(spark, root) if "part-" in p]
+    assert parts and all(p.endswith(".csv.gz") for p in parts)
+    ledger = {r.status: r.Num for r in catalog.QUERIES["file_ledger"](spark, SF0001).collect()}
+    assert sum(ledger.values()) == catalog.trips(spark, SF0001).count() and set(ledger) == {"standard", "by name", "unknown header"}
