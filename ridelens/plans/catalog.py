@@ -688,7 +688,7 @@ def _q_incremental_cohort(spark, sf):
     from .suite import refresh_cohort
 
     landing, table = shared_path(spark, "months"), shared_path(spark, "cohort-by-month")
-    files.write_trip_files(trips(spark, sf), landing)
+    files.write_trip_files(trips_from_tables(spark, sf, by_month=True), landing, by_month=True)
     refresh_cohort(spark, landing, table)
     month = trips(spark, sf).filter(F.date_format("startTime", files.MONTH_FORMAT) == ONE_MONTH)
     files.write_trip_files(month, landing, mode="append")
