@@ -130,14 +130,13 @@ def start_scoring(
     model = load_pipeline(model_dir)
 
     def write(batch: DataFrame, number: int) -> None:
-        # Kept, so that a bad field of any column rejects its line.
-        rows = batch_rows(spark, batch_files(spark, batch)).persist(StorageLevel.MEMORY_AND_DISK)
-        good = rows.filter(F.col(CORRUPT_COLUMN).isNull()).select(*TRIP_COLUMNS)
+        rows = batch_rows(spark, batch_files(spark, batch))
+        # Always true; the hash makes the reader convert all fields, so that a bad one of any column rejects its
+        # line.  The rows are used once, and are not kept for it.
+        read = F.xxhash64(*TRIP_COLUMNS) >= F.lit(-(2**63))
+        good = rows.filter(F.col(CORRUPT_COLUMN).isNull() & read).select(*TRIP_COLUMNS)
         scored = model.transform(tree_inputs(clean_cohort(good, as_of_year))).select(*TRIP_KEY, "label", "prediction")
-        try:
-            scored.write.mode("overwrite").parquet(f"{scored_dir.rstrip('/')}/{BATCH_COLUMN}={number}")
-        finally:
-            rows.unpersist()
+        scored.write.mode("overwrite").parquet(f"{scored_dir.rstrip('/')}/{BATCH_COLUMN}={number}")
 
     stream = file_stream(spark, landing_dir, max_files_per_trigger)
     return _started(stream.writeStream.foreachBatch(write), checkpoint_dir, available_now, processing_time)

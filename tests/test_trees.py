@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 import numpy as np
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from ridelens.operators import models, trees
 from ridelens.operators.cohort import clean_cohort
 from ridelens.plans import catalog
+from ridelens.schema import TRIP_COLUMNS
 from ridelens.sources.files import write_trip_files
 from ridelens.streaming.ingest import start_scoring
 
+from .conftest import trip
+
 
 def test_one_fit_gives_what_a_fit_for_each_depth_gives(spark, cohort_small):
     depths = [0, 1, 2, 4, 7, 11, 16, 30]
@@ -133,3 +137,21 @@ def test_the_sweep_keeps_node_ids_instead_of_sending_the_tree(spark, cohort_smal
     monkeypatch.setattr(DecisionTreeRegressor, "_fit", lambda self, data: kept.append(self.getCacheNodeIds()) or whole(self, data))
     assert models.tree_depth_sweep(spark, cohort_small, [0, 12], fraction=0.5).count() == 2
     assert kept == [True]
+
+
+def test_scoring_keeps_no_rows_and_rejects_lines_with_any_bad_field(spark, make_trips, monkeypatch):
+    d = tempfile.mkdtemp(prefix="ridelens-score-")
+    good = make_trips([trip(bikeID=k, startStationName=f"S{k % 3}") for k in range(30)])
+    path = models.save_pipeline(models.fit_duration_tree(models.tree_inputs(clean_cohort(good)), 1), f"{d}/model")
+    write_trip_files(good, f"{d}/landing")
+    line = [str(x) for x in trip(bikeID=99)]
+    line[TRIP_COLUMNS.index("endStationLong")] = "west"  # a field that the scores don't use
+    os.makedirs(f"{d}/landing/month=201807")
+    with open(f"{d}/landing/month=201807/bad.csv", "w") as f:
+        f.write(",".join(TRIP_COLUMNS) + "\n" + ",".join(line) + "\n")
+    kept, persist = [], type(good).persist
+    monkeypatch.setattr(type(good), "persist", lambda self, *a: kept.append(1) or persist(self, *a))
+    q = start_scoring(spark, f"{d}/landing", f"{d}/scored", f"{d}/ckpt", path)
+    q.awaitTermination()
+    assert q.exception() is None and not kept
+    assert {r.bikeID for r in spark.read.parquet(f"{d}/scored").collect()} == set(range(30))
