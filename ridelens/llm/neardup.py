@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import discard, ensure_checkpoint_dir, shared_path
 from .common import SHINGLE_WORDS, WordHashes, mix, shingle_set, sliced
 
 THRESHOLD = 0.8
@@ -100,26 +100,46 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, root)``: the smallest node of each node's connected group, for edges ``(a, b)``.
 
     Alternates "large star" and "small star" steps, each a grouping with sums of the smallest
-    neighbour, until nothing changes.  Every round ends in a reliable checkpoint.
+    neighbour, until nothing changes.  Every round ends in a table in shared storage, which goes once the next round has
+    written its own, and whose small files are read in few tasks; the result is a reliable checkpoint.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    before = None
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = _with_totals(both, ["a"], [F.min("b").alias("m")], [F.min("m").alias("m")], of="b").withColumn("m", F.least("a", "m"))
-        larger = F.when(F.col("b") > F.col("a"), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        own = F.when(F.col("m") < F.col("a"), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))
-        large = low.select(F.inline(F.array(larger, own))).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("the connected groups did not settle")
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
+    paths: list[str] = []
+
+    def staged(rows: DataFrame) -> DataFrame:
+        paths.append(shared_path(spark, "components"))
+        rows.write.parquet(paths[-1])
+        for path in paths[:-1]:
+            discard(spark, path)
+            paths.remove(path)
+        return spark.read.schema(rows.schema).parquet(paths[-1])
+
+    def pair(a: str, b: str) -> F.Column:
+        return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+
+    try:
+        edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        before = None
+        for _ in range(most_rounds):
+            both = edges.select(F.inline(F.array(pair("a", "b"), pair("b", "a"))))
+            low = _with_totals(both, ["a"], [F.min("b").alias("m")], [F.min("m").alias("m")], of="b").withColumn("m", F.least("a", "m"))
+            # A node's own pair comes once: from the row of its smallest neighbour.
+            larger, own = F.when(F.col("b") > F.col("a"), pair("b", "m")), F.when((F.col("m") < F.col("a")) & (F.col("b") == F.col("m")), pair("a", "m"))
+            large = low.select(F.inline(F.array(larger, own))).filter("a <> b")
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").select(F.inline(F.array(pair("b", "m"), pair("a", "m"))))
+            edges = staged(small.filter("a <> b").distinct())
+            state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if state == before:
+                break
+            before = state
+        else:
+            raise RuntimeError("the connected groups did not settle")
+        edges = edges.checkpoint()
+    finally:
+        for path in paths:
+            discard(spark, path)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
