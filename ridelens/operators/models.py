@@ -14,6 +14,8 @@ independent SQL engine can select the very same rows.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -32,8 +34,9 @@ TRAIN_FRACTION = 0.7
 TREE_MAX_DEPTHS = list(range(0, 31))
 VECTOR_MAX_CATEGORIES = 20  # VectorIndexer default
 
-# Rows that fit the trees at most (in expectation, by hash of the trip); the driver holds the
-# fitted trees, and a tree has at most one leaf for each row that fitted it.
+# Leaves of a tree that the driver holds at most.
+DRIVER_LEAVES = 2**14
+# Default of ``bounded_train_rows``; no query thins its rows.
 MAX_TRAIN_ROWS = 1_000_000
 TRIP_KEY = ["bikeID", "startTime", "endTime"]
 # From the start of year 1 to that of 1970.
@@ -305,7 +308,7 @@ def describe_tree(model) -> tuple[str, list[tuple[str, float]]]:
 
 
 def bounded_train_rows(train: DataFrame, most: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """``train``, thinned by hash to about ``most`` rows if it has more."""
+    """``train``, thinned by hash to about ``most`` rows if it has more.  No query uses it: all fit all training rows."""
     n = train.count()
     return train if n <= most else train.filter(_unit_hash(97, TRIP_KEY) < F.lit(most / n))
 
@@ -315,17 +318,18 @@ def tree_depth_sweep(
     cohort: DataFrame,
     depths: list[int] | None = None,
     fraction: float = TREE_SAMPLE_FRACTION,
-    max_train_rows: int = MAX_TRAIN_ROWS,
+    driver_leaves: int = DRIVER_LEAVES,
 ) -> DataFrame:
-    """Test RMSE and number of nodes for each max depth (0..30 by default), from one fit.
+    """Test RMSE and number of nodes for each max depth (0..30 by default), from one tree on all training rows.
 
-    The tree of a smaller depth is the top of the deepest one, so that one is fitted, its test
+    The tree of a smaller depth is the top of the deepest one, so that one is grown, its test
     rows are summed up by leaf in one pass, and each cut's errors follow from its nodes
     (``trees.NodeTable``).  The sampled rows are checkpointed (reliable files in the shared
-    ``spark.checkpoint.dir``).  The driver holds one tree of at most ``max_train_rows`` leaves.  The test side is
-    never thinned.
+    ``spark.checkpoint.dir``).  The driver holds a tree of at most ``driver_leaves`` leaves: if the deepest could have more,
+    MLlib fits its top, and tasks grow what is below the top's leaves (``subtrees``).
     """
     from ..session import ensure_checkpoint_dir
+    from . import subtrees
     from .trees import NodeTable
 
     ensure_checkpoint_dir(cohort.sparkSession)
@@ -335,28 +339,50 @@ def tree_depth_sweep(
         return spark.createDataFrame([], schema)
     sampled = sample_trips(tree_inputs(cohort), fraction).checkpoint(eager=True)
     train, test = train_test_split(sampled)
-    train = rows_for_depth(train, max(depths), max_train_rows)
     features: PipelineModel = Pipeline(stages=feature_stages()).fit(train)
     fitted = features.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        n_train, most = fitted.count(), max(depths)
+        whole = min(n_train, 2**most) <= driver_leaves or most > TREE_MAX_DEPTHS[-1]  # which MLlib refuses
+        top = most if whole else driver_leaves.bit_length() - 1
+        cuts = [] if whole else subtrees.feature_cuts(fitted)
         # Each row's node is kept from level to level; else every task of a level gets the tree so far and walks it.
-        model = tree_stages(max(depths))[-1].setCacheNodeIds(True).fit(fitted)
+        tree = tree_stages(top)[-1].setCacheNodeIds(True).setMaxBins(bins_of_all(n_train, cuts))
+        model = tree.fit(fitted)
     finally:
         fitted.unpersist()
+    model.setLeafCol("leaf")
     off = F.col("label") - F.col("prediction")
     sums = (
-        model.setLeafCol("leaf").transform(features.transform(test)).groupBy(F.col("leaf").cast("int").alias("leaf"))
+        model.transform(features.transform(test)).groupBy(F.col("leaf").cast("int").alias("leaf"))
         .agg(F.count("label").alias("n"), F.sum(off).alias("off"), F.sum(off * off).alias("off_squared")).toPandas()
     )  # at most one row for each leaf
     table = NodeTable(spark, model)
-    errors = table.squared_errors(*(sums[c].to_numpy() for c in ("leaf", "n", "off", "off_squared")), depths)
     n = int(sums["n"].sum())
-    rows = [(d, float((max(e, 0.0) / n) ** 0.5) if n else None, table.size(d)) for d, e in zip(depths, errors)]
+    leaf, *sums = (sums[c].to_numpy() for c in ("leaf", "n", "off", "off_squared"))
+    if whole:
+        errors = table.squared_errors(leaf, *sums, depths)
+        sizes = {d: table.size(d) for d in depths}
+    else:
+        rows = model.transform(features.transform(sampled.withColumn("train", in_train()))).withColumn("leaf", F.col("leaf").cast("int"))
+        below = subtrees.grow_below(rows, n_train + n, table, cuts, most)
+        cut = [table.depth[table.leaves[leaf]] > d for d in depths]  # leaves that lie below the cut
+        errors = [table.squared_errors(leaf[c], *(x[c] for x in sums), [d])[0] + below.errors[d] for d, c in zip(depths, cut)]
+        sizes = subtrees.sizes(table, below)
+    rows = [(d, float((max(e, 0.0) / n) ** 0.5) if n else None, int(sizes[d])) for d, e in zip(depths, errors)]
     return spark.createDataFrame(rows, schema)
 
 
+def bins_of_all(n: int, cuts: list[list[float] | None]) -> int:
+    """``TREE_MAX_BINS``, or as many more as MLlib needs to take every cut, from all of ``n`` rows.
+
+    It finds cuts in a sample of about ``maxBins ** 2`` rows; as an int, which holds the square of 46,340 at most.
+    """
+    return max(TREE_MAX_BINS, min(isqrt(max(n - 1, 0)) + 1, 46_340), *[len(c) + 1 for c in cuts if c])
+
+
 def rows_for_depth(train: DataFrame, depth: int, most: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """The rows that fit a tree: all, unless it could have more than ``most`` leaves."""
+    """All rows, or ``bounded_train_rows`` for a tree that could have more than ``most`` leaves.  No query uses it."""
     return train if depth < 63 and 2**depth <= most else bounded_train_rows(train, most)
 
 

@@ -421,7 +421,7 @@ class _Fitted:
         from ..operators import models
 
         try:
-            self.pipeline = models.fit_duration_tree(models.rows_for_depth(self.train, self.depth), self.depth)
+            self.pipeline = models.fit_duration_tree(self.train, self.depth)
         except BaseException:
             self.rows.unpersist()
             raise
